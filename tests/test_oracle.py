@@ -1,0 +1,27 @@
+import pytest
+from oracle import compare, connect
+
+import __spark_entry__ as contract
+
+NAMES = sorted(contract.queries())
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    with connect(sf_dir) as con:
+        yield con
+
+
+def test_every_query_has_its_sql():
+    assert set(contract.queries()) == set(contract.oracle_sql())
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_equals_oracle(spark, sf_dir, duck, name):
+    df = contract.queries()[name](spark, sf_dir)
+    assert compare(df, duck, contract.oracle_sql()[name]) == ""
+
+
+def test_entry_runs(spark, sf_dir):
+    counts = [r["order_count"] for r in contract.entry(spark).collect()]
+    assert counts and counts == sorted(counts, reverse=True)
