@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import DAY, quoted
-from ..session import scratch_dir
+from ..session import materialised
 
 # About 54 years of days.  Beyond this a list is no longer inlined.
 MAX_LISTED_DAYS = 20_000
@@ -36,8 +36,8 @@ def missing_days(wanted: DataFrame, held: DataFrame, day: str = DAY) -> DataFram
 
 
 def known_days(left: DataFrame, right: DataFrame, day: str = DAY) -> DataFrame:
-    """Union of two day sets, each reduced before they meet."""
-    return distinct_days(left, day).union(distinct_days(right, day)).distinct()
+    """Days of either side, in one aggregate that reduces both before its shuffle."""
+    return left.select(day).union(right.select(day)).distinct()
 
 
 def days_held(probe: DataFrame, held: DataFrame, day: str = DAY) -> DataFrame:
@@ -81,18 +81,6 @@ def listed(days: DataFrame, day: str = DAY, limit: int = MAX_LISTED_DAYS) -> lis
     return None if len(rows) > limit else [row[0] for row in rows]
 
 
-def spilled(days: DataFrame, day: str = DAY) -> DataFrame:
-    """A frame of one row per day, less the NULL day, written to the shared scratch
-    folder and read back.
-
-    Its size is then known from the files, and Spark decides by that whether to
-    broadcast it.
-    """
-    path = scratch_dir(days.sparkSession, "days")
-    days.where(F.col(day).isNotNull()).write.mode("overwrite").parquet(path)
-    return days.sparkSession.read.schema(days.schema).parquet(path)
-
-
 def rows_on_days(
     df: DataFrame, days: DataFrame, day: str = DAY, limit: int = MAX_LISTED_DAYS
 ) -> DataFrame:
@@ -104,4 +92,9 @@ def rows_on_days(
     wanted = listed(days, day, limit)
     if wanted is not None:
         return df.where(in_days(day, wanted))
-    return df.join(spilled(days, day), day, "left_semi").select(*[quoted(c) for c in df.columns])
+    return joined_on_days(df, materialised(days.select(day), "days"), day)
+
+
+def joined_on_days(df: DataFrame, days: DataFrame, day: str = DAY) -> DataFrame:
+    """The semi-join form of the above, with the columns left in their order."""
+    return df.join(days, day, "left_semi").select(*[quoted(c) for c in df.columns])

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialised
+
 
 def unique_names(df: DataFrame, name: str, key: str, out: str = "unique_name") -> DataFrame:
     """The first holder of a name (lowest key) keeps it, others get ``-key`` appended.
 
     ``key`` is unique per row.  First holders come from a partial aggregate of one
     row per name and task, and are matched back on the key, not on the name: a
-    name held by a third of all rows never gathers in one place.
+    name held by a third of all rows never gathers in one place.  With few names
+    their stored size lets Spark broadcast them, and ``df`` is not shuffled.
     """
-    first = df.groupBy(name).agg(F.min(key).alias(key)).select(key, F.lit(True).alias("_first"))
+    holders = df.groupBy(name).agg(F.min(key).alias(key)).select(key)
+    first = materialised(holders, "first-holders").withColumn("_first", F.lit(True))
     suffixed = F.concat(F.col(name), F.lit("-"), F.col(key).cast("string"))
     return (
         df.join(first, key, "left")

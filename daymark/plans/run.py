@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from ..functions.columns import DAY
 from ..sources.tables import Lake, Table
 from . import snapshots
 from .sync import HopReports, sync_two_hops
+from .threads import each
 
 
 def run(
@@ -30,27 +29,22 @@ def run(
 ) -> dict[str, HopReports]:
     """Sync every named source over both hops, a few tables at a time.
 
-    The threads only submit jobs; Spark runs them.  A failing table fails the run
-    after the others have finished, and nothing is published then.
+    A failing table fails the run once the others are done; nothing is published then.
     """
     if publish_to and today is None:
         raise ValueError("publish_to needs the day to publish under")
     lake.create_layers()
     if restore_from:
-        snapshots.restore(lake, restore_from)
+        snapshots.restore(lake, restore_from, at_once)
 
-    @inheritable_thread_target(lake.spark)
     def sync(name: str) -> HopReports:
         local, mart = lake.table(local_layer, name), lake.table(mart_layer, name)
         return sync_two_hops(sources[name], local, mart, write_local, write_mart, day=day)
 
-    with ThreadPoolExecutor(max_workers=at_once) as pool:
-        futures = {name: pool.submit(sync, name) for name in sources}
-    reports = {name: future.result() for name, future in futures.items()}
+    reports = dict(zip(sources, each(lake.spark, sync, sources, at_once)))
 
     if publish_to:
         written = [(layer, name) for layer in (local_layer, mart_layer) for name in sources]
-        snapshots.publish(
-            lake, [t for t in written if lake.table(*t).exists()], publish_to, today
-        )
+        present = [pair for pair in written if lake.table(*pair).exists()]
+        snapshots.publish(lake, present, publish_to, today, at_once)
     return reports

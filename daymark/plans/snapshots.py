@@ -10,12 +10,13 @@ import datetime as dt
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sinks.tables import append, create_like
 from ..sources.tables import Lake, Table
+from .threads import each
 
 MANIFEST = T.StructType(
     [
@@ -41,21 +42,25 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def publish(lake: Lake, tables: Sequence[tuple[str, str]], root: str, day: dt.date) -> None:
+def publish(
+    lake: Lake, tables: Sequence[tuple[str, str]], root: str, day: dt.date, at_once: int = 4
+) -> None:
     """Copy (layer, name) tables under ``day``; a second publish of a day replaces it.
 
     Each copy keeps its table's partition folders, so nothing is shuffled.
     """
-    spark, entries = lake.spark, []
-    for layer, name in tables:
-        table = lake.table(layer, name)
+    spark = lake.spark
+
+    def copy(pair: tuple[str, str]) -> tuple:
+        table, path = lake.table(*pair), _data_path(root, day, *pair)
         df, partition_by = table.read(), table.partition_columns()
-        path = _data_path(root, day, layer, name)
         writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
         writer.partitionBy(*partition_by).parquet(path)
         # Counted from the written footers: what the snapshot holds, not what was sent.
         rows = _stored(spark, path, df.schema).count()
-        entries.append((layer, name, partition_by, df.schema.json(), rows, day))
+        return (*pair, partition_by, df.schema.json(), rows, day)
+
+    entries = each(spark, copy, tables, at_once)
     (
         spark.createDataFrame(entries, MANIFEST)
         .coalesce(1)
@@ -67,7 +72,7 @@ def publish(lake: Lake, tables: Sequence[tuple[str, str]], root: str, day: dt.da
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """One row per snapshot and table; small, as it grows with tables, not rows."""
+    """One row per snapshot and table; it grows with their number, not with rows."""
     return _stored(spark, _manifest_path(root), MANIFEST)
 
 
@@ -78,15 +83,18 @@ def newest(spark: SparkSession, root: str) -> DataFrame:
     return entries.join(last, "snapshot_date", "left_semi")
 
 
-def restore(lake: Lake, root: str) -> list[Table]:
+def restore(lake: Lake, root: str, at_once: int = 4) -> list[Table]:
     """Bring the newest snapshot's tables back; a table that is there is left alone."""
-    restored = []
-    for entry in newest(lake.spark, root).collect():
+
+    def copy(entry: Row) -> Table | None:
         table = lake.table(entry["layer"], entry["table"])
-        if not table.exists():
-            schema = T.StructType.fromJson(json.loads(entry["schema"]))
-            path = _data_path(root, entry["snapshot_date"], entry["layer"], entry["table"])
-            create_like(table, _stored(lake.spark, path, schema), entry["partition_by"])
-            append(table, _stored(lake.spark, path, schema), cluster=False)
-            restored.append(table)
-    return restored
+        if table.exists():
+            return None
+        path = _data_path(root, entry["snapshot_date"], entry["layer"], entry["table"])
+        schema = T.StructType.fromJson(json.loads(entry["schema"]))
+        rows = _stored(lake.spark, path, schema)
+        append(create_like(table, rows, entry["partition_by"]), rows, cluster=False)
+        return table
+
+    found = each(lake.spark, copy, newest(lake.spark, root).collect(), at_once)
+    return [table for table in found if table is not None]

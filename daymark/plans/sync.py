@@ -14,9 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import DAY, quoted, with_day
-from ..operators.days import MAX_LISTED_DAYS, distinct_days, in_days, spilled
-from ..sinks.tables import create_like, put_days
+from ..functions.columns import DAY, with_day
+from ..operators.days import MAX_LISTED_DAYS, distinct_days, in_days, joined_on_days
+from ..session import materialised
+from ..sinks.tables import add_days, create_like
 from ..sources.tables import Table
 
 
@@ -40,7 +41,7 @@ def fresh_day_counts(source: DataFrame, target: Table, day: str = DAY) -> DataFr
     counts = source.groupBy(day).agg(F.count(F.lit(1)).alias("rows"))
     if not target.exists():
         return counts
-    return counts.join(distinct_days(target.read(), day), day, "left_anti")
+    return counts.join(distinct_days(with_day(target.read(), day), day), day, "left_anti")
 
 
 def sync_days(
@@ -55,7 +56,7 @@ def sync_days(
     Rows without a day are never copied, only counted.  A source laid out by day is
     copied without a shuffle.
     """
-    laid_out = isinstance(source, Table) and source.partition_columns() == [day]
+    laid_out = isinstance(source, Table) and source.is_by_day(day)
     rows = with_day(source.read() if isinstance(source, Table) else source, day)
     if only is not None:
         rows = rows.where(in_days(day, sorted(set(only))))
@@ -74,13 +75,13 @@ def sync_days(
             target.identifier, len(listed), sum(r["rows"] for r in listed), rejected
         )
     else:
-        days = spilled(fresh, day)
-        wanted = rows.join(days, day, "left_semi").select(*[quoted(c) for c in rows.columns])
+        days = materialised(fresh.where(F.col(day).isNotNull()), "days")
+        wanted = joined_on_days(rows, days, day)
         total = days.agg(F.count(F.lit(1)), F.sum("rows")).first()
         report = SyncReport(target.identifier, *total, rejected)
 
     create_like(target, rows, [day])
-    put_days(target, wanted, day, cluster=not laid_out)
+    add_days(target, wanted, day, cluster=not laid_out)
     return report
 
 

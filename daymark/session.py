@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults that hold from a laptop to a large cluster.  Shuffles start wide and
 # AQE folds them to the advisory size, so one setting serves both.
@@ -121,3 +121,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     fs.mkdirs(jpath)
     fs.deleteOnExit(jpath)
     return path
+
+
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to scratch and read it back.
+
+    Cuts the lineage in storage that outlives an executor, and gives Spark the
+    frame's true size, by which it decides whether a join may broadcast it.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

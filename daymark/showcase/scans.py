@@ -48,12 +48,13 @@ def scan_csv_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path, customers.schema)
 
 
-def _write_json_documents(df: DataFrame, key: str, path: str, per_document: int = 50_000) -> None:
+def _write_json_documents(df: DataFrame, path: str, per_document: int = 50_000) -> None:
     """Fixture: pretty-printed JSON arrays, one per file, of at most ``per_document``
-    neighbouring keys each."""
+    neighbouring rows each, whatever their values."""
     rows = F.collect_list(F.struct(*df.columns))
+    place = F.call_function("div", F.monotonically_increasing_id(), F.lit(per_document))
     (
-        df.groupBy(F.call_function("div", F.col(key), F.lit(per_document)).alias("document"))
+        df.groupBy(place.alias("document"))
         .agg(F.to_json(rows, {"pretty": "true"}).alias("value"))
         .write.mode("overwrite")
         .partitionBy("document")
@@ -70,7 +71,7 @@ def _write_json_documents(df: DataFrame, key: str, path: str, per_document: int
 def scan_json_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "customer-json")
     customers = table(spark, sf_dir, "customer")
-    _write_json_documents(customers, "c_custkey", path)
+    _write_json_documents(customers, path)
     return read_json(spark, path).select(*customers.columns)
 
 

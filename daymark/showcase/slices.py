@@ -56,11 +56,9 @@ def slice_export_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    SELECT event_id, user_id, event_type, value, {EVENT_DAY} AS DATE
-    FROM events WHERE {EVENT_DAY} = DATE '2024-01-10'
+    SELECT e.*, {EVENT_DAY} AS DATE FROM events e WHERE {EVENT_DAY} = DATE '2024-01-10'
     """
 )
 def slice_export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "slice")
-    events = events_by_day(spark, sf_dir).drop("ts", "props")
-    return export_day(events, SLICE_DAY, path, "csv")
+    return export_day(events_by_day(spark, sf_dir), SLICE_DAY, path, "csv")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..sources.files import CSV_OPTIONS
 from .tables import clustered
 
 ROW_GROUP_BYTES = 128 * 1024 * 1024
@@ -21,7 +22,7 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header in every part file."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def export(df: DataFrame, path: str, file_type: str) -> None:

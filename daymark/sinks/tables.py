@@ -45,12 +45,26 @@ def put_days(table: Table, df: DataFrame, day: str = DAY, cluster: bool = True)
     The files of a day are staged and moved into place at commit, so a job that
     is run again after a failure neither doubles a day nor leaves half of one.
     """
+    if not table.is_by_day(day):
+        raise ValueError(f"{table.identifier} is not partitioned by {day} alone")
     rows = clustered(df, [day]) if cluster else df
     table.spark.sql(
         f"INSERT OVERWRITE TABLE {table.identifier} BY NAME SELECT * FROM {{rows}}", rows=rows
     )
 
 
+def add_days(table: Table, df: DataFrame, day: str = DAY, cluster: bool = True) -> None:
+    """Write days the table does not hold yet.
+
+    A table laid out by day takes them as whole partitions.  Any other is appended
+    to, which a second try after a failed commit may double.
+    """
+    if table.is_by_day(day):
+        put_days(table, df, day, cluster)
+    else:
+        append(table, df)
+
+
 def replace(table: Table, df: DataFrame, partition_by: Sequence[str] = ()) -> Table:
     """Overwrite the table, schema included."""
     writer = clustered(df, partition_by).write.format("parquet").mode("overwrite")

@@ -11,6 +11,13 @@ from ..functions.columns import quoted
 # The file suffixes that mark a path rather than a table name.
 SUFFIXES = (".csv", ".json", ".parquet")
 
+# A header row, and timestamps to the microsecond: the default keeps milliseconds.
+CSV_OPTIONS = {
+    "header": "true",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+}
+
 
 def suffix_of(path: str) -> str | None:
     """The known suffix a path ends in, or None for a table name."""
@@ -30,7 +37,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """CSV with a header row.  Every column is a string unless a schema is given;
     neither form makes an inference pass over the data."""
-    reader = spark.read.option("header", True)
+    reader = spark.read.options(**CSV_OPTIONS)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -16,6 +17,9 @@ from ..functions.columns import quoted
 
 LAYERS = ("bronze", "silver", "gold")
 
+# Fixed value: the line of DESCRIBE TABLE that, with a header line, precedes partition columns.
+PARTITION_HEADING = "# Partition Information"
+
 # Dynamic overwrite is a property of the table: an overwrite replaces the
 # partitions it writes and leaves the rest, whatever the session says.
 TABLE_OPTIONS = {
@@ -37,14 +41,28 @@ class Table:
         return f"{quoted(self.database)}.{quoted(self.name)}"
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.identifier)
+        """Is there such a table?  One that an earlier session left at the path is
+        named again first, so its rows are never taken for absent."""
+        if self.spark.catalog.tableExists(self.identifier):
+            return True
+        if not _child_names(self.spark, self.location):
+            return False
+        attach(self)
+        return True
 
     def read(self) -> DataFrame:
         return self.spark.table(self.identifier)
 
     def partition_columns(self) -> list[str]:
-        columns = self.spark.catalog.listColumns(self.identifier)
-        return [c.name for c in columns if c.isPartition]
+        # DESCRIBE is answered by the catalog alone; listColumns would run Spark jobs.
+        rows = self.spark.sql(f"DESCRIBE TABLE {self.identifier}").collect()
+        names = [r["col_name"] for r in rows]
+        if PARTITION_HEADING not in names:
+            return []
+        return names[names.index(PARTITION_HEADING) + 2 :]
+
+    def is_by_day(self, day: str) -> bool:
+        return [c.lower() for c in self.partition_columns()] == [day.lower()]
 
 
 @dataclass(frozen=True)
@@ -82,7 +100,12 @@ def literal(text: str) -> str:
 
 
 def register(table: Table, schema: T.StructType, partition_by: Sequence[str] = ()) -> Table:
-    """CREATE TABLE IF NOT EXISTS at the table's path; an existing one is left as it is."""
+    """CREATE TABLE IF NOT EXISTS at the table's path; an existing one is left as it is.
+
+    Partition folders already there are taken up; later ones come in with each write.
+    """
+    if table.spark.catalog.tableExists(table.identifier):
+        return table
     columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema)
     options = ", ".join(f"{literal(k)} = {literal(v)}" for k, v in TABLE_OPTIONS.items())
     partitions = f"PARTITIONED BY ({', '.join(map(quoted, partition_by))}) " if partition_by else ""
@@ -90,16 +113,29 @@ def register(table: Table, schema: T.StructType, partition_by: Sequence[str] = (
         f"CREATE TABLE IF NOT EXISTS {table.identifier} ({columns}) USING parquet "
         f"OPTIONS ({options}) {partitions}LOCATION {literal(table.location)}"
     )
-    if partition_by and table.spark.conf.get("spark.sql.catalogImplementation") == "hive":
+    if partition_by and _child_names(table.spark, table.location):
         table.spark.catalog.recoverPartitions(table.identifier)
     return table
 
 
-def attach(table: Table, partition_by: Sequence[str] = ()) -> Table:
+def attach(table: Table) -> Table:
     """Name files that already lie at the table's path, whoever wrote them.
 
-    The schema comes from the files; the types of partition values are guessed by
-    Spark from the folder names, which is safe for dates.
+    The schema comes from the files, the partition columns from the folder names.
+    Spark guesses the types of partition values, which is safe for dates.
     """
-    found = table.spark.read.parquet(table.location).schema
-    return register(table, found, partition_by)
+    partition_by, path = [], table.location
+    while folder := next((n for n in _child_names(table.spark, path) if "=" in n), None):
+        partition_by.append(unquote(folder.split("=", 1)[0]))
+        path = f"{path}/{folder}"
+    return register(table, table.spark.read.parquet(table.location).schema, partition_by)
+
+
+def _child_names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds, hidden names aside; one listing call, no file is opened."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(jpath)]
+    return sorted(n for n in names if not n.startswith(("_", ".")))

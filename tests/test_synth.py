@@ -1,0 +1,103 @@
+import datetime as dt
+
+import pytest
+from helpers import rows
+from pyspark.sql import functions as F
+
+from daymark.functions.draws import draw
+from daymark.synth.companies import (
+    CAMEL_CASE,
+    NAME_COUNT,
+    TITLE_CASE,
+    companies,
+    company_name,
+    departments,
+    employees,
+    fan_out,
+)
+
+
+def test_headers_and_types(spark):
+    title = companies(spark.range(5))
+    assert [n for n, _ in title.dtypes] == ["Name", "Industry", "Employees", "Revenue", "Location"]
+    camel = companies(spark.range(5), CAMEL_CASE)
+    assert dict(camel.dtypes)["employees"] == "int" and dict(camel.dtypes)["revenue"] == "bigint"
+    assert employees(title).columns == [
+        "Company_Name", "First_Name", "Last_Name", "Email", "Position", "Salary",
+    ]
+    assert departments(title).columns == [
+        "Company_Name", "Department_Name", "Manager_ID", "Budget", "Location", "Start_Date",
+        "End_Date", "Department_Size", "Functional_Area",
+    ]
+    assert departments(camel, CAMEL_CASE).dtypes[2:4] == [("managerID", "int"), ("budget", "int")]
+    assert dict(departments(camel, CAMEL_CASE).dtypes)["startDate"] == "string"
+
+
+def test_names_are_unique_beyond_the_vocabulary(spark):
+    ids = spark.range(0, 3 * NAME_COUNT, 7).union(spark.range(2**60, 2**60 + 50_000))
+    names = ids.select(company_name(F.col("id")).alias("name"))
+    assert names.distinct().count() == ids.count()
+    early = spark.range(50_000).where(company_name(F.col("id")).rlike("-[0-9]+$")).count()
+    assert early == 0
+
+
+def test_same_seed_same_rows_other_seed_other_rows(spark):
+    a, b = (companies(spark.range(0, 300, 1, n)) for n in (1, 7))
+    assert rows(a) == rows(b)
+    assert rows(a) != rows(companies(spark.range(300), seed=1))
+
+
+def test_values_stay_in_their_closed_ranges(spark):
+    for profile, count in ((TITLE_CASE, "Employees"), (CAMEL_CASE, "employees")):
+        low, high = companies(spark.range(100_000), profile).agg(F.min(count), F.max(count)).first()
+        wide_low, wide_high = profile.employees
+        assert wide_low <= low <= wide_low + wide_high // 100
+        assert wide_high - wide_high // 100 <= high <= wide_high
+
+
+def test_fan_out_counts(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 0), ("c", None), ("d", 25), ("e", 10)], "k string, n int")
+    out = fan_out(df, "k", "n", "i", rows_per_block=10)
+    assert {r["k"]: (r["c"], r["lo"], r["hi"]) for r in out.groupBy("k").agg(
+        F.countDistinct("i").alias("c"), F.min("i").alias("lo"), F.max("i").alias("hi")
+    ).collect()} == {"a": (3, 1, 3), "d": (25, 1, 25), "e": (10, 1, 10)}
+    assert out.count() == 38
+    assert fan_out(df.where("n = 0"), "k", "n", "i").count() == 0
+
+
+def test_a_hot_company_is_spread_over_tasks(spark):
+    """One company with most of the rows must not land in one task."""
+    df = spark.createDataFrame([("hot", 500_000)] + [(f"c{i}", 100) for i in range(50)], "k string, n int")
+    out = fan_out(df, "k", "n", "i", rows_per_block=5_000, tasks=8)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < sum(sizes) / 3
+
+
+def test_employees_belong_to_their_company(spark):
+    owners = companies(spark.range(4), seed=3)
+    sizes = {r["Name"]: r["Employees"] for r in owners.collect()}
+    found = employees(owners, seed=3).groupBy("Company_Name").count().collect()
+    assert {r["Company_Name"]: r["count"] for r in found} == sizes
+    one = employees(owners, seed=3).first()
+    domain = one["Company_Name"].translate({ord(c): None for c in " .,"}).lower()
+    assert one["Email"] == f"{one['First_Name']}.{one['Last_Name']}".lower() + f"@{domain}.com"
+
+
+def test_departments(spark):
+    owners = companies(spark.range(3_000))
+    d = departments(owners, as_of=dt.date(2024, 6, 1))
+    per = d.groupBy("Company_Name").count().agg(F.min("count"), F.max("count"), F.count("*")).first()
+    assert tuple(per) == (1, 3, 3_000)
+    assert d.where("Start_Date > DATE'2024-06-01' OR Start_Date < DATE'2020-01-01'").count() == 0
+    assert d.where("End_Date <= DATE'2024-06-01' OR End_Date > DATE'2029-06-01'").count() == 0
+    assert d.where("Department_Name LIKE '% %'").count() == 0
+    camel = companies(spark.range(3_000), CAMEL_CASE)
+    assert departments(camel, CAMEL_CASE).where("endDate < startDate").count() == 0
+    loose = departments(camel, CAMEL_CASE, ordered_dates=False)
+    assert loose.where("endDate < startDate").count() > 0
+    assert loose.where("startDate < '2000-01-01' OR startDate >= '2023-01-01'").count() == 0
+
+
+def test_a_digest_has_four_draws():
+    with pytest.raises(ValueError, match="slot 4"):
+        draw(None, 4)
