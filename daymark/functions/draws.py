@@ -36,7 +36,8 @@ def date_between(value: Column, first: dt.date, end: dt.date) -> Column:
 
 
 def pick(value: Column, words: Sequence[str]) -> Column:
-    """A draw mapped to one of a fixed list."""
-    return F.element_at(
-        F.array(*[F.lit(w) for w in words]), (value % F.lit(len(words))).cast("int") + F.lit(1)
-    )
+    """A draw mapped to one of a fixed list.  The list is one literal once planned."""
+    if any("|" in w for w in words):
+        raise ValueError("words must not contain |")
+    listed = F.split(F.lit("|".join(words)), r"\|")
+    return F.element_at(listed, (value % F.lit(len(words))).cast("int") + F.lit(1))

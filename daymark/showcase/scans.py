@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..plans.ingest import bootstrap, stage
 from ..session import scratch_dir
-from ..sinks.files import write_csv, write_entity_csv
+from ..sinks.files import write_csv, write_entity_csv, write_parquet
 from ..sinks.tables import create_as
-from ..sources.files import query_in_place, read_csv, read_json, read_parquet
+from ..sources.files import latest_file, query_in_place, read_csv, read_json, read_parquet
 from ..sources.sql import query as sql_query
 from ..sources.tables import Lake, attach
 from .registry import query, scratch_lake, table
@@ -139,6 +139,27 @@ def bootstrap_twice_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap(spark, source, target, ["c_mktsegment"]).read().select(*columns)
 
 
+@query("SELECT * FROM customer")
+def bootstrap_between_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lake = scratch_lake(spark)
+    staged = bootstrap(spark, f"{sf_dir}/customer.parquet", lake.table("bronze", "customer"))
+    target = lake.table("silver", "customer")
+    columns = staged.read().columns
+    return bootstrap(spark, staged.identifier, target, ["c_mktsegment"]).read().select(*columns)
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal + 2 AS s_acctbal FROM supplier")
+def latest_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three exports of one table, each a little later; the rows of the newest."""
+    root = scratch_dir(spark, "artifacts")
+    suppliers = table(spark, sf_dir, "supplier")
+    for i in range(3):
+        balance = (F.col("s_acctbal") + i).alias("s_acctbal")
+        write_parquet(suppliers.select("s_suppkey", "s_name", balance), f"{root}/export-{i}")
+    newest = latest_file(spark, root, "*.parquet").first()["path"]
+    return read_parquet(spark, newest.rsplit("/", 1)[0])
+
+
 @query("SELECT * FROM customer")
 def bootstrap_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch_lake(spark).table("bronze", "customer")

@@ -6,7 +6,7 @@ catalog does not, and can be found again wherever the folder was moved.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
@@ -45,7 +45,7 @@ class Table:
         named again first, so its rows are never taken for absent."""
         if self.spark.catalog.tableExists(self.identifier):
             return True
-        if not _child_names(self.spark, self.location):
+        if next(_children(self.spark, self.location), None) is None:
             return False
         attach(self)
         return True
@@ -113,7 +113,7 @@ def register(table: Table, schema: T.StructType, partition_by: Sequence[str] = (
         f"CREATE TABLE IF NOT EXISTS {table.identifier} ({columns}) USING parquet "
         f"OPTIONS ({options}) {partitions}LOCATION {literal(table.location)}"
     )
-    if partition_by and _child_names(table.spark, table.location):
+    if partition_by and next(_children(table.spark, table.location), None):
         table.spark.catalog.recoverPartitions(table.identifier)
     return table
 
@@ -125,17 +125,20 @@ def attach(table: Table) -> Table:
     Spark guesses the types of partition values, which is safe for dates.
     """
     partition_by, path = [], table.location
-    while folder := next((n for n in _child_names(table.spark, path) if "=" in n), None):
+    while folder := next((n for n in _children(table.spark, path) if "=" in n), None):
         partition_by.append(unquote(folder.split("=", 1)[0]))
         path = f"{path}/{folder}"
     return register(table, table.spark.read.parquet(table.location).schema, partition_by)
 
 
-def _child_names(spark: SparkSession, path: str) -> list[str]:
-    """What a folder holds, hidden names aside; one listing call, no file is opened."""
+def _children(spark: SparkSession, path: str) -> Iterator[str]:
+    """Names in a folder, hidden ones aside, listed no further than they are asked for."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(jpath):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(jpath)]
-    return sorted(n for n in names if not n.startswith(("_", ".")))
+        return
+    entries = fs.listStatusIterator(jpath)
+    while entries.hasNext():
+        name = entries.next().getPath().getName()
+        if not name.startswith(("_", ".")):
+            yield name

@@ -89,11 +89,11 @@ def company_name(key: Column, seed: int = 0) -> Column:
     surnames = len(words.SURNAMES)
     parts = [pick(_div(place, surnames**i), words.SURNAMES) for i in range(3)]
     ending = pick(_div(place, surnames**3), words.COMPANY_ENDINGS)
-    name = F.concat(
-        parts[0], F.lit(", "), parts[1], F.lit(" and "), parts[2], F.lit(" "), ending
-    )
     cycle = _div(key, NAME_COUNT)
-    return F.when(cycle == 0, name).otherwise(F.concat(name, F.lit("-"), cycle.cast("string")))
+    suffix = F.when(cycle == 0, "").otherwise(F.concat(F.lit("-"), cycle.cast("string")))
+    return F.concat(
+        parts[0], F.lit(", "), parts[1], F.lit(" and "), parts[2], F.lit(" "), ending, suffix
+    )
 
 
 def industry_phrase(value: Column) -> Column:
