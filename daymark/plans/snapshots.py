@@ -51,19 +51,21 @@ def publish(
     """
     spark = lake.spark
 
-    def copy(pair: tuple[str, str]) -> tuple:
+    def copy(pair: tuple[str, str]) -> dict:
         table, path = lake.table(*pair), _data_path(root, day, *pair)
         df, partition_by = table.read(), table.partition_columns()
         writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
         writer.partitionBy(*partition_by).parquet(path)
         # Counted from the written footers: what the snapshot holds, not what was sent.
         rows = _stored(spark, path, df.schema).count()
-        return (*pair, partition_by, df.schema.json(), rows, day)
+        values = (*pair, partition_by, df.schema.json(), rows, day.isoformat())
+        return dict(zip(MANIFEST.names, values))
 
-    entries = each(spark, copy, tables, at_once)
+    entries = json.dumps(each(spark, copy, tables, at_once))
+    listed = F.from_json(F.lit(entries), T.ArrayType(MANIFEST))
     (
-        spark.createDataFrame(entries, MANIFEST)
-        .coalesce(1)
+        spark.range(0, 1, 1, 1)
+        .select(F.inline(listed))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("snapshot_date")
