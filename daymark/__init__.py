@@ -1,4 +1,4 @@
-"""daymark: dated lakehouse tables on Spark.
+"""daymark: dated lake tables on Spark.
 
 Everything here is a DataFrame or SQL plan.  Nothing ships Python to the
 executors, and the only data that reaches the driver is a list of calendar days

@@ -32,17 +32,19 @@ def bootstrap(
     partition_by: Sequence[str] = (),
     mode: str = "append",
     schema: T.StructType | None = None,
+    cluster: bool = True,
 ) -> Table:
     """Load a whole file or table into ``target``.
 
     ``append`` adds the rows again on every run; ``overwrite`` replaces them.
+    ``cluster`` is as for ``append`` of ``sinks.tables``.
     """
     df = read_any(spark, source, schema)
     if mode == "overwrite":
-        return replace(target, df, partition_by)
+        return replace(target, df, partition_by, cluster)
     if mode != "append":
         raise ValueError(f"mode {mode!r} is neither append nor overwrite")
-    append(create_like(target, df, partition_by), df)
+    append(create_like(target, df, partition_by), df, cluster)
     return target
 
 

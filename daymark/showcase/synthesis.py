@@ -14,6 +14,8 @@ from ..functions.columns import mail_address
 from ..functions.columns import mail_domain as domain_of
 from ..functions.draws import date_between, digest, draw, int_between, pick
 from ..operators.names import unique_names as made_unique
+from ..session import scratch_dir
+from ..sources.files import read_csv
 from ..synth import words
 from ..synth.companies import (
     CAMEL_CASE,
@@ -24,6 +26,7 @@ from ..synth.companies import (
     departments,
     employees,
 )
+from ..synth.landing import land
 from .registry import query, table
 
 # Fewer employees per company than the profiles have, and none for some.
@@ -145,6 +148,23 @@ def synth_employees_camel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return employees(_companies(spark, sf_dir, SMALL_CAMEL_CASE), SMALL_CAMEL_CASE)
 
 
+@query(
+    f"""
+    SELECT name AS "companyName", first AS "firstName", last AS "lastName",
+           lower(first || '.' || last || '@' || name) || '.com' AS email,
+           job AS position, {_between("d3", CAMEL_CASE.salary, "INTEGER")} AS salary
+    FROM ({_employees_sql(CAMEL_COMPANIES)})
+    """
+)
+def synth_landed_employees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three entities landed as CSV, and the employees read back."""
+    ids = table(spark, sf_dir, "customer")
+    root = scratch_dir(spark, "landing")
+    paths = land(ids, root, SMALL_CAMEL_CASE, "csv", key="c_custkey")
+    df = read_csv(spark, paths["employees"])
+    return df.withColumn("salary", F.col("salary").cast("int"))
+
+
 def _departments_sql(companies_sql: str, bounds: tuple[int, int]) -> str:
     counted = f"""
     SELECT name, {_between("d0", bounds)} AS n

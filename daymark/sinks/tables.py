@@ -28,8 +28,12 @@ def create_like(table: Table, df: DataFrame, partition_by: Sequence[str] = ()) -
 
 
 def append(table: Table, df: DataFrame, cluster: bool = True) -> None:
-    """Append to an existing table.  ``cluster=False`` when ``df`` already comes
-    out of files laid out by the same partition columns: no shuffle then."""
+    """Append to an existing table.
+
+    ``cluster=False`` spares the shuffle where ``df`` comes out of files laid out by the
+    same partition columns, or where these have so few values that a task may well
+    write a file for each.
+    """
     rows = clustered(df, table.partition_columns()) if cluster else df
     table.spark.sql(f"INSERT INTO {table.identifier} BY NAME SELECT * FROM {{rows}}", rows=rows)
 
@@ -65,9 +69,12 @@ def add_days(table: Table, df: DataFrame, day: str = DAY, cluster: bool = True)
         append(table, df)
 
 
-def replace(table: Table, df: DataFrame, partition_by: Sequence[str] = ()) -> Table:
+def replace(
+    table: Table, df: DataFrame, partition_by: Sequence[str] = (), cluster: bool = True
+) -> Table:
     """Overwrite the table, schema included."""
-    writer = clustered(df, partition_by).write.format("parquet").mode("overwrite")
+    rows = clustered(df, partition_by) if cluster else df
+    writer = rows.write.format("parquet").mode("overwrite")
     for key, value in TABLE_OPTIONS.items():
         writer = writer.option(key, value)
     if partition_by:
@@ -77,12 +84,14 @@ def replace(table: Table, df: DataFrame, partition_by: Sequence[str] = ()) -> Ta
     return table
 
 
-def create_as(table: Table, df: DataFrame, partition_by: Sequence[str] = ()) -> Table:
+def create_as(
+    table: Table, df: DataFrame, partition_by: Sequence[str] = (), cluster: bool = True
+) -> Table:
     """CREATE TABLE AS SELECT, at the table's path; fails if the table exists."""
     if table.exists():
         raise ValueError(f"{table.identifier} exists")
     create_like(table, df, partition_by)
-    append(table, df)
+    append(table, df, cluster)
     return table
 
 
