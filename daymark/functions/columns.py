@@ -53,4 +53,4 @@ def mail_address(first: Column, last: Column, domain: Column) -> Column:
 
 
 def first_word(phrase: Column) -> Column:
-    return F.split(phrase, " ", 2)[0]
+    return F.substring_index(phrase, " ", 1)

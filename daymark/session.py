@@ -8,10 +8,10 @@ import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
-# Defaults that hold from a laptop to a large cluster.  Shuffles start wide and
-# AQE folds them to the advisory size, so one setting serves both.
+# Defaults that hold from a laptop to a large cluster.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -24,6 +24,11 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+# Without a partition count of their own, shuffles start this wide and AQE folds
+# them to the advisory size.  Folding is cheap; too few partitions cannot be split
+# under an aggregate.
+INITIAL_PARTITIONS = 4096
+
 
 @dataclass(frozen=True)
 class ObjectStore:
@@ -81,6 +86,9 @@ class Settings:
             conf["spark.sql.warehouse.dir"] = self.warehouse
         if self.shuffle_partitions:
             conf["spark.sql.shuffle.partitions"] = str(self.shuffle_partitions)
+        else:
+            initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+            conf[initial] = str(INITIAL_PARTITIONS)
         for name, properties in self.catalogs.items():
             for key, value in properties.items():
                 conf[f"spark.sql.catalog.{name}" + (f".{key}" if key else "")] = value
@@ -113,11 +121,23 @@ def scratch_root(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "daymark-scratch")
 
 
+def file_system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """The Hadoop file system of a path, and the path as it knows it."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, jpath
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full form of a path, scheme included."""
+    fs, jpath = file_system(spark, path)
+    return fs.makeQualified(jpath).toString().rstrip("/")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the scratch root, dropped when the session's JVM ends."""
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, jpath = file_system(spark, path)
     fs.mkdirs(jpath)
     fs.deleteOnExit(jpath)
     return path

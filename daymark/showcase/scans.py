@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ingest import bootstrap, stage
-from ..session import scratch_dir
+from ..session import file_system, scratch_dir
 from ..sinks.files import write_csv, write_entity_csv, write_parquet
 from ..sinks.tables import create_as
 from ..sources.files import latest_file, query_in_place, read_csv, read_json, read_parquet
@@ -106,9 +106,8 @@ def moved_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     create_as(lake.table("bronze", "part"), table(spark, sf_dir, "part"))
     moved = Lake(spark, lake.root, ref="moved", prefix=lake.prefix).create_layers()
     old, new = (lk.table("bronze", "part").location for lk in (lake, moved))
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.rename(hadoop.Path(old), hadoop.Path(new))
+    fs, old_path = file_system(spark, old)
+    fs.rename(old_path, file_system(spark, new)[1])
     return attach(moved.table("bronze", "part")).read()
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..functions.columns import quoted
+from ..session import file_system, qualified
 
 LAYERS = ("bronze", "silver", "gold")
 
@@ -67,7 +68,10 @@ class Table:
 
 @dataclass(frozen=True)
 class Lake:
-    """Layer namespaces under ``root`` for one branch ``ref``."""
+    """Layer namespaces under ``root`` for one branch ``ref``.
+
+    Two lakes in one session need different ``prefix``es for their databases.
+    """
 
     spark: SparkSession = field(repr=False, compare=False)
     root: str
@@ -75,6 +79,10 @@ class Lake:
     layers: tuple[str, ...] = LAYERS
     prefix: str = ""
 
+    def __post_init__(self) -> None:
+        # A relative root would mean one thing to a reader and another to the catalog.
+        object.__setattr__(self, "root", qualified(self.spark, self.root))
+
     def database(self, layer: str) -> str:
         if layer not in self.layers:
             raise ValueError(f"no layer {layer!r}; this lake has {self.layers}")
@@ -85,10 +93,13 @@ class Lake:
 
     def create_layers(self) -> Lake:
         for layer in self.layers:
+            name, path = self.database(layer), self.path(layer)
             self.spark.sql(
-                f"CREATE DATABASE IF NOT EXISTS {quoted(self.database(layer))} "
-                f"LOCATION {literal(self.path(layer))}"
+                f"CREATE DATABASE IF NOT EXISTS {quoted(name)} LOCATION {literal(path)}"
             )
+            found = qualified(self.spark, self.spark.catalog.getDatabase(name).locationUri)
+            if found != path:
+                raise ValueError(f"database {name} is at {found}, not {path}: choose a prefix")
         return self
 
     def table(self, layer: str, name: str) -> Table:
@@ -133,8 +144,7 @@ def attach(table: Table) -> Table:
 
 def _children(spark: SparkSession, path: str) -> Iterator[str]:
     """Names in a folder, hidden ones aside, listed no further than they are asked for."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, jpath = file_system(spark, path)
     if not fs.exists(jpath):
         return
     entries = fs.listStatusIterator(jpath)

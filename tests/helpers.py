@@ -16,4 +16,4 @@ def plan(df, mode="formatted"):
 def files_under(path, suffix):
     from pathlib import Path
 
-    return sorted(str(p) for p in Path(path).rglob(f"*{suffix}"))
+    return sorted(str(p) for p in Path(path.removeprefix("file:")).rglob(f"*{suffix}"))

@@ -18,7 +18,7 @@ def job(spark):
 
 def test_synth_to_mart(spark, job):
     call, root, ref = job
-    call("synth", f"{root}/landing", 30, "--max-employees", 20, "--style", "camel")
+    call("synth", f"{root}/landing", 6, "--max-employees", 20, "--style", "camel")
     landed = f"{root}/landing/departments"
     departments = spark.read.parquet(landed)
     dated = f"{root}/dated.csv"

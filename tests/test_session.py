@@ -36,6 +36,8 @@ def test_settings_become_session_conf():
     assert conf["spark.sql.catalog.lake"] == "a.b.Catalog"
     assert conf["spark.sql.catalog.lake.ref"] == "main"
     assert conf["spark.sql.adaptive.enabled"] == "false"
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert initial not in conf and initial in Settings().conf()
 
 
 def test_scratch_is_where_the_cluster_says(spark):

@@ -111,6 +111,12 @@ def test_refs_are_separate(spark, lake):
         lake.table("platinum", "t")
 
 
+def test_two_lakes_must_not_share_a_database(spark, lake):
+    with pytest.raises(ValueError, match="choose a prefix"):
+        Lake(spark, scratch_dir(spark, "lake"), prefix=lake.prefix).create_layers()
+    assert Lake(spark, "relative/root").root.startswith("file:/")
+
+
 def test_quoting_of_odd_columns(spark, lake):
     df = spark.sql("SELECT 1 AS `a b`, 2 AS `c``d`, 'x' AS `select`")
     assert rows(create_as(lake.table("gold", "t"), df, ["select"]).read()) == [(1, 2, "x")]
