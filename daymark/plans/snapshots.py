@@ -85,6 +85,20 @@ def newest(spark: SparkSession, root: str) -> DataFrame:
     return entries.join(last, "snapshot_date", "left_semi")
 
 
+def read_newest(spark: SparkSession, root: str, layer: str, name: str) -> DataFrame:
+    """A table as the newest snapshot holds it, read in place: nothing is copied."""
+    found = newest(spark, root).where((F.col("layer") == layer) & (F.col("table") == name))
+    entry = found.first()
+    if entry is None:
+        raise LookupError(f"the newest snapshot under {root} has no {layer}.{name}")
+    return _entry_rows(spark, root, entry)
+
+
+def _entry_rows(spark: SparkSession, root: str, entry: Row) -> DataFrame:
+    path = _data_path(root, entry["snapshot_date"], entry["layer"], entry["table"])
+    return _stored(spark, path, T.StructType.fromJson(json.loads(entry["schema"])))
+
+
 def restore(lake: Lake, root: str, at_once: int = 4) -> list[Table]:
     """Bring the newest snapshot's tables back; a table that is there is left alone."""
 
@@ -92,9 +106,7 @@ def restore(lake: Lake, root: str, at_once: int = 4) -> list[Table]:
         table = lake.table(entry["layer"], entry["table"])
         if table.exists():
             return None
-        path = _data_path(root, entry["snapshot_date"], entry["layer"], entry["table"])
-        schema = T.StructType.fromJson(json.loads(entry["schema"]))
-        rows = _stored(lake.spark, path, schema)
+        rows = _entry_rows(lake.spark, root, entry)
         append(create_like(table, rows, entry["partition_by"]), rows, cluster=False)
         return table
 

@@ -36,8 +36,7 @@ def date_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EVENT_SLICE)
 def date_slice_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn(DAY, F.col("ts").cast("date"))
-    return day_slice(events, SLICE_DAY, "ts")
+    return day_slice(events_by_day(spark, sf_dir), SLICE_DAY, "ts")
 
 
 @query(EVENT_SLICE)
@@ -51,7 +50,7 @@ def mart_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT e.*, {EVENT_DAY} AS DATE FROM events e WHERE {EVENT_DAY} = DATE '2024-01-10'")
 def slice_export_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "slice")
-    return export_day(events_by_day(spark, sf_dir), SLICE_DAY, path, "parquet")
+    return export_day(events_by_day(spark, sf_dir), SLICE_DAY, path, "parquet", column="ts")
 
 
 @query(
@@ -61,4 +60,4 @@ def slice_export_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def slice_export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "slice")
-    return export_day(events_by_day(spark, sf_dir), SLICE_DAY, path, "csv")
+    return export_day(events_by_day(spark, sf_dir), SLICE_DAY, path, "csv", column="ts")

@@ -171,16 +171,27 @@ def csv_ingest_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.read()
 
 
-@query(f"SELECT e.*, {EVENT_DAY} AS DATE FROM events e")
-def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two dated copies, the older one half full; the newer is restored elsewhere."""
-    events = events_by_day(spark, sf_dir)
-    lake, root = scratch_lake(spark), scratch_dir(spark, "snapshots")
+def _publish_twice(spark: SparkSession, sf_dir: str, lake: Lake) -> str:
+    """Two dated copies of the events, the older one half full; their root."""
+    events, root = events_by_day(spark, sf_dir), scratch_dir(spark, "snapshots")
     target = lake.table("gold", "events")
     sync_days(events.where(F.col(DAY) < F.lit(dt.date(2024, 1, 16))), target)
     snapshots.publish(lake, [("gold", "events")], root, dt.date(2024, 2, 1))
     sync_days(events, target)
     snapshots.publish(lake, [("gold", "events")], root, dt.date(2024, 2, 2))
+    return root
+
+
+@query(f"SELECT e.*, {EVENT_DAY} AS DATE FROM events e")
+def snapshot_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _publish_twice(spark, sf_dir, scratch_lake(spark))
+    return snapshots.read_newest(spark, root, "gold", "events")
+
+
+@query(f"SELECT e.*, {EVENT_DAY} AS DATE FROM events e")
+def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lake = scratch_lake(spark)
+    root = _publish_twice(spark, sf_dir, lake)
     elsewhere = Lake(spark, lake.root, ref="restored", prefix=lake.prefix).create_layers()
     snapshots.restore(elsewhere, root)
     return elsewhere.table("gold", "events").read()

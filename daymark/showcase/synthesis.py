@@ -131,9 +131,7 @@ def _employees_sql(companies_sql: str) -> str:
     """
 )
 def synth_employees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Blocks far below a company's size, so that companies are split here too.
-    owners = _companies(spark, sf_dir, SMALL_TITLE_CASE)
-    return employees(owners, SMALL_TITLE_CASE, rows_per_block=16)
+    return employees(_companies(spark, sf_dir, SMALL_TITLE_CASE), SMALL_TITLE_CASE)
 
 
 @query(

@@ -83,8 +83,8 @@ def ctas_whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ctas_then_insert_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = events_by_day(spark, sf_dir)
     target = scratch_lake(spark).table("gold", "events")
-    create_as_day(target, events, dt.date(2024, 1, 10))
-    insert_day(target, events, dt.date(2024, 1, 11))
+    create_as_day(target, events, dt.date(2024, 1, 10), "ts")
+    insert_day(target, events, dt.date(2024, 1, 11), "ts")
     return target.read()
 
 

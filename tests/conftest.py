@@ -13,7 +13,7 @@ sys.path.insert(0, str(ROOT))
 def spark(tmp_path_factory):
     scratch = tmp_path_factory.mktemp("spark")
     session = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master("local[8,3]")  # a failing task gets two more tries
         .appName("daymark-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "6g")

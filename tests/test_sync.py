@@ -13,7 +13,7 @@ from daymark.plans.sync import SyncReport, sync_days, sync_two_hops
 from daymark.session import scratch_dir
 from daymark.showcase.registry import scratch_lake
 from daymark.sinks.files import write_csv
-from daymark.sinks.tables import append, append_by_day, create_as, create_like
+from daymark.sinks.tables import append, append_by_day, create_as, create_like, put_days
 from daymark.sources.tables import Lake
 
 
@@ -146,6 +146,48 @@ def test_sync_properties(spark, before, source):
         assert rows(target.read()) == expected
 
 
+@pytest.mark.parametrize("cluster", [True, False])
+def test_a_lost_task_leaves_no_double_rows(spark, lake, cluster):
+    def failing_once(batches):
+        """Let some of a task's rows through, then lose the first attempt."""
+        from pyspark import TaskContext
+
+        for number, batch in enumerate(batches):
+            if number == 1 and TaskContext.get().attemptNumber() == 0:
+                raise RuntimeError("lost on purpose")
+            yield batch
+
+    keep = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        base = spark.range(0, 400, 1, 2).select(
+            F.col("id").cast("int").alias("a"),
+            F.date_add(F.lit(day("2024-01-01")), (F.col("id") % 4).cast("int")).alias("DATE"),
+        )
+        shaky = base.mapInPandas(failing_once, base.schema)
+        target = create_like(lake.table("silver", "t"), base, ["DATE"])
+        put_days(target, shaky, cluster=cluster)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
+    assert rows(target.read()) == rows(base)
+
+
+def test_a_failed_sync_leaves_no_half_days_and_can_be_run_again(spark, lake):
+    target = lake.table("silver", "t")
+    sync_days(dated(spark, (0, "2024-01-01")), target)
+    good = spark.range(0, 300, 1, 3).select(
+        F.col("id").cast("int").alias("a"),
+        F.date_add(F.lit(day("2024-01-01")), (F.col("id") % 3).cast("int")).alias("DATE"),
+    )
+    failing = F.when(F.col("a") == 298, F.raise_error(F.lit("bad row"))).otherwise(F.col("a"))
+    bad = good.select(failing.cast("int").alias("a"), "DATE")
+    with pytest.raises(Exception, match="bad row"):
+        sync_days(bad, target)
+    assert rows(target.read()) == [(0, day("2024-01-01"))]
+    assert sync_days(good, target).days == 2
+    assert target.read().count() == 201
+
+
 def test_csv_ingests(spark, lake):
     path = scratch_dir(spark, "csv")
     write_csv(
@@ -194,6 +236,9 @@ def test_snapshots_restore_the_newest_complete_one(spark, lake):
     assert rows(other.table("gold", "t").read()) == rows(table.read())
     assert other.table("gold", "t").partition_columns() == ["DATE"]
     assert snapshots.restore(other, root) == []
+    assert rows(snapshots.read_newest(spark, root, "gold", "t")) == rows(table.read())
+    with pytest.raises(LookupError, match="gold.none"):
+        snapshots.read_newest(spark, root, "gold", "none")
 
 
 def test_run_syncs_publishes_and_restores(spark, lake):
