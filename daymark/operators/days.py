@@ -29,8 +29,8 @@ def distinct_days(df: DataFrame, day: str = DAY) -> DataFrame:
 def missing_days(wanted: DataFrame, held: DataFrame, day: str = DAY) -> DataFrame:
     """Days of ``wanted`` that ``held`` lacks; NULLs compare equal.
 
-    Both sides are made distinct first, so the anti-join sees one row per day
-    and never the fact rows.
+    Both sides are reduced to one row per day before they meet, unless ``held`` is so
+    small that Spark broadcasts it and drops held days on the way into the reduction.
     """
     return distinct_days(wanted, day).subtract(distinct_days(held, day))
 
@@ -64,7 +64,11 @@ def has_rows_on(df: DataFrame, day: dt.date, column: str = DAY) -> bool:
 
 
 def in_days(column: str, days: Sequence[dt.date]) -> Column:
-    """Membership in a literal day list, with its range so that file statistics help too."""
+    """Membership in a literal day list.
+
+    Its range is added because Spark turns that into bounds on the scan, even where
+    the day is a cast of a timestamp column.
+    """
     if not days:
         return F.lit(False)
     name = quoted(column)

@@ -1,7 +1,7 @@
 """Copy a table forward by the days its target does not hold.
 
-Two jobs per hop, whatever the number of days: one finds the missing days, one
-copies them all.  A day the target holds is skipped whole, even if the source has
+Two steps per hop, whatever the number of days: find the missing days, copy them
+all in one job.  A day the target holds is skipped whole, even if the source has
 more rows for it by now.
 """
 
@@ -31,17 +31,30 @@ class SyncReport:
     null_day_rows: int
 
 
-def fresh_day_counts(source: DataFrame, target: Table, day: str = DAY) -> DataFrame:
-    """Rows per day of the source, for days the target lacks.
+def source_days(source: DataFrame | Table, day: str = DAY) -> DataFrame:
+    """The source's days, NULL included, with their row counts where known.
 
-    The NULL day, if there is one, stays in as its own row: it never matches.  Both
-    sides are one row per day by the time they meet, and a target partitioned by
-    day gives its days from file footers alone.
+    A table laid out by day is answered by the catalog, without row counts; anything
+    else by a scan of the day column that reduces before its shuffle.
     """
-    counts = source.groupBy(day).agg(F.count(F.lit(1)).alias("rows"))
-    if not target.exists():
-        return counts
-    return counts.join(distinct_days(with_day(target.read(), day), day), day, "left_anti")
+    if isinstance(source, Table):
+        listed = source.listed_days(day)
+        if listed is not None:
+            return listed.withColumn("rows", F.lit(None).cast("long"))
+        source = source.read()
+    return with_day(source, day).groupBy(day).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def held_days(target: Table, day: str = DAY) -> DataFrame:
+    """The days an existing target holds, from the catalog where it keeps them."""
+    listed = target.listed_days(day)
+    return listed if listed is not None else distinct_days(with_day(target.read(), day), day)
+
+
+def fresh_days(source: DataFrame | Table, target: Table, day: str = DAY) -> DataFrame:
+    """``source_days`` that the target lacks.  The NULL day stays: it never matches."""
+    days = source_days(source, day)
+    return days.join(held_days(target, day), day, "left_anti") if target.exists() else days
 
 
 def sync_days(
@@ -58,31 +71,34 @@ def sync_days(
     """
     laid_out = isinstance(source, Table) and source.is_by_day(day)
     rows = with_day(source.read() if isinstance(source, Table) else source, day)
+    fresh = fresh_days(source, target, day)
     if only is not None:
-        rows = rows.where(in_days(day, sorted(set(only))))
+        asked = in_days(day, sorted(set(only)))
+        rows, fresh = rows.where(asked), fresh.where(asked)
 
-    fresh = fresh_day_counts(rows, target, day)
     # Sorted, so the NULL day comes first and cannot fall off the end.
     found = fresh.orderBy(F.col(day).asc_nulls_first()).limit(max_listed + 2).collect()
-    rejected = sum(r["rows"] for r in found if r[day] is None)
-    listed = [r for r in found if r[day] is not None]
-
-    if not listed:
-        return SyncReport(target.identifier, 0, 0, rejected)
-    if len(listed) <= max_listed:
-        wanted = rows.where(in_days(day, [r[day] for r in listed]))
-        report = SyncReport(
-            target.identifier, len(listed), sum(r["rows"] for r in listed), rejected
-        )
-    else:
-        days = materialised(fresh.where(F.col(day).isNotNull()), "days")
-        wanted = joined_on_days(rows, days, day)
-        total = days.agg(F.count(F.lit(1)), F.sum("rows")).first()
-        report = SyncReport(target.identifier, *total, rejected)
+    undated = sum(
+        rows.where(F.col(day).isNull()).count() if r["rows"] is None else r["rows"]
+        for r in found
+        if r[day] is None
+    )
+    dated = [r for r in found if r[day] is not None]
+    if not dated:
+        return SyncReport(target.identifier, 0, 0, undated)
 
     create_like(target, rows, [day])
-    add_days(target, wanted, day, cluster=not laid_out)
-    return report
+    if len(dated) <= max_listed:
+        wanted = in_days(day, [r[day] for r in dated])
+        add_days(target, rows.where(wanted), day, cluster=not laid_out)
+        counts = [r["rows"] for r in dated]
+        copied = target.read().where(wanted).count() if None in counts else sum(counts)
+        return SyncReport(target.identifier, len(dated), copied, undated)
+
+    days = materialised(fresh.where(F.col(day).isNotNull()), "days")
+    add_days(target, joined_on_days(rows, days, day), day, cluster=not laid_out)
+    copied = joined_on_days(target.read(), days, day).count()
+    return SyncReport(target.identifier, days.count(), copied, undated)
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import quoted
@@ -18,8 +19,10 @@ from ..session import file_system, qualified
 
 LAYERS = ("bronze", "silver", "gold")
 
-# Fixed value: the line of DESCRIBE TABLE that, with a header line, precedes partition columns.
+# The line of DESCRIBE TABLE that, with a header line, precedes the
+# partition columns, and the property that says who keeps the list of partitions.
 PARTITION_HEADING = "# Partition Information"
+PARTITION_PROVIDER = ("Partition Provider", "Catalog")
 
 # Dynamic overwrite is a property of the table: an overwrite replaces the
 # partitions it writes and leaves the rest, whatever the session says.
@@ -54,17 +57,33 @@ class Table:
     def read(self) -> DataFrame:
         return self.spark.table(self.identifier)
 
+    def _description(self) -> list[tuple[str, str]]:
+        """Answered by the catalog alone, where ``listColumns`` would run Spark jobs."""
+        rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.identifier}").collect()
+        return [(r["col_name"], r["data_type"]) for r in rows]
+
     def partition_columns(self) -> list[str]:
-        # DESCRIBE is answered by the catalog alone; listColumns would run Spark jobs.
-        rows = self.spark.sql(f"DESCRIBE TABLE {self.identifier}").collect()
-        names = [r["col_name"] for r in rows]
+        names = [name for name, _ in self._description()]
         if PARTITION_HEADING not in names:
             return []
-        return names[names.index(PARTITION_HEADING) + 2 :]
+        listed = names[names.index(PARTITION_HEADING) + 2 :]
+        return listed[: listed.index("")]
 
     def is_by_day(self, day: str) -> bool:
         return [c.lower() for c in self.partition_columns()] == [day.lower()]
 
+    def listed_days(self, day: str) -> DataFrame | None:
+        """Days that the catalog lists partitions for, NULL included; no file is opened.
+
+        None if the table is not laid out by day or the catalog keeps no list.  A
+        listed partition counts even if someone emptied its folder by hand.
+        """
+        if not self.is_by_day(day) or PARTITION_PROVIDER not in self._description():
+            return None
+        value = F.substring_index("partition", "=", -1).try_cast("date")
+        partitions = self.spark.sql(f"SHOW PARTITIONS {self.identifier}")
+        return partitions.select(value.alias(day)).distinct()
+
 
 @dataclass(frozen=True)
 class Lake:

@@ -9,7 +9,7 @@ from daymark.plans import snapshots
 from daymark.plans.ingest import ingest_all, ingest_new_days
 from daymark.plans.run import run
 from daymark.plans.slices import export_day
-from daymark.plans.sync import SyncReport, sync_days, sync_two_hops
+from daymark.plans.sync import SyncReport, fresh_days, sync_days, sync_two_hops
 from daymark.session import scratch_dir
 from daymark.showcase.registry import scratch_lake
 from daymark.sinks.files import write_csv
@@ -104,6 +104,28 @@ def test_copy_between_day_tables_prunes_and_does_not_shuffle(spark, lake):
     assert "Exchange" not in text and "Filter (" not in text
 
 
+def test_days_of_day_tables_come_from_the_catalog(spark, lake):
+    source, target = lake.table("silver", "t"), lake.table("gold", "t")
+    append_by_day(source, dated(spark, (1, "2024-01-01"), (2, "2024-01-02"), (3, None)))
+    append_by_day(target, dated(spark, (1, "2024-01-01")))
+    fresh = fresh_days(source, target)
+    assert "FileScan" not in plan(fresh) and "Scan parquet" not in plan(fresh)
+    assert {r["DATE"] for r in fresh.collect()} == {None, day("2024-01-02")}
+    assert sync_days(source, target) == SyncReport(target.identifier, 1, 1, 1)
+    assert sync_days(source, target) == SyncReport(target.identifier, 0, 0, 1)
+    assert lake.table("silver", "t").listed_days("a") is None
+    plain = create_as(lake.table("gold", "plain"), dated(spark, (1, "2024-01-01")))
+    assert plain.listed_days("DATE") is None and plain.partition_columns() == []
+
+
+def test_days_kept_as_text_partitions(spark, lake):
+    texts = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02"), (3, "n/a")], "a int, date string")
+    source = create_as(lake.table("bronze", "t"), texts, ["date"])
+    target = lake.table("silver", "t")
+    assert sync_days(source, target) == SyncReport(target.identifier, 2, 2, 1)
+    assert [r[0] for r in rows(target.read())] == [1, 2]
+
+
 def jobs_of(spark, group, action):
     spark.sparkContext.setJobGroup(group, group)
     try:
