@@ -39,6 +39,9 @@ def _parser() -> argparse.ArgumentParser:
     sub = job("ingest", "load a CSV file, by default only days not held", "source", "layer", "table")
     sub.add_argument("--all-days", action="store_true")
 
+    sub = job("ingest-folder", "load the new days of {folder}/{name}.csv files", "folder", "layer")
+    sub.add_argument("names", nargs="+")
+
     sub = job("sync", "copy missing days over both hops")
     sub.add_argument("tables", nargs="+")
     sub.add_argument("--source-layer", choices=LAYERS, default="bronze")
@@ -79,6 +82,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     elif args.job == "ingest":
         load = ingest.ingest_all if args.all_days else ingest.ingest_new_days
         print(load(spark, args.source, lake.table(args.layer, args.table)))
+    elif args.job == "ingest-folder":
+        for name, report in ingest.ingest_folder(lake, args.folder, args.names, args.layer).items():
+            print(name, report)
     elif args.job == "sync":
         sources = {name: lake.table(args.source_layer, name) for name in args.tables}
         if absent := [name for name, table in sources.items() if not table.exists()]:

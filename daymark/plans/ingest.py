@@ -12,6 +12,7 @@ from ..sinks.tables import append, append_by_day, create_like, replace
 from ..sources.files import read_any, read_csv, suffix_of, table_name
 from ..sources.tables import Lake, Table
 from .sync import SyncReport, sync_days
+from .threads import each
 
 
 def stage(lake: Lake, source: str, layer: str = "bronze") -> DataFrame:
@@ -60,3 +61,21 @@ def ingest_new_days(spark: SparkSession, path: str, target: Table, day: str = DA
 def ingest_all(spark: SparkSession, path: str, target: Table, day: str = DAY) -> None:
     """Load all of a CSV file, whatever the target holds.  Loading twice doubles."""
     append_by_day(target, with_day(read_csv(spark, path), day), day)
+
+
+def ingest_folder(
+    lake: Lake,
+    folder: str,
+    names: Sequence[str],
+    layer: str = "bronze",
+    day: str = DAY,
+    at_once: int = 4,
+) -> dict[str, SyncReport]:
+    """Load the new days of ``{folder}/{name}.csv`` into the table of that name, for each
+    name; a known file suffix in a name is ignored."""
+    tables = [table_name(name) for name in names]
+
+    def load(name: str) -> SyncReport:
+        return ingest_new_days(lake.spark, f"{folder}/{name}.csv", lake.table(layer, name), day)
+
+    return dict(zip(tables, each(lake.spark, load, tables, at_once)))

@@ -46,6 +46,17 @@ def test_bootstrap_and_publish(spark, job, sf_dir):
     assert files_under(f"{root}/snap/data/snapshot_date=2024-01-01/bronze/nation", ".parquet")
 
 
+def test_a_folder_of_csv_files(spark, job):
+    call, root, ref = job
+    for name, days in (("a", 2), ("b", 3)):
+        texts = spark.range(days).selectExpr("id", "date_add(DATE'2024-01-01', id) AS Date")
+        texts.write.option("header", True).csv(f"{root}/in/{name}.csv")
+    for _ in range(2):
+        call("ingest-folder", f"{root}/in", "bronze", "a", "b.csv")
+    lake = Lake(spark, root, ref)
+    assert [lake.table("bronze", n).read().count() for n in "ab"] == [2, 3]
+
+
 def test_missing_tables_are_named(job):
     call, root, _ = job
     for args in (
