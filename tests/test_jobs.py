@@ -49,7 +49,7 @@ def test_bootstrap_and_publish(spark, job, sf_dir):
 def test_a_folder_of_csv_files(spark, job):
     call, root, ref = job
     for name, days in (("a", 2), ("b", 3)):
-        texts = spark.range(days).selectExpr("id", "date_add(DATE'2024-01-01', id) AS Date")
+        texts = spark.range(days).selectExpr("id", "date_add(DATE'2024-01-01', CAST(id AS INT)) AS Date")
         texts.write.option("header", True).csv(f"{root}/in/{name}.csv")
     for _ in range(2):
         call("ingest-folder", f"{root}/in", "bronze", "a", "b.csv")
