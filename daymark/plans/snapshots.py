@@ -1,7 +1,7 @@
 """Dated copies of a warehouse: publish, find the newest, restore.
 
-A snapshot is ``{root}/data/snapshot_date=D/{layer}/{table}``.  The manifest gets its
-rows last, so a snapshot whose publishing broke off is never found.
+A snapshot is ``{root}/data/snapshot_date=D/{layer}/{table}``.  Its manifest rows go
+first and come back last, so a snapshot whose publishing broke off is never found.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import file_system
 from ..sinks.tables import append, create_like
 from ..sources.tables import Lake, Table
 from .threads import each
@@ -61,6 +62,9 @@ def publish(
         values = (*pair, partition_by, df.schema.json(), rows, day.isoformat())
         return dict(zip(MANIFEST.names, values))
 
+    # A day published before is not to be found while its copies change.
+    fs, held = file_system(spark, f"{_manifest_path(root)}/snapshot_date={day.isoformat()}")
+    fs.delete(held, True)
     entries = json.dumps(each(spark, copy, tables, at_once))
     listed = F.from_json(F.lit(entries), T.ArrayType(MANIFEST))
     (
@@ -75,6 +79,11 @@ def publish(
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """One row per snapshot and table; it grows with their number, not with rows."""
+    fs, path = file_system(spark, _manifest_path(root))
+    if not fs.exists(path):
+        return spark.range(0).select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in MANIFEST]
+        )
     return _stored(spark, _manifest_path(root), MANIFEST)
 
 
@@ -100,7 +109,10 @@ def _entry_rows(spark: SparkSession, root: str, entry: Row) -> DataFrame:
 
 
 def restore(lake: Lake, root: str, at_once: int = 4) -> list[Table]:
-    """Bring the newest snapshot's tables back; a table that is there is left alone."""
+    """Bring the newest snapshot's tables back; a table that is there is left alone.
+
+    Without any snapshot nothing happens.
+    """
 
     def copy(entry: Row) -> Table | None:
         table = lake.table(entry["layer"], entry["table"])

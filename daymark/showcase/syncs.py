@@ -109,11 +109,10 @@ def sync_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT layer, name AS "table", n AS rows FROM (
+    SELECT unnest(['silver', 'gold']) AS layer, name AS "table", n AS rows FROM (
       SELECT 'orders' AS name, COUNT(*) AS n FROM orders
       UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem
-      UNION ALL SELECT 'events', COUNT(*) FROM events
-    ), (SELECT 'silver' AS layer UNION ALL SELECT 'gold')
+      UNION ALL SELECT 'events', COUNT(*) FROM events)
     """
 )
 def multi_table_run(spark: SparkSession, sf_dir: str) -> DataFrame:

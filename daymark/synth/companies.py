@@ -47,6 +47,7 @@ class Profile:
         return [column.alias(self.header(name)) for name, column in columns.items()]
 
 
+# The closed ranges of the two styles.
 TITLE_CASE = Profile(
     camel_case=False,
     integer="bigint",
@@ -71,7 +72,7 @@ CAMEL_CASE = Profile(
     department_size=(0, 99),
 )
 
-# Half-open range of CAMEL_CASE dates, which are text.
+# The half-open range of CAMEL_CASE dates, which are text.
 CAMEL_DATES = (dt.date(2000, 1, 1), dt.date(2023, 1, 1))
 
 

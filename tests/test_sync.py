@@ -258,10 +258,16 @@ def test_snapshots_restore_the_newest_complete_one(spark, lake):
     assert rows(other.table("gold", "t").read()) == rows(table.read())
     assert other.table("gold", "t").partition_columns() == ["DATE"]
     assert snapshots.restore(other, root) == []
+    assert snapshots.restore(other, f"{root}/none") == []
     assert rows(snapshots.read_newest(spark, root, "gold", "t")) == rows(table.read())
     with pytest.raises(LookupError, match="gold.none"):
         snapshots.read_newest(spark, root, "gold", "none")
 
+    # Publishing the newest day again and failing half-way leaves the one before.
+    with pytest.raises(Exception, match="absent"):
+        snapshots.publish(lake, [*both, ("gold", "absent")], root, day("2024-02-02"))
+    assert {r["rows"] for r in snapshots.newest(spark, root).collect()} == {2, 4}
+
 
 def test_run_syncs_publishes_and_restores(spark, lake):
     root = scratch_dir(spark, "snap")
