@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import file_system
-from ..sinks.tables import append, create_like
-from ..sources.tables import Lake, Table
+from ..sources.tables import COMMIT_IN_TASKS, Lake, Table, register
 from .threads import each
 
 MANIFEST = T.StructType(
@@ -39,6 +38,13 @@ def _manifest_path(root: str) -> str:
     return f"{root}/manifest"
 
 
+def _write_whole(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace a folder that nobody reads before all of it is there."""
+    writer = df.write.mode("overwrite").options(**COMMIT_IN_TASKS)
+    writer = writer.option("partitionOverwriteMode", "static").option("compression", "snappy")
+    writer.partitionBy(*partition_by).parquet(path)
+
+
 def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
@@ -55,8 +61,7 @@ def publish(
     def copy(pair: tuple[str, str]) -> dict:
         table, path = lake.table(*pair), _data_path(root, day, *pair)
         df, partition_by = table.read(), table.partition_columns()
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        writer.partitionBy(*partition_by).parquet(path)
+        _write_whole(df, path, partition_by)
         # Counted from the written footers: what the snapshot holds, not what was sent.
         rows = _stored(spark, path, df.schema).count()
         values = (*pair, partition_by, df.schema.json(), rows, day.isoformat())
@@ -118,9 +123,15 @@ def restore(lake: Lake, root: str, at_once: int = 4) -> list[Table]:
         table = lake.table(entry["layer"], entry["table"])
         if table.exists():
             return None
-        rows = _entry_rows(lake.spark, root, entry)
-        append(create_like(table, rows, entry["partition_by"]), rows, cluster=False)
-        return table
+        rows, partition_by = _entry_rows(lake.spark, root, entry), entry["partition_by"]
+        # Written aside and moved: a restore that breaks off leaves no table behind
+        # that the next one would take for restored.
+        aside = f"{table.location}.restoring"
+        _write_whole(rows, aside, partition_by)
+        fs, place = file_system(lake.spark, table.location)
+        fs.delete(place, True)  # Holds nothing visible, or the table would exist.
+        fs.rename(file_system(lake.spark, aside)[1], place)
+        return register(table, rows.schema, partition_by)
 
     found = each(lake.spark, copy, newest(lake.spark, root).collect(), at_once)
     return [table for table in found if table is not None]

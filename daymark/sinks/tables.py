@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.columns import DAY
 from ..operators.days import on_day
-from ..sources.tables import TABLE_OPTIONS, Table, register
+from ..sources.tables import COMMIT_IN_TASKS, TABLE_OPTIONS, Table, option_list, register
 
 
 def clustered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -46,14 +46,17 @@ def append_by_day(table: Table, df: DataFrame, day: str = DAY) -> None:
 def put_days(table: Table, df: DataFrame, day: str = DAY, cluster: bool = True) -> None:
     """Write whole days: each day in ``df`` replaces that day's partition.
 
-    The files of a day are staged and moved into place at commit, so a job that
-    is run again after a failure neither doubles a day nor leaves half of one.
+    The files of a day are staged by the tasks and moved into place, a folder at a
+    time, at commit.  A job that is run again after a failure neither doubles a day
+    nor leaves half of one.
     """
     if not table.is_by_day(day):
         raise ValueError(f"{table.identifier} is not partitioned by {day} alone")
     rows = clustered(df, [day]) if cluster else df
     table.spark.sql(
-        f"INSERT OVERWRITE TABLE {table.identifier} BY NAME SELECT * FROM {{rows}}", rows=rows
+        f"INSERT OVERWRITE TABLE {table.identifier} WITH ({option_list(COMMIT_IN_TASKS)}) "
+        "BY NAME SELECT * FROM {rows}",
+        rows=rows,
     )
 
 
@@ -91,7 +94,11 @@ def create_as(
     if table.exists():
         raise ValueError(f"{table.identifier} exists")
     create_like(table, df, partition_by)
-    append(table, df, cluster)
+    try:
+        append(table, df, cluster)
+    except Exception:
+        table.spark.sql(f"DROP TABLE {table.identifier}")
+        raise
     return table
 
 

@@ -6,7 +6,7 @@ catalog does not, and can be found again wherever the folder was moved.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
@@ -33,6 +33,11 @@ TABLE_OPTIONS = {
 }
 
 
+# For writes that only show once all of it is in place: each task then moves its own
+# files, where otherwise the driver moves those of all tasks one by one.
+COMMIT_IN_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
 @dataclass(frozen=True)
 class Table:
     spark: SparkSession = field(repr=False, compare=False)
@@ -125,6 +130,10 @@ class Lake:
         return Table(self.spark, self.database(layer), name, f"{self.path(layer)}/{name}")
 
 
+def option_list(options: Mapping[str, str]) -> str:
+    return ", ".join(f"{literal(k)} = {literal(v)}" for k, v in options.items())
+
+
 def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -137,11 +146,10 @@ def register(table: Table, schema: T.StructType, partition_by: Sequence[str] = (
     if table.spark.catalog.tableExists(table.identifier):
         return table
     columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema)
-    options = ", ".join(f"{literal(k)} = {literal(v)}" for k, v in TABLE_OPTIONS.items())
     partitions = f"PARTITIONED BY ({', '.join(map(quoted, partition_by))}) " if partition_by else ""
     table.spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table.identifier} ({columns}) USING parquet "
-        f"OPTIONS ({options}) {partitions}LOCATION {literal(table.location)}"
+        f"OPTIONS ({option_list(TABLE_OPTIONS)}) {partitions}LOCATION {literal(table.location)}"
     )
     if partition_by and next(_children(table.spark, table.location), None):
         table.spark.catalog.recoverPartitions(table.identifier)

@@ -269,6 +269,21 @@ def test_snapshots_restore_the_newest_complete_one(spark, lake):
     assert {r["rows"] for r in snapshots.newest(spark, root).collect()} == {2, 4}
 
 
+def test_a_broken_restore_is_done_again(spark, lake):
+    root = scratch_dir(spark, "snap")
+    create_as(lake.table("gold", "t"), dated(spark, (1, "2024-01-01")), ["DATE"])
+    snapshots.publish(lake, [("gold", "t")], root, day("2024-02-01"))
+    other = Lake(spark, scratch_dir(spark, "other"), prefix=f"{lake.prefix}o_").create_layers()
+    table = other.table("gold", "t")
+    # What a restore leaves that dies while writing, and an aborted job in its place.
+    dated(spark, (7, "2024-01-07")).write.partitionBy("DATE").parquet(f"{table.location}.restoring")
+    spark.range(1).write.parquet(f"{table.location}/_temporary/0")
+    assert not table.exists()
+    snapshots.restore(other, root)
+    assert rows(table.read()) == [(1, day("2024-01-01"))]
+    assert table.listed_days("DATE").count() == 1
+
+
 def test_run_syncs_publishes_and_restores(spark, lake):
     root = scratch_dir(spark, "snap")
     sources = {

@@ -89,6 +89,15 @@ def test_create_as_day_then_insert_day(spark, lake):
         create_as(target, df)
 
 
+def test_a_failed_create_as_leaves_no_table(spark, lake):
+    target = lake.table("gold", "t")
+    bad = spark.range(10).select(F.raise_error(F.lit("bad row")).cast("int").alias("a"))
+    with pytest.raises(Exception, match="bad row"):
+        create_as(target, bad)
+    assert not target.exists()
+    assert create_as(target, spark.range(3)).read().count() == 3
+
+
 def test_parquet_files_are_snappy(spark, lake):
     path = scratch_dir(spark, "p")
     write_parquet(spark.range(10), path)
