@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import DAY, with_day
 from ..sinks.tables import append, append_by_day, create_like, replace
-from ..sources.files import read_any, read_csv, suffix_of, table_name
+from ..sources.files import base_name, read_any, read_csv, suffix_of, table_name
 from ..sources.tables import Lake, Table
 from .sync import SyncReport, sync_days
 from .threads import each
@@ -73,9 +73,9 @@ def ingest_folder(
 ) -> dict[str, SyncReport]:
     """Load the new days of ``{folder}/{name}.csv`` into the table of that name, for each
     name; a known file suffix in a name is ignored."""
-    tables = [table_name(name) for name in names]
 
     def load(name: str) -> SyncReport:
-        return ingest_new_days(lake.spark, f"{folder}/{name}.csv", lake.table(layer, name), day)
+        target = lake.table(layer, table_name(name))
+        return ingest_new_days(lake.spark, f"{folder}/{base_name(name)}.csv", target, day)
 
-    return dict(zip(tables, each(lake.spark, load, tables, at_once)))
+    return dict(zip(map(table_name, names), each(lake.spark, load, names, at_once)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.columns import DAY
+from ..functions.columns import DAY, quoted
 from ..operators.days import on_day
 from ..sources.tables import COMMIT_IN_TASKS, TABLE_OPTIONS, Table, option_list, register
 
@@ -19,7 +19,7 @@ def clustered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ``repartition``: AQE cuts a value that holds a third of all rows into several
     tasks and joins small ones, by measured bytes.
     """
-    return df.hint("rebalance", *columns) if columns else df
+    return df.hint("rebalance", *map(quoted, columns)) if columns else df
 
 
 def create_like(table: Table, df: DataFrame, partition_by: Sequence[str] = ()) -> Table:

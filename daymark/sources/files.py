@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,12 +26,17 @@ def suffix_of(path: str) -> str | None:
     return next((s for s in SUFFIXES if path.endswith(s)), None)
 
 
-def table_name(path: str) -> str:
+def base_name(path: str) -> str:
     """Last path segment without a known file suffix."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
     return name.removesuffix(suffix_of(name) or "")
 
 
+def table_name(path: str) -> str:
+    """The base name with what a table name cannot hold replaced by underscores."""
+    return re.sub(r"\W", "_", base_name(path))
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -10,6 +10,7 @@ from daymark.session import scratch_dir
 from daymark.sinks.files import write_csv
 from daymark.sinks.tables import append, create_as, create_like
 from daymark.sources.files import (
+    base_name,
     latest_file,
     read_any,
     read_csv,
@@ -24,7 +25,8 @@ from daymark.sources.tables import Lake
 def test_suffix_and_table_name():
     assert suffix_of("a/b.csv") == ".csv" and suffix_of("silver.orders") is None
     assert table_name("s3a://x/y/companies.parquet") == "companies"
-    assert table_name("x/data.v2.json") == "data.v2"
+    assert base_name("x/data.v2.json") == "data.v2"
+    assert table_name("x/staff-go-20240101.parquet") == "staff_go_20240101"
     assert table_name("orders") == "orders"
 
 
@@ -66,7 +68,8 @@ def test_stage_names_the_table_after_the_file(spark, lake, sf_dir):
 
 
 def test_query_takes_parameters_not_text(spark):
-    df = query(spark, "SELECT * FROM v WHERE a = :a", {"a": "x' OR '1'='1"}, {"v": spark.sql("SELECT 'x' AS a")})
+    views = {"v": spark.sql("SELECT 'x' AS a")}
+    df = query(spark, "SELECT * FROM v WHERE a = :a", {"a": "x' OR '1'='1"}, views)
     assert df.columns == ["A"] and df.count() == 0
 
 
@@ -118,8 +121,10 @@ def test_two_lakes_must_not_share_a_database(spark, lake):
 
 
 def test_quoting_of_odd_columns(spark, lake):
-    df = spark.sql("SELECT 1 AS `a b`, 2 AS `c``d`, 'x' AS `select`")
-    assert rows(create_as(lake.table("gold", "t"), df, ["select"]).read()) == [(1, 2, "x")]
+    df = spark.sql("SELECT 1 AS `a b`, 2 AS `c``d`, 'x' AS `select`, 'y' AS `e.f`")
+    table = create_as(lake.table("gold", "t"), df, ["select", "e.f"])
+    assert rows(table.read()) == [(1, 2, "x", "y")]
+    assert table.partition_columns() == ["select", "e.f"]
 
 
 def test_bootstrap_modes(spark, lake, sf_dir):

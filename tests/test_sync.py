@@ -212,10 +212,8 @@ def test_a_failed_sync_leaves_no_half_days_and_can_be_run_again(spark, lake):
 
 def test_csv_ingests(spark, lake):
     path = scratch_dir(spark, "csv")
-    write_csv(
-        spark.createDataFrame([("1", "2024-01-01"), ("2", "2024-01-02"), ("3", "n/a")], "a string, date string"),
-        path,
-    )
+    texts = [("1", "2024-01-01"), ("2", "2024-01-02"), ("3", "n/a")]
+    write_csv(spark.createDataFrame(texts, "a string, date string"), path)
     target = lake.table("bronze", "t")
     report = ingest_new_days(spark, path, target)
     assert (report.days, report.rows, report.null_day_rows) == (2, 2, 1)
