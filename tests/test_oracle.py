@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from oracle import compare, connect
 
@@ -16,6 +18,11 @@ def test_every_query_has_its_sql():
     assert set(contract.queries()) == set(contract.oracle_sql())
 
 
+def test_every_query_is_in_the_coverage_table():
+    text = (Path(contract.__file__).parent / "COVERAGE.md").read_text()
+    assert [name for name in NAMES if f"`{name}`" not in text] == []
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_oracle(spark, sf_dir, duck, name):
     df = contract.queries()[name](spark, sf_dir)
