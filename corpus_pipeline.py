@@ -1,17 +1,48 @@
-"""A training corpus from documents, in stages; each reads what the one before it wrote."""
+"""A training corpus from documents, in stages; each reads what the one before it wrote.
+
+Toxic documents go, then all but one of equal texts, then all but one of near copies.  What
+stays has its secrets replaced and is packed into windows of tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from daymark.llm import secrets, toxicity
 from daymark.llm.common import table
 from daymark.llm.exact import without_copies
 from daymark.llm.near import without_near_copies
+from daymark.llm.packing import pack, with_digest
+from daymark.llm.queries import PREDICTED, toxicity_model
 from daymark.session import materialised
 
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, toxicity_model(spark, sf_dir), PREDICTED)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_near_copies(docs)
+
+
+def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.without_secrets(docs, secrets.fit_on(docs))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return with_digest(pack(docs))
+
+
 STAGES = [
-    ("exact dedup", lambda spark, docs, sf_dir: without_copies(docs)),
-    ("n-gram Jaccard join", lambda spark, docs, sf_dir: without_near_copies(docs)),
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", replace_secrets),
+    ("packing", pack_windows),
 ]
 
 
@@ -22,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-# Shingling, a trained score, random forests and packing have no SQL.
+# Trained scores, shingle sets and tokenizers have no SQL.
 ORACLE_SQL = None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,9 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.sparkContext.master.startswith("local"):
+        # So that workers of a local session find this package; a cluster gets it by --py-files.
+        spark.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parents[2])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,3 +57,18 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices of many slices, one after the other."""
     ends = np.cumsum(lengths)
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+NULL_ID = -(1 << 63)
+
+
+def places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``place, text``: the id, with the least number there is for null, and the text."""
+    return docs.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).alias("place"), F.col(text_col).alias("text"))
+
+
+def bounds_of(rows: DataFrame, blocks: int) -> np.ndarray:
+    """The least ``place`` of each of about so many blocks of like size, ascending; empty for no rows."""
+    steps = [i / blocks for i in range(1, blocks)] or [0.0]
+    cuts = rows.agg(F.min("place"), F.percentile_approx("place", steps, max(10_000, 10 * blocks))).first()
+    return np.unique(np.array([] if cuts[0] is None else [cuts[0], *cuts[1]], np.int64))

@@ -15,9 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import chunks, texts_of
+from .common import NULL_ID, bounds_of, chunks, places, texts_of
 from .shingles import shingle_sets
 
 # Up to so many shingles, one of so many hashes is kept; beyond, one of SCALE.
@@ -102,7 +101,7 @@ def _by_block(bounds: np.ndarray):
             taken = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(blocks), pa.array(border), *taken.columns],
-                ["block", "border", "place", "doc_id", "text"],
+                ["block", "border", "place", "text"],
             )
 
     return run
@@ -112,7 +111,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by block, in order of id; the row that ends a block is the next one's first."""
     held: list[tuple] = []
     for batch in chunks(batches, "text", 2 << 20):
-        columns = [batch.column(k).to_pylist() for k in ("block", "border", "doc_id")]
+        columns = [batch.column(k).to_pylist() for k in ("block", "border", "place")]
         rows = held + list(zip(*columns, texts_of(batch.column("text"))))
         own = sketches([r[3] for r in rows])
         pairs = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i][0] == rows[i + 1][0]]
@@ -122,7 +121,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near, inside = likeness(own[i], sketch)
             out.append(
                 (
-                    rows[i][2],
+                    None if rows[i][2] == NULL_ID else rows[i][2],
                     len(rows[i][3]),
                     hashlib.sha256(text.encode()).hexdigest(),
                     written(own[i]),
@@ -147,14 +146,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     into blocks at quantiles of the id, and each block also gets the first row of the next.
     """
     spark = docs.sparkSession
-    place = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
-    rows = docs.select(place.alias("place"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = places(docs, id_col, text_col)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    steps = [i / (4 * width) for i in range(1, 4 * width)]
-    cuts = rows.agg(F.min("place"), F.percentile_approx("place", steps, 10 * len(steps))).first()
-    if cuts[0] is None:
+    bounds = bounds_of(rows, 4 * width)
+    if not len(bounds):
         return spark.createDataFrame([], RESULT)
-    bounds = np.unique(np.array([cuts[0], *cuts[1]], np.int64))
-    blocks = rows.mapInArrow(_by_block(bounds), "block int, border boolean, place long, doc_id long, text string")
+    blocks = rows.mapInArrow(_by_block(bounds), "block int, border boolean, place long, text string")
     ordered = blocks.repartition(width, "block").sortWithinPartitions("block", "border", "place", "text")
     return ordered.mapInArrow(_compare, RESULT)

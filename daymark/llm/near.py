@@ -28,14 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialised
-from .common import chunks, ragged
+from .common import NULL_ID, chunks, ragged
 from .shingles import shingle_sets
 
 COMMON = 1_000_000  # at most so many shingles count as common; their list goes to every task
-GROUPS = 64  # coordinates of a count vector
+GROUPS = 256  # coordinates of a count vector
 LEAF = 16  # points in a leaf of the R-tree, and boxes in a node
 BLOCK = 2048  # members of a list that meet in one task
-NULL_ID = -(1 << 63)
 
 
 def needed(a, b):
@@ -241,32 +240,45 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
+def _joined(rows: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
+    """The pairs within each run of rows between two cuts; runs of one leaf are done together."""
+    points = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)
+    node, component, n = (rows.column(k).to_numpy(False) for k in ("node", "component", "n"))
+    lengths = np.diff(cuts)
+    small = np.repeat(lengths <= LEAF, lengths)
+    begin = np.repeat(cuts[:-1], lengths)
+    before = np.where(small, np.arange(len(n)) - begin, 0)
+    i, j = ragged(begin, before), np.repeat(np.arange(len(n)), before)
+    fits = (component[i] != component[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+    i, j = i[fits], j[fits]
+    found = []
+    for part in np.array_split(np.arange(len(i)), len(i) // 65536 + 1):
+        bound = overlap_bound(points[i[part]], points[j[part]])
+        part = part[bound >= needed(n[i[part]], n[j[part]])]
+        found.append(np.stack([i[part], j[part]], 1))
+    for low, high in zip(cuts[:-1][lengths > LEAF], cuts[1:][lengths > LEAF]):
+        found.append(low + tree_pairs(points[low:high], n[low:high], component[low:high]))
+    pairs = np.concatenate(found)
+    a, b = node[pairs[:, 0]], node[pairs[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def _tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by list and pair of blocks; a list's block pair is joined as a whole."""
     held = None
-    names = ["key", "i", "j", "node", "component", "n", "point"]
-
-    def joined(rows: pa.RecordBatch) -> pa.RecordBatch:
-        points = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)
-        node, component, n = (rows.column(k).to_numpy(False) for k in ("node", "component", "n"))
-        pairs = tree_pairs(points, n, component)
-        a, b = node[pairs[:, 0]], node[pairs[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
     for batch in batches:
-        batch = batch.select(names)
         if held is not None:
             batch = pa.concat_batches([held, batch])
         if not batch.num_rows:
             continue
         key, i, j = (batch.column(k).to_numpy(False) for k in ("key", "i", "j"))
         new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
-        for low, high in zip(cuts[:-1], cuts[1:]):
-            yield joined(batch.slice(low, high - low))
+        cuts = np.concatenate([[0], np.flatnonzero(new) + 1])
+        if cuts[-1]:
+            yield _joined(batch.slice(0, cuts[-1]), cuts)
         held = batch.slice(cuts[-1])
-    if held is not None:
-        yield joined(held)
+    if held is not None and held.num_rows:
+        yield _joined(held, np.array([0, held.num_rows]))
 
 
 # ---- verification and components
@@ -284,11 +296,17 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in ("a", "b")], ["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose whole shingle sets link."""
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose whole shingle sets link; sets are made for texts in a pair only."""
+    pairs = materialised(pairs, "near-pairs")
+    paired = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    paired = materialised(paired, "near-paired")
+    whole = texts.withColumnRenamed("doc_id", "node").join(paired, "node")
+    sets = materialised(whole.mapInArrow(_shingle_rows, "node long, shingles binary"), "near-sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_verified, "a long, b long").distinct()
+    links = pairs.join(left, "a").join(right, "b").mapInArrow(_verified, "a long, b long").distinct()
+    return materialised(links, "near-links")
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,29 +360,27 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
     named = materialised(named, "near-nodes")
-    nodes = rows.join(named, "digest").filter("doc_id = node").drop("doc_id").dropDuplicates(["node", "digest"])
+    # Rows that repeat an id and a text come twice here; a text is never paired with itself.
+    nodes = rows.select("doc_id", "digest", F.col("weight").cast("float").alias("weight"), "prefix")
+    nodes = nodes.join(named, "digest").filter("doc_id = node").select("prefix", "weight", "node")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = nodes.select("prefix", "weight", "node").mapInArrow(_prefix_rows, "key long, weight double, node long")
+    keys = nodes.mapInArrow(_prefix_rows, "key long, weight float, node long")
     by_key = keys.repartition(width, "key").sortWithinPartitions("key", F.desc("weight"), "node")
     lists = materialised(by_key.mapInArrow(_lists, "key long, a long, b long"), "near-lists")
 
     met = lists.select(F.col("a").alias("node")).union(lists.select(F.col("b").alias("node"))).distinct()
-    met = materialised(met, "near-met")
-    whole = texts.withColumnRenamed("doc_id", "node").join(met, "node")
-    sets = materialised(whole.mapInArrow(_shingle_rows, "node long, shingles binary"), "near-sets")
     sizes = rows.select(F.col("doc_id").alias("node"), "n", "point").join(met, "node")
     sizes = materialised(sizes.dropDuplicates(["node", "point"]), "near-points")
 
     star = lists.select("a", "b").distinct()
-    bounded = star.join(sizes.toDF("a", "n_a", "point_a"), "a").join(sizes.toDF("b", "n_b", "point_b"), "b")
-    bounded = bounded.filter("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-    star = bounded.mapInArrow(_within_bound, "a long, b long").distinct()
-    links = materialised(verified(star, sets), "near-links")
+    star = star.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "point"), "a")
+    star = star.withColumnRenamed("point", "point_a").join(sizes.toDF("b", "n_b", "point_b"), "b")
+    star = star.filter("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    links = verified(star.mapInArrow(_within_bound, "a long, b long").distinct(), texts)
     found = components(links)
 
-    # What a list still holds unconnected, after the texts under one id are joined.
-    members = lists.select("key", F.col("a").alias("node")).union(lists.select("key", F.col("b").alias("node")))
-    members = members.distinct().join(found, "node", "left")
+    # What a list still holds unconnected.  Its first has been held against all the others.
+    members = lists.select("key", F.col("b").alias("node")).distinct().join(found, "node", "left")
     members = members.withColumn("component", F.coalesce("component", "node"))
     members = materialised(members, "near-members")
     open_lists = members.groupBy("key").agg(
@@ -378,11 +394,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).join(sizes, "node")
     spread = spread.select("key", "i", "j", "node", "component", "n", "point")
     spread = spread.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = spread.mapInArrow(_tree_join, "a long, b long").distinct()
-    more = materialised(more, "near-pairs")
-    more_links = materialised(verified(more, sets), "near-links")
-    if not more_links.isEmpty():
-        found = components(links.unionByName(more_links))
+    more = verified(spread.mapInArrow(_tree_join, "a long, b long").distinct(), texts)
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
 
     # Copies and rows of one id take their node's component; ids that belong to several nodes join those.
     label = named.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))

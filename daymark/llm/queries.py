@@ -3,11 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import pieces, quality, secrets, toxicity
+from .common import has_rest, table
 from .exact import exact_groups
 from .fingerprints import fingerprints
 from .near import near_components
+from .packing import pack, with_digest
+from .tokenfiles import token_files
+from .warc import archived
+
+PREDICTED = 0.7  # the score from which a label is predicted
+
+
+def judged(scores: DataFrame, modulus: int, rest: int) -> DataFrame:
+    return scores.select(
+        "doc_id",
+        has_rest("doc_id", modulus, rest).alias("held_out"),
+        "score",
+        (F.col("score") >= PREDICTED).cast("int").alias("predicted"),
+    )
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.fit(toxicity.training_rows(docs, labels, "toxic", ~has_rest("doc_id", 3, 1)))
+
+
+def op1_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digest(pack(table(spark, sf_dir, "documents")))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +56,51 @@ FROM d
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir)), 3, 1)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.coded(table(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(toxicity.training_rows(docs, labels, "quality", ~has_rest("doc_id", 4, 2)))
+    return judged(quality.score(docs, model), 4, 2)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_exact_dedup, op9_ngram_jaccard_join)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit_on(docs))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pack_windows,
+        op2_fingerprints,
+        op3_exact_dedup,
+        op4_toxicity,
+        op5_warc,
+        op6_sentencepiece,
+        op7_token_files,
+        op8_quality,
+        op9_ngram_jaccard_join,
+        op10_secrets,
+    )
+}
+# The others need a tokenizer, a trained model, shingle sets or archives.
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL}

@@ -1,0 +1,182 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from daymark.llm import quality, secrets, toxicity
+from daymark.llm.common import has_rest, table
+from daymark.llm.forest import Forest
+from daymark.llm.logistic import Logistic
+from daymark.llm.toxicity import Term, TermAutomaton
+
+ODD = [(None, "you idiot"), (1, None), (2, ""), (3, " \n"), (4, "x" * 50_000), (5, "same"), (5, "same"), (6, "İ ß ﬁ")]
+
+
+@pytest.fixture(scope="module")
+def larger(sf_dir):
+    import os
+
+    path = os.path.join(os.path.dirname(sf_dir), "sf0.01")
+    return path if os.path.isdir(path) else sf_dir
+
+
+def accuracy(spark, sf_dir, query, label):
+    import __spark_entry__ as contract
+
+    found = contract.queries()[query](spark, sf_dir)
+    rows = found.join(table(spark, sf_dir, "labels"), "doc_id").collect()
+    assert found.count() == table(spark, sf_dir, "documents").count()
+    held = [r for r in rows if r.held_out]
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    return {k: np.mean([r.predicted == k for r in held if r[label] == k]) for k in (0, 1)}
+
+
+def test_toxicity_of_held_out_texts(spark, larger):
+    found = accuracy(spark, larger, "op4_toxicity", "toxic")
+    assert found[1] > 0.9 and found[0] > 0.99
+
+
+def test_quality_of_held_out_texts(spark, larger):
+    found = accuracy(spark, larger, "op8_quality", "quality")
+    assert found[1] > 0.95 and found[0] > 0.9
+
+
+def distance_by_hand(word, term):
+    row = list(range(len(term) + 1))
+    for i, a in enumerate(word, 1):
+        new = [i]
+        for j, b in enumerate(term, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return row[-1]
+
+
+def test_automaton_equals_edit_distance():
+    rng = random.Random(8)
+    terms = [Term("idiot", False), Term("moron", False), Term("scum", False), Term("lowei", True), Term("disgust", True)]
+    words = {t.text for t in terms}
+    letters = "idotmrnscuwelgaéx"
+    for term in list(words):
+        for _ in range(150):
+            word = list(term + rng.choice(["", "", "ing"]))
+            for _ in range(rng.randrange(3)):
+                at = rng.randrange(len(word) + 1)
+                word[at : at + rng.randrange(2)] = rng.choices(letters, k=rng.randrange(2))
+            words.add("".join(word))
+    words = sorted(words - {""})
+    found = TermAutomaton(terms).match(words)
+    for word, hit in zip(words, found.tolist()):
+        errors = []
+        for term in terms:
+            allowed = int(len(term.text) >= (toxicity.FUZZY_STEM if term.stem else toxicity.FUZZY_WORD))
+            ends = range(len(word) + 1) if term.stem else [len(word)]
+            wrong = min(distance_by_hand(word[:n], term.text) for n in ends)
+            errors += [wrong] if wrong <= allowed else []
+        assert (hit > 0) == bool(errors), word
+        if hit:
+            assert (hit - 1) % 2 == min(errors), word
+
+
+def test_quotation_weighs_less_than_abuse(spark):
+    rng = random.Random(3)
+    plain = ["green", "house", "river", "table", "window", "garden", "letter"]
+    rows = []
+    for k in range(600):
+        text = rng.choices(plain, k=30)
+        if k % 3 == 0:
+            text[rng.randrange(30)] = "idiot"
+        elif k % 3 == 1:
+            text[rng.randrange(1, 29)] = 'he said "idiot" then'
+        rows.append((" ".join(text), int(k % 3 == 0)))
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int"))
+    abuse, quoted, clean = model.scores(["you idiot go to the river", 'she wrote "idiot" on the table', "a green table"])
+    wrong = model.scores(["you idiott go to the river"])[0]
+    assert abuse > 0.7 > quoted and clean < 0.3
+    assert model.automaton.match(["idiott", "idot", "ideot", "riot"]).astype(bool).tolist() == [True, True, True, False]
+    assert wrong != clean
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_scores_of_odd_rows(spark, frame, module):
+    marks = [(f"good text number {i} of many {i * 7}", 1) for i in range(30)] + [("bad | bad | bad | " * 9 + str(i), 0) for i in range(30)]
+    model = module.fit(spark.createDataFrame([*marks, (None, 1), ("", 0), ("x", None)], "text string, label int"))
+    found = module.score(frame(ODD), model).collect()
+    assert len(found) == len(ODD) and all(0 <= r.score <= 1 for r in found)
+    assert module.score(frame([]).limit(0), model).count() == 0
+    none = module.fit(spark.createDataFrame([], "text string, label int"))
+    assert {r.score < 0.5 for r in module.score(frame(ODD), none).collect()} == {True}
+    ones = module.fit(spark.createDataFrame([("a", 1), ("b", 1)], "text string, label int"))
+    assert {r.score > 0.5 for r in module.score(frame(ODD), ones).collect()} == {True}
+
+
+def test_without_toxic_keeps_columns_and_clean_rows(spark, larger):
+    from daymark.llm.queries import toxicity_model
+
+    docs = table(spark, larger, "documents")
+    kept = toxicity.without_toxic(docs, toxicity_model(spark, larger))
+    assert kept.schema == docs.schema
+    marked = table(spark, larger, "labels").filter("toxic = 1")
+    assert kept.join(marked, "doc_id").count() <= 0.1 * marked.count()
+    clean = table(spark, larger, "labels").filter("toxic = 0")
+    assert kept.join(clean, "doc_id").count() >= 0.99 * clean.count()
+
+
+def test_held_out_rows_by_crc(spark):
+    import zlib
+
+    df = spark.range(50).selectExpr("id AS doc_id")
+    rows = df.select("doc_id", has_rest("doc_id", 3, 1).alias("held")).collect()
+    assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+
+
+def test_logistic_and_forest_learn():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 4))
+    y = (x[:, 0] + 0.5 * x[:, 1] > 0.2).astype(float)
+    assert ((Logistic.fit(x, y).chance(x) > 0.5) == y).mean() > 0.97
+    corner = ((x[:, 0] > 0) & (x[:, 2] < 0.3)).astype(float)
+    forest = Forest.fit(x[:600], corner[:600])
+    assert ((forest.chance(x[600:]) > 0.5) == corner[600:]).mean() > 0.93
+
+
+# ---- secrets
+
+PLANTED = re.compile(r'(AKIA[A-Z0-9]{16})|password=([0-9a-f]{18})|token = "([0-9a-f]{40})"')
+
+
+def test_secrets_of_documents(spark, larger):
+    import __spark_entry__ as contract
+
+    texts = {r.doc_id: r.text or "" for r in table(spark, larger, "documents").collect()}
+    found = contract.queries()["op10_secrets"](spark, larger).collect()
+    kept = {(r.doc_id, r.start, r.end) for r in found if r.is_secret}
+    planted = {(i, *m.span(m.lastindex)) for i, t in texts.items() for m in PLANTED.finditer(t)}
+    assert len(planted & kept) >= 0.97 * len(planted)
+    assert len(kept - planted) <= 0.05 * len(planted) + 2
+    assert len(found) > len(kept)  # the forest took something out
+
+
+def test_forest_on_held_out_findings(spark, larger):
+    texts = [r.text or "" for r in table(spark, larger, "documents").limit(400).collect()]
+    model = secrets.fit(secrets.labelled_findings(texts[:200], 3000), texts[:200])
+    test = secrets.labelled_findings(texts[200:], 1000, seed=5)
+    x = np.array([secrets.described(t, low, high, model.context) for t, low, high, _ in test])
+    assert ((model.forest.chance(x) >= 0.5) == [f[3] for f in test]).mean() > 0.97
+
+
+def test_redaction_and_odd_rows(frame):
+    texts = ["plain words of a text"] * 3
+    model = secrets.fit(secrets.labelled_findings(texts, 2000), texts)
+    rows = ODD + [(9, 'é password=b7db7aa4a5fcc78305 and\ntoken = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" end, call 555-1234')]
+    df = secrets.without_secrets(frame(rows), model)
+    assert df.schema == frame(rows).schema
+    found = {r.doc_id: r.text for r in df.collect()}
+    assert found[9] == 'é password=[secret] and\ntoken = "[secret]" end, call 555-1234'
+    assert {i: t for i, t in found.items() if i != 9} == dict(ODD)
+    spans = [r for r in secrets.scan(frame(rows), model).collect() if r.is_secret]
+    assert sorted(rows[-1][1][r.start : r.end] for r in spans) == [
+        "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae",
+        "b7db7aa4a5fcc78305",
+    ]
+    assert secrets.scan(frame([]).limit(0), model).count() == 0
+    assert secrets.fit_on(frame([]).limit(0)).forest.trees
