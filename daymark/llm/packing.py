@@ -78,19 +78,23 @@ def repeats(combos: np.ndarray, histogram: np.ndarray, rounds: int = 80) -> np.n
 class Plan:
     """Where the texts of each length go; filled by ``plan``."""
 
-    def __init__(self) -> None:
+    def __init__(self, window: int) -> None:
+        self.bits = window.bit_length()
         self.rows: list[tuple] = []  # length, part start, first number, end, part length, window, offset
         self.windows = 0
 
+    def key(self, length, start, number):
+        """Orders by length, part and number; with a window of 2048 there is room for 2**39 numbers."""
+        return ((length << self.bits | start) << 63 - 2 * self.bits) | number
+
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         rows = np.array(sorted(self.rows), np.int64).reshape(-1, 7)
-        keys = ((rows[:, 0] << 20 | rows[:, 1]) << 38) | rows[:, 2]
-        return keys, rows
+        return self.key(rows[:, 0], rows[:, 1], rows[:, 2]), rows
 
 
 def plan(histogram: np.ndarray, window: int = WINDOW) -> Plan:
     """``histogram[n]``: how many remainders have length ``n``, below the window."""
-    made = Plan()
+    made = Plan(window)
     # For each length what is left: ranges of texts, and where in the remainder the part starts.
     supply: dict[int, deque] = defaultdict(deque)
     left = np.zeros(window + 1, np.int64)
@@ -171,9 +175,13 @@ def ids_in(cell: bytes, n: int) -> np.ndarray:
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def _pieces(keys: np.ndarray, rows: np.ndarray, groups: dict, windows: int, window: int):
+def _pieces(made: Plan, groups: dict, window: int):
     """Rows come by remainder and group, in a fixed order; their numbers go on from the group's first."""
 
+    keys, rows = made.arrays()
+    key, windows = made.key, made.windows
+    made.rows = []  # they travel as arrays
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, number, full = None, 0, 0
         for batch in chunks(batches, "ids", 8 << 20):
@@ -190,7 +198,7 @@ def _pieces(keys: np.ndarray, rows: np.ndarray, groups: dict, windows: int, wind
                 full += n // window
                 begin, done = n - rest, 0
                 while done < rest:
-                    at = np.searchsorted(keys, ((rest << 20 | done) << 38) | number, "right") - 1
+                    at = np.searchsorted(keys, key(rest, done, number), "right") - 1
                     _, _, low, _, size, first, offset = rows[at].tolist()
                     cut = cell[(begin + done) * width : (begin + done + size) * width]
                     out.append((doc, begin + done, size, n, first + number - low, offset, cut))
@@ -238,10 +246,9 @@ def pack(
         full += whole
     histogram[0] = 0
     made = plan(histogram, window)
-    keys, rows = made.arrays()
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = tokens.repartition(width, "rest", "bucket").sortWithinPartitions("rest", "bucket", "doc_id", "n")
-    return ordered.mapInArrow(_pieces(keys, rows, groups, made.windows, window), PIECE)
+    return ordered.mapInArrow(_pieces(made, groups, window), PIECE)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

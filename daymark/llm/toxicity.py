@@ -202,9 +202,9 @@ def lexicon(sample: DataFrame, toxic: int, other: int) -> list[Term]:
         F.count(F.when(F.col("toxic") > 0, 1)).alias("words"),
         F.max(F.struct("toxic", "word")).alias("top"),
     )
-    least = max(5, toxic // 500)
+    least = max(3, toxic // 500)
     rate = max(1, other) / max(1, toxic)
-    rare = (F.col("toxic") >= least) & (F.col("other") <= F.col("toxic") * (0.02 * rate))
+    rare = (F.col("toxic") >= least) & (F.col("other") <= F.col("toxic") * (0.03 * rate))
     rows = stems.filter(rare).orderBy(F.desc("toxic"), "stem").limit(20 * TERMS).collect()
     terms: dict[str, tuple[int, Term]] = {}
     pure = {r.stem: r for r in rows}

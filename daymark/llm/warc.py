@@ -95,7 +95,7 @@ def write_archives(pages: DataFrame, least: int = 0, archive: int = ARCHIVE) ->
     first = rows.groupBy("digest", "size").agg(F.min(F.struct("page_id")).alias("first"))
     revisit = ~F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("size") >= least)
     made = rows.join(first, ["digest", "size"]).select(
-        "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", F.col("first.page_id")
+        "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", F.col("first.page_id").alias("first")
     )
     folder = shared_dir(pages.sparkSession, "warc")
     base32 = made.mapInArrow(_in_base32, "page_id long, url string, payload binary, digest string, size long, first long")

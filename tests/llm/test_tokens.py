@@ -108,11 +108,14 @@ def test_plan_places_every_remainder(kind):
 
 def test_least_squares_comes_near_the_histogram():
     histogram = np.zeros(2048, int)
-    histogram[[1000, 1048, 500, 548]] = [80, 50, 30, 30]
+    histogram[[1000, 1048, 504, 544]] = [80, 50, 30, 30]
     combos = packing.combinations(np.flatnonzero(histogram), 2048)
     x = packing.repeats(combos, histogram, 500)
-    by = {tuple(c): v for c, v in zip(combos.tolist(), x)}
-    assert abs(by[1048, 1, 1000, 0] - 50) < 1 and abs(by.get((500, 1, 548, 1000), by.get((500, 2, 1048, 0), 30)) - 30) < 2
+    used = np.zeros(2048)
+    for (a, times, b, c), n in zip(combos.tolist(), x):
+        for length, k in ((a, times), (b, 1), (c, 1)):
+            used[length] += n * k
+    assert (x >= 0).all() and np.abs(used - histogram)[1:].max() < 1
 
 
 def check_files(found, rows, tokenizer):
@@ -134,7 +137,7 @@ def test_token_files_equal_the_library(spark, sf_dir, tokenizer):
 def test_token_files_odd_rows_and_many_files(frame, tokenizer):
     check_files(token_files(frame(ODD)).collect(), ODD, tokenizer)
     rows = [(i, f"text {i} " * (i % 7)) for i in range(300)]
-    folder, files = write_token_files(frame(rows), file_ids=50)
+    folder, files = write_token_files(frame(rows), file_ids=50, chunk=100)
     assert files.count() > 20
     check_files(read_token_files(folder, files).collect(), rows, tokenizer)
     assert token_files(frame([]).limit(0)).count() == 0
