@@ -31,7 +31,8 @@ from ..session import materialised
 from .common import NULL_ID, chunks, ragged
 from .shingles import shingle_sets
 
-COMMON = 1_000_000  # at most so many shingles count as common; their list goes to every task
+COMMON = 16_000_000  # at most so many shingles count as common; their list, 12 bytes each, goes to every task
+OFTEN = 8  # a shingle in fewer texts is not common
 GROUPS = 256  # coordinates of a count vector
 LEAF = 16  # points in a leaf of the R-tree, and boxes in a node
 BLOCK = 2048  # members of a list that meet in one task
@@ -108,7 +109,7 @@ def _added(items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return items[first], np.add.reduceat(counts, first)
 
 
-def common_shingles(texts: DataFrame, most: int = COMMON, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame, most: int = COMMON, least: int = OFTEN) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that the most texts hold, by the high half of their hash, and how many do.
 
     Counts cover all texts.  With ``total`` shingles, at most ``most`` can be in
@@ -384,9 +385,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.withColumn("component", F.coalesce("component", "node"))
     members = materialised(members, "near-members")
     open_lists = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
+        F.count(F.lit(1)).alias("size"),
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.bit_xor(F.xxhash64("node")).alias("sign"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("sign_2"),
     )
-    open_lists = open_lists.filter("low < high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    # Lists of the same members, as the shingles of one passage have them, are joined once.
+    open_lists = open_lists.filter("low < high").groupBy("size", "sign", "sign_2").agg(F.min("key").alias("key"))
+    open_lists = open_lists.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     spread = members.join(open_lists, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select(
