@@ -72,3 +72,27 @@ def bounds_of(rows: DataFrame, blocks: int) -> np.ndarray:
     steps = [i / blocks for i in range(1, blocks)] or [0.0]
     cuts = rows.agg(F.min("place"), F.percentile_approx("place", steps, max(10_000, 10 * blocks))).first()
     return np.unique(np.array([] if cuts[0] is None else [cuts[0], *cuts[1]], np.int64))
+
+
+def first_texts(texts: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` distinct texts with their rows' other columns, the first by a hash.
+
+    Only hashes are shuffled to find the last of them, so no other text is moved.
+    """
+    keyed = texts.withColumn("order", F.xxhash64("text"))
+    last = keyed.select("order").distinct().orderBy("order").limit(sample).agg(F.max("order")).first()[0]
+    return keyed.filter(F.col("order") <= F.lit(last)).dropDuplicates(["order"])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, use: Column, sample: int) -> DataFrame:
+    """``text, label`` of labelled documents for whose id ``use`` holds.
+
+    Of each class come at most ``sample``, the first by a hash of the id: a bound by which the
+    ids may be broadcast, so that no text is shuffled.
+    """
+    marks = labels.filter(use).select(F.col("doc_id").alias("marked"), F.col(label).alias("label"))
+    parts = [
+        marks.filter(F.col("label") == k).orderBy(F.xxhash64("marked"), "marked").limit(sample) for k in (0, 1)
+    ]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))
+    return docs.join(chosen, docs["doc_id"] == F.col("marked")).select(docs["text"], "label")

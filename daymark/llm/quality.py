@@ -19,7 +19,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, texts_of
+from .common import chunks, first_texts, texts_of
 from .logistic import Logistic
 
 SAMPLE = 4_000  # labelled rows of either class that are learnt from, at most
@@ -106,17 +106,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> QualityModel:
     is empty.  Without rows of both classes every score is the one label's, or 0.
     """
     rows = labelled.filter("label IN (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), "label")
-    keyed = rows.withColumn("order", F.xxhash64("text"))
     texts = [
-        [
-            r.text
-            for r in keyed.filter(F.col("label") == k)
-            .dropDuplicates(["order"])
-            .orderBy("order")
-            .limit(sample)
-            .select("text")
-            .toLocalIterator()
-        ]
+        [r.text for r in first_texts(rows.filter(F.col("label") == k), sample).orderBy("order").toLocalIterator()]
         for k in (1, 0)
     ]
     blank = Logistic.constant(3 * FEATURES - 2, float(bool(texts[0])))

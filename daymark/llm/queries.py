@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pieces, quality, secrets, toxicity
-from .common import has_rest, table
+from .common import has_rest, table, training_rows
 from .exact import exact_groups
 from .fingerprints import fingerprints
 from .near import near_components
@@ -28,7 +28,7 @@ def judged(scores: DataFrame, modulus: int, rest: int) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return toxicity.fit(toxicity.training_rows(docs, labels, "toxic", ~has_rest("doc_id", 3, 1)))
+    return toxicity.fit(training_rows(docs, labels, "toxic", ~has_rest("doc_id", 3, 1), toxicity.SAMPLE))
 
 
 def op1_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.fit(toxicity.training_rows(docs, labels, "quality", ~has_rest("doc_id", 4, 2)))
+    model = quality.fit(training_rows(docs, labels, "quality", ~has_rest("doc_id", 4, 2), quality.SAMPLE))
     return judged(quality.score(docs, model), 4, 2)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, texts_of
+from .common import chunks, first_texts, texts_of
 from .forest import Forest
 
 SAMPLE = 2_000  # texts that lend words and surroundings to the training, at most
@@ -212,9 +212,8 @@ def fit(findings: list[tuple[str, int, int, int]], texts: list[str]) -> SecretMo
 
 def fit_on(docs: DataFrame, sample: int = SAMPLE, findings: int = FINDINGS) -> SecretModel:
     """A model whose words and surroundings come from at most ``sample`` texts, the first by a hash."""
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("order", F.xxhash64("text"))
-    rows = rows.dropDuplicates(["order"]).orderBy("order").limit(sample)
-    texts = [r.text for r in rows.select("text").toLocalIterator()]
+    rows = first_texts(docs.select(F.coalesce("text", F.lit("")).alias("text")), sample)
+    texts = [r.text for r in rows.orderBy("order").toLocalIterator()]
     return fit(labelled_findings(texts, findings), texts)
 
 

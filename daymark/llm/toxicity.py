@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, texts_of
+from .common import chunks, first_texts, texts_of
 from .logistic import Logistic
 
 SAMPLE = 20_000  # labelled rows of either class that are learnt from, at most
@@ -240,8 +240,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     is empty.  Without rows of both classes every score is the share of toxic rows, or 0.
     """
     rows = labelled.filter("label IN (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), "label")
-    keyed = rows.withColumn("order", F.xxhash64("text"))
-    parts = [keyed.filter(F.col("label") == k).dropDuplicates(["order"]).orderBy("order").limit(sample) for k in (1, 0)]
+    parts = [first_texts(rows.filter(F.col("label") == k), sample) for k in (1, 0)]
     chosen = parts[0].unionByName(parts[1]).select("text", F.col("label").cast("int").alias("label"))
     width = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chosen = chosen.repartition(min(width, 64))
@@ -264,12 +263,6 @@ def _scored(model: ToxicityModel):
     return run
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, use: Column) -> DataFrame:
-    """``text, label`` of the labelled documents for whose id ``use`` holds."""
-    marks = labels.filter(use).select(F.col("doc_id").alias("marked"), F.col(label).alias("label"))
-    return docs.join(marks, docs["doc_id"] == F.col("marked")).select(docs["text"], "label")
-
-
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``doc_id, score`` of each row; null text counts as empty, other columns are not looked at."""
     return docs.select("doc_id", "text").mapInArrow(_scored(model), "doc_id long, score double")
