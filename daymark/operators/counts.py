@@ -21,5 +21,5 @@ def count_by_sorted(df: DataFrame, owner: str, name: str) -> DataFrame:
 
 
 def latest_by(df: DataFrame, key: str, value: str, order: str, name: str) -> DataFrame:
-    """Per key, ``value`` of the row with the greatest ``order``."""
-    return df.groupBy(key).agg(F.max_by(value, order).alias(name))
+    """Per key, ``value`` of the row with the greatest ``order``; of several, the greatest value."""
+    return df.groupBy(key).agg(F.max_by(value, F.struct(order, value)).alias(name))

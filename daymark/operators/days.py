@@ -2,8 +2,8 @@
 
 A day set is a one-column frame and its algebra runs on the cluster.  Selecting
 rows by a computed set is the one place where days reach the driver: a literal
-list prunes partitions and row groups, which no join does.  The list's length is
-checked; a longer one is written out and joined instead.
+list prunes partitions and row groups, whatever its length.  It holds calendar days,
+one each, so it does not grow with the rows.
 """
 
 from __future__ import annotations
@@ -15,13 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import DAY, quoted
+from ..functions.columns import DAY, day_column, quoted
 from ..session import materialised
 
-# About 54 years of days.  Beyond this a list is no longer inlined.
-MAX_LISTED_DAYS = 20_000
-
-
 def distinct_days(df: DataFrame, day: str = DAY) -> DataFrame:
     return df.select(day).distinct()
 
@@ -47,14 +43,20 @@ def days_held(probe: DataFrame, held: DataFrame, day: str = DAY) -> DataFrame:
 
 
 def on_day(df: DataFrame, day: dt.date, column: str = DAY) -> DataFrame:
-    """One day's rows.  A timestamp column is compared as a range, so the filter
-    reaches the file scan instead of hiding behind a cast."""
+    """One day's rows; the column may be spelled in any case.
+
+    A timestamp column is compared as a range, and so is text, which may go on behind an ISO
+    day: the filter reaches the file scan instead of hiding behind a cast."""
+    column = day_column(df, column)
     kind = df.schema[column].dataType
     value = F.col(quoted(column))
+    if isinstance(kind, T.StringType):
+        after = day + dt.timedelta(days=1)
+        return df.where((value >= F.lit(day.isoformat())) & (value < F.lit(after.isoformat())))
     if isinstance(kind, T.DateType):
         return df.where(value == F.lit(day))
     if not isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        raise TypeError(f"{column} is {kind.simpleString()}, not a date or timestamp")
+        raise TypeError(f"{column} is {kind.simpleString()}, not a date, timestamp or text")
     low, high = (F.lit(d).cast(kind) for d in (day, day + dt.timedelta(days=1)))
     return df.where((value >= low) & (value < high))
 
@@ -79,26 +81,30 @@ def in_days(column: str, days: Sequence[dt.date]) -> Column:
     )
 
 
-def listed(days: DataFrame, day: str = DAY, limit: int = MAX_LISTED_DAYS) -> list[dt.date] | None:
-    """The non-NULL days of a day set in order, or None if there are more than ``limit``."""
-    rows = days.select(day).where(F.col(day).isNotNull()).orderBy(day).limit(limit + 1).collect()
-    return None if len(rows) > limit else [row[0] for row in rows]
+def listed(days: DataFrame, day: str = DAY) -> list[dt.date]:
+    """The non-NULL days of a day set in order, each once."""
+    rows = days.select(day).where(F.col(day).isNotNull()).distinct().collect()
+    return sorted(row[0] for row in rows)
 
 
-def rows_on_days(
-    df: DataFrame, days: DataFrame, day: str = DAY, limit: int = MAX_LISTED_DAYS
-) -> DataFrame:
+def rows_on_days(df: DataFrame, days: DataFrame, day: str = DAY) -> DataFrame:
     """Rows of ``df`` whose day is in the set; rows without a day never are.
 
-    ``days`` holds each day once.  The fact rows are filtered in place: no
-    shuffle up to ``limit`` days, and a semi-join beyond.
+    The fact rows are filtered in place, without a shuffle.
     """
-    wanted = listed(days, day, limit)
-    if wanted is not None:
-        return df.where(in_days(day, wanted))
-    return joined_on_days(df, materialised(days.select(day), "days"), day)
+    return df.where(in_days(day, listed(days, day)))
 
 
 def joined_on_days(df: DataFrame, days: DataFrame, day: str = DAY) -> DataFrame:
-    """The semi-join form of the above, with the columns left in their order."""
-    return df.join(days, day, "left_semi").select(*[quoted(c) for c in df.columns])
+    """The same rows by a semi-join, for a caller who wants no day on the driver but the range.
+
+    The range bounds the scan, and as a filter on the days lets Spark prune partitions by
+    what it finds of them while it runs.
+    """
+    days = materialised(days.select(day).where(F.col(day).isNotNull()).distinct(), "days")
+    low, high = days.agg(F.min(day), F.max(day)).first()
+    if low is None:
+        return df.where(F.lit(False))
+    within = F.col(day).between(F.lit(low), F.lit(high))
+    joined = df.where(within).join(days.where(within), day, "left_semi")
+    return joined.select(*[quoted(c) for c in df.columns])

@@ -15,12 +15,26 @@ def unique_names(df: DataFrame, name: str, key: str, out: str = "unique_name") -
     row per name and task, and are matched back on the key, not on the name: a
     name held by a third of all rows never gathers in one place.  With few names
     their stored size lets Spark broadcast them, and ``df`` is not shuffled.
+
+    A made name that some row has from the start gets ``-key`` once more, until no row has
+    it.  Made names end in their own key, so they never meet one another.
     """
-    holders = df.groupBy(name).agg(F.min(key).alias(key)).select(key)
-    first = materialised(holders, "first-holders").withColumn("_first", F.lit(True))
-    suffixed = F.concat(F.col(name), F.lit("-"), F.col(key).cast("string"))
-    return (
-        df.join(first, key, "left")
-        .withColumn(out, F.when(F.col("_first"), F.col(name)).otherwise(suffixed))
-        .drop("_first")
-    )
+    holders = materialised(df.groupBy(name).agg(F.min(key).alias(key)), "first-holders")
+    first = holders.select(key).withColumn("_first", F.lit(True))
+    given = holders.select(F.col(name).alias("_made"))
+    ending = F.concat(F.lit("-"), F.col(key).cast("string"))
+    others = df.join(first, key, "left_anti").select(key, F.concat(F.col(name), ending).alias("_made"))
+    # Per key how often it is appended; most have no row here.
+    again, taken = None, others.join(given, "_made", "left_semi")
+    times = 1
+    while not (taken := materialised(taken, "names-taken")).isEmpty():
+        times += 1
+        step = taken.select(key, F.lit(times).alias("_times"))
+        again = step if again is None else again.unionByName(step)
+        taken = taken.select(key, F.concat("_made", ending).alias("_made")).join(given, "_made", "left_semi")
+    marked = df.join(first, key, "left")
+    if again is not None:
+        marked = marked.join(again.groupBy(key).agg(F.max("_times").alias("_times")), key, "left")
+        ending = F.repeat(ending, F.coalesce("_times", F.lit(1)))
+    made = F.when(F.col("_first"), F.col(name)).otherwise(F.concat(F.col(name), ending))
+    return marked.withColumn(out, made).drop("_first", "_times")

@@ -24,4 +24,4 @@ def export_day(
     rows = on_day(df, day, column)
     export(rows, path, file_type)
     spark = df.sparkSession
-    return read_parquet(spark, path) if file_type == "parquet" else read_csv(spark, path, rows.schema)
+    return read_parquet(spark, path) if file_type == "parquet" else read_csv(spark, path, rows.schema, line_breaks=True)

@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import DAY, with_day
-from ..operators.days import MAX_LISTED_DAYS, distinct_days, in_days, joined_on_days
-from ..session import materialised
+from ..operators.days import distinct_days, in_days
 from ..sinks.tables import add_days, create_like
 from ..sources.tables import Table
 
@@ -62,7 +61,6 @@ def sync_days(
     target: Table,
     only: Sequence[dt.date] | None = None,
     day: str = DAY,
-    max_listed: int = MAX_LISTED_DAYS,
 ) -> SyncReport:
     """Copy the days ``target`` lacks, or those of ``only`` that it lacks.
 
@@ -76,8 +74,7 @@ def sync_days(
         asked = in_days(day, sorted(set(only)))
         rows, fresh = rows.where(asked), fresh.where(asked)
 
-    # Sorted, so the NULL day comes first and cannot fall off the end.
-    found = fresh.orderBy(F.col(day).asc_nulls_first()).limit(max_listed + 2).collect()
+    found = fresh.collect()  # one row a calendar day
     undated = sum(
         rows.where(F.col(day).isNull()).count() if r["rows"] is None else r["rows"]
         for r in found
@@ -88,17 +85,11 @@ def sync_days(
         return SyncReport(target.identifier, 0, 0, undated)
 
     create_like(target, rows, [day])
-    if len(dated) <= max_listed:
-        wanted = in_days(day, [r[day] for r in dated])
-        add_days(target, rows.where(wanted), day, cluster=not laid_out)
-        counts = [r["rows"] for r in dated]
-        copied = target.read().where(wanted).count() if None in counts else sum(counts)
-        return SyncReport(target.identifier, len(dated), copied, undated)
-
-    days = materialised(fresh.where(F.col(day).isNotNull()), "days")
-    add_days(target, joined_on_days(rows, days, day), day, cluster=not laid_out)
-    copied = joined_on_days(target.read(), days, day).count()
-    return SyncReport(target.identifier, days.count(), copied, undated)
+    wanted = in_days(day, [r[day] for r in dated])
+    add_days(target, rows.where(wanted), day, cluster=not laid_out)
+    counts = [r["rows"] for r in dated]
+    copied = target.read().where(wanted).count() if None in counts else sum(counts)
+    return SyncReport(target.identifier, len(dated), copied, undated)
 
 
 @dataclass(frozen=True)

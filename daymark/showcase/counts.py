@@ -33,7 +33,7 @@ def count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT user_id, event_id AS latest_event FROM events
-    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
     """
 )
 def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:

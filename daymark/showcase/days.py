@@ -9,6 +9,7 @@ from ..functions.columns import DAY, as_day, with_day
 from ..operators.days import (
     days_held,
     distinct_days,
+    joined_on_days,
     known_days,
     missing_days,
     rows_on_days,
@@ -60,7 +61,7 @@ def new_date_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def new_date_rows_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows by the semi-join that a day list too long to inline falls back to."""
     items = lineitem_by_day(spark, sf_dir)
-    return rows_on_days(items, missing_days(items, orders_by_day(spark, sf_dir)), limit=0)
+    return joined_on_days(items, missing_days(items, orders_by_day(spark, sf_dir)))
 
 
 @query(

@@ -14,6 +14,7 @@ from ..plans.run import run
 from ..plans.sync import sync_days, sync_two_hops
 from ..session import scratch_dir
 from ..sinks.files import write_csv
+from ..sinks.tables import replace
 from ..sources.tables import Lake
 from .registry import (
     EVENT_DAY,
@@ -53,8 +54,8 @@ def sync_incremental_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with day lists too long to inline."""
     orders = orders_by_month(spark, sf_dir)
     target = scratch_lake(spark).table("silver", "orders")
-    sync_days(_seed(orders), target, max_listed=0)
-    sync_days(orders, target, max_listed=0)
+    sync_days(_seed(orders), target)
+    sync_days(orders, target)
     return target.read()
 
 
@@ -194,3 +195,26 @@ def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     elsewhere = Lake(spark, lake.root, ref="restored", prefix=lake.prefix).create_layers()
     snapshots.restore(elsewhere, root)
     return elsewhere.table("gold", "events").read()
+
+
+@query(f"SELECT e.*, {EVENT_DAY} AS DATE FROM events e")
+def sync_after_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the days come by an overwrite of the table, the others by a sync that keeps those."""
+    events, target = events_by_day(spark, sf_dir), scratch_lake(spark).table("silver", "events")
+    replace(target, events.where(F.col(DAY) < F.lit(dt.date(2024, 1, 16))), [DAY])
+    sync_days(events, target)
+    return target.read()
+
+
+@query(f"SELECT e.*, {EVENT_DAY} AS DATE FROM events e")
+def sync_into_plain_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same into a table that plain SQL made, without an overwrite mode of its own."""
+    events, target = events_by_day(spark, sf_dir), scratch_lake(spark).table("silver", "events")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    spark.sql(
+        f"CREATE TABLE {target.identifier} ({columns}) USING parquet PARTITIONED BY (`{DAY}`) "
+        f"LOCATION '{target.location}'"
+    )
+    sync_days(events.where(F.col(DAY) < F.lit(dt.date(2024, 1, 16))), target)
+    sync_days(events, target)
+    return target.read()

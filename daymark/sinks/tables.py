@@ -52,9 +52,14 @@ def put_days(table: Table, df: DataFrame, day: str = DAY, cluster: bool = True)
     """
     if not table.is_by_day(day):
         raise ValueError(f"{table.identifier} is not partitioned by {day} alone")
+    mode, options = table.overwrite_mode(), dict(COMMIT_IN_TASKS)
+    if mode is None:  # a table made elsewhere; Spark's default would empty it
+        options["partitionOverwriteMode"] = "dynamic"
+    elif mode != "dynamic":
+        raise ValueError(f"{table.identifier} overwrites in {mode} mode: a write would remove its other days")
     rows = clustered(df, [day]) if cluster else df
     table.spark.sql(
-        f"INSERT OVERWRITE TABLE {table.identifier} WITH ({option_list(COMMIT_IN_TASKS)}) "
+        f"INSERT OVERWRITE TABLE {table.identifier} WITH ({option_list(options)}) "
         "BY NAME SELECT * FROM {rows}",
         rows=rows,
     )
@@ -75,15 +80,20 @@ def add_days(table: Table, df: DataFrame, day: str = DAY, cluster: bool = True)
 def replace(
     table: Table, df: DataFrame, partition_by: Sequence[str] = (), cluster: bool = True
 ) -> Table:
-    """Overwrite the table, schema included."""
+    """Overwrite the table, schema included.
+
+    The files are replaced first and the table is named anew over them, so that what is
+    stored with it is the dynamic overwrite mode, not the static one of this write.
+    """
     rows = clustered(df, partition_by) if cluster else df
-    writer = rows.write.format("parquet").mode("overwrite")
-    for key, value in TABLE_OPTIONS.items():
-        writer = writer.option(key, value)
+    writer = rows.write.mode("overwrite").options(**TABLE_OPTIONS)
     if partition_by:
         # The whole table goes, not just the partitions written now.
         writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "static")
-    writer.option("path", table.location).saveAsTable(table.identifier)
+    writer.parquet(table.location)
+    table.spark.sql(f"DROP TABLE IF EXISTS {table.identifier}")
+    register(table, df.schema, partition_by)
+    table.spark.catalog.refreshTable(table.identifier)
     return table
 
 

@@ -13,9 +13,14 @@ from ..functions.columns import quoted
 # The file suffixes that mark a path rather than a table name.
 SUFFIXES = (".csv", ".json", ".parquet")
 
-# A header row, and timestamps to the microsecond: the default keeps milliseconds.
+# A header row, and timestamps to the microsecond: the default keeps milliseconds.  Quotes
+# are doubled, padding stays, and NULL has a mark of its own beside empty text.
 CSV_OPTIONS = {
     "header": "true",
+    "escape": '"',
+    "nullValue": "\\N",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
 }
@@ -41,10 +46,15 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = False
+) -> DataFrame:
     """CSV with a header row.  Every column is a string unless a schema is given;
-    neither form makes an inference pass over the data."""
-    reader = spark.read.options(**CSV_OPTIONS)
+    neither form makes an inference pass over the data.
+
+    ``line_breaks`` says that quoted fields may hold some; a file is then read by one task.
+    """
+    reader = spark.read.options(**CSV_OPTIONS, multiLine=str(line_breaks).lower())
     return (reader.schema(schema) if schema else reader).csv(path)
 
 

@@ -6,6 +6,8 @@ catalog does not, and can be found again wherever the folder was moved.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import unquote
@@ -23,6 +25,9 @@ LAYERS = ("bronze", "silver", "gold")
 # partition columns, and the property that says who keeps the list of partitions.
 PARTITION_HEADING = "# Partition Information"
 PARTITION_PROVIDER = ("Partition Provider", "Catalog")
+STORED_OPTIONS = "Storage Properties"
+# Beside a table's files: its columns and partition columns, for whoever finds it again.
+LAYOUT_FILE = "_layout.json"
 
 # Dynamic overwrite is a property of the table: an overwrite replaces the
 # partitions it writes and leaves the rest, whatever the session says.
@@ -74,6 +79,12 @@ class Table:
         listed = names[names.index(PARTITION_HEADING) + 2 :]
         return listed[: listed.index("")]
 
+    def overwrite_mode(self) -> str | None:
+        """The partition overwrite mode stored with the table, if any is."""
+        stored = dict(self._description()).get(STORED_OPTIONS, "")
+        found = re.search(r"partitionOverwriteMode=(\w+)", stored, re.IGNORECASE)
+        return found[1].lower() if found else None
+
     def is_by_day(self, day: str) -> bool:
         return [c.lower() for c in self.partition_columns()] == [day.lower()]
 
@@ -153,20 +164,49 @@ def register(table: Table, schema: T.StructType, partition_by: Sequence[str] = (
     )
     if partition_by and next(_children(table.spark, table.location), None):
         table.spark.catalog.recoverPartitions(table.identifier)
+    _write_layout(table, schema, partition_by)
     return table
 
 
 def attach(table: Table) -> Table:
     """Name files that already lie at the table's path, whoever wrote them.
 
-    The schema comes from the files, the partition columns from the folder names.
-    Spark guesses the types of partition values, which is safe for dates.
+    The layout file says what they are.  Without one the columns come from one folder of
+    files and the partition columns from the folder names: dates where the first value is
+    one, else text, as a guess would make numbers of codes like ``007``.
     """
-    partition_by, path = [], table.location
+    if layout := _read_layout(table):
+        return register(table, *layout)
+    partitions, path = [], table.location
     while folder := next((n for n in _children(table.spark, path) if "=" in n), None):
-        partition_by.append(unquote(folder.split("=", 1)[0]))
+        name, value = map(unquote, folder.split("=", 1))
+        kind = T.DateType() if re.fullmatch(r"\d{4}-\d{2}-\d{2}", value) else T.StringType()
+        partitions.append(T.StructField(name, kind))
         path = f"{path}/{folder}"
-    return register(table, table.spark.read.parquet(table.location).schema, partition_by)
+    columns = table.spark.read.parquet(path).schema.fields
+    return register(table, T.StructType([*columns, *partitions]), [p.name for p in partitions])
+
+
+def _write_layout(table: Table, schema: T.StructType, partition_by: Sequence[str]) -> None:
+    text = json.dumps({"schema": json.loads(schema.json()), "partition_by": list(partition_by)})
+    fs, path = file_system(table.spark, f"{table.location}/{LAYOUT_FILE}")
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _read_layout(table: Table) -> tuple[T.StructType, list[str]] | None:
+    fs, path = file_system(table.spark, f"{table.location}/{LAYOUT_FILE}")
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        layout = json.loads(table.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+    return T.StructType.fromJson(layout["schema"]), layout["partition_by"]
 
 
 def _children(spark: SparkSession, path: str) -> Iterator[str]:

@@ -19,7 +19,7 @@ from daymark.sources.files import (
     table_name,
 )
 from daymark.sources.sql import query
-from daymark.sources.tables import Lake
+from daymark.sources.tables import Lake, Table
 
 
 def test_suffix_and_table_name():
@@ -43,10 +43,23 @@ def test_typed_csv_is_lossless(spark):
         """SELECT 'say "hi", \\n twice' AS t, 0.1D AS d,
            TIMESTAMP_NTZ'2024-01-01 01:02:03.123456' AS n, TIMESTAMP'2024-01-01 01:02:03.654321' AS z"""
     ).drop("x")
-    one_line = df.withColumn("t", F.lit('say "hi", twice'))
+    texts = ['say "hi", \n twice', "a\nb\r\nc", " pad\t", "", None, "\\", 'end\\"', "NULL"]
+    df = df.drop("t").crossJoin(spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, i int"))
     path = scratch_dir(spark, "csv")
-    write_csv(one_line, path)
-    assert rows(read_csv(spark, path, one_line.schema)) == rows(one_line)
+    write_csv(df, path)
+    found = read_csv(spark, path, df.schema, line_breaks=True)
+    assert sorted(found.collect(), key=lambda r: r.i) == sorted(df.collect(), key=lambda r: r.i)
+
+
+def test_codes_stay_text_where_a_table_is_found_again(spark, lake):
+    df = spark.sql("SELECT 1 AS i, '007' AS code UNION ALL SELECT 2, '010'")
+    table = create_as(lake.table("bronze", "codes"), df, ["code"])
+    spark.sql(f"DROP TABLE {table.identifier}")
+    assert table.exists() and rows(table.read()) == [(1, "007"), (2, "010")]
+    path = scratch_dir(spark, "foreign")
+    df.write.mode("overwrite").partitionBy("code").parquet(path)
+    foreign = Table(spark, table.database, "foreign", path)
+    assert foreign.exists() and rows(foreign.read()) == [(1, "007"), (2, "010")]
 
 
 def test_json_schema_is_inferred_and_sorted(spark):

@@ -13,7 +13,7 @@ from daymark.plans.sync import SyncReport, fresh_days, sync_days, sync_two_hops
 from daymark.session import scratch_dir
 from daymark.showcase.registry import scratch_lake
 from daymark.sinks.files import write_csv
-from daymark.sinks.tables import append, append_by_day, create_as, create_like, put_days
+from daymark.sinks.tables import append, append_by_day, create_as, create_like, put_days, replace
 from daymark.sources.tables import Lake
 
 
@@ -40,11 +40,37 @@ def test_empty_source_and_all_null_days_write_nothing(spark, lake):
     assert not target.exists()
 
 
-@pytest.mark.parametrize("max_listed", [20_000, 1])
-def test_listed_and_joined_copies_agree(spark, lake, max_listed):
+def test_an_overwritten_table_keeps_its_days(spark, lake):
+    target = lake.table("silver", "t")
+    replace(target, dated(spark, (1, "2024-01-01"), (2, "2024-01-02")), ["DATE"])
+    assert target.overwrite_mode() == "dynamic"
+    assert sync_days(dated(spark, (3, "2024-01-03")), target).rows == 1
+    assert [r[0] for r in rows(target.read())] == [1, 2, 3]
+    replace(target, dated(spark, (4, "2024-01-04")), ["DATE"])
+    assert [r[0] for r in rows(target.read())] == [4]
+
+
+def test_a_static_table_is_refused_and_a_plain_one_keeps_its_days(spark, lake):
+    for name, options in (("plain", ""), ("static", "OPTIONS (partitionOverwriteMode 'static')")):
+        target = lake.table("silver", name)
+        spark.sql(
+            f"CREATE TABLE {target.identifier} (i INT, DATE DATE) USING parquet {options} "
+            f"PARTITIONED BY (DATE) LOCATION '{target.location}'"
+        )
+        append(target, spark.sql("SELECT 1 AS i, DATE'2024-01-01' AS DATE"))
+        new = spark.sql("SELECT 2 AS i, DATE'2024-01-02' AS DATE")
+        if options:
+            with pytest.raises(ValueError):
+                sync_days(new, target)
+        else:
+            sync_days(new, target)
+        assert [r[0] for r in rows(target.read())] == ([1] if options else [1, 2])
+
+
+def test_every_dated_row_is_copied(spark, lake):
     target = lake.table("silver", "t")
     source = dated(spark, *[(i, f"2024-01-{1 + i % 9:02}") for i in range(40)], (99, None))
-    report = sync_days(source, target, max_listed=max_listed)
+    report = sync_days(source, target)
     assert (report.days, report.rows, report.null_day_rows) == (9, 40, 1)
     assert rows(target.read()) == rows(source.where("DATE IS NOT NULL"))
 
