@@ -92,9 +92,12 @@ def write_archives(pages: DataFrame, least: int = 0, archive: int = ARCHIVE) ->
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload"))
-    first = rows.groupBy("digest", "size").agg(F.min(F.struct("page_id")).alias("first"))
-    revisit = ~F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("size") >= least)
-    made = rows.join(first, ["digest", "size"]).select(
+    first = rows.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("pages"), F.min(F.struct("page_id")).alias("first"))
+    # Only payloads that come more than once; where those are few, Spark need not move the others.
+    first = materialised(first.filter("pages > 1").drop("pages"), "warc-copies")
+    known = F.col("first").isNotNull()
+    revisit = known & ~F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("size") >= least)
+    made = rows.join(first, ["digest", "size"], "left").select(
         "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", F.col("first.page_id").alias("first")
     )
     folder = shared_dir(pages.sparkSession, "warc")
