@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from .common import ragged, split_points
 
-WORDS = 200_000
+WORDS = 400_000
 SIGNS = ",.;:!?%$&*#|"  # never one token with the letters before them
 
 
