@@ -25,7 +25,7 @@ from daymark.operators.days import distinct_days, on_day  # noqa: E402
 from daymark.plans.sync import sync_days  # noqa: E402
 from daymark.session import Settings, build_session  # noqa: E402
 from daymark.showcase import QUERIES  # noqa: E402
-from daymark.showcase.registry import events_by_day, orders_by_month, scratch_lake  # noqa: E402
+from daymark.showcase.registry import events_by_day, orders_by_day, scratch_lake  # noqa: E402
 from daymark.sinks.tables import append, create_like  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -64,7 +64,7 @@ def day_by_day(source: DataFrame, target) -> None:
 
 def compare_with_loop(spark: SparkSession) -> dict[str, dict[str, float]]:
     result = {}
-    for name, frame in (("events", events_by_day), ("orders", orders_by_month)):
+    for name, frame in (("events", events_by_day), ("orders", orders_by_day)):
         lake = scratch_lake(spark)
         # The source is a table laid out by day, as in a lake.
         source = lake.table("bronze", name)

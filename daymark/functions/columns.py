@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAY = "DATE"
 
@@ -13,6 +14,12 @@ def upper_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[name.upper() for name in df.columns])
 
 
+def hashable(kind: T.DataType) -> bool:
+    """Can Spark hash values of the type?  Maps and variants it cannot."""
+    text = kind.simpleString()
+    return "map<" not in text and "variant" not in text
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

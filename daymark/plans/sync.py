@@ -86,9 +86,10 @@ def sync_days(
 
     create_like(target, rows, [day])
     wanted = in_days(day, [r[day] for r in dated])
-    add_days(target, rows.where(wanted), day, cluster=not laid_out)
-    counts = [r["rows"] for r in dated]
-    copied = target.read().where(wanted).count() if None in counts else sum(counts)
+    counts = {r[day]: r["rows"] for r in dated}
+    known = None not in counts.values()
+    add_days(target, rows.where(wanted), day, not laid_out, counts if known else None)
+    copied = sum(counts.values()) if known else target.read().where(wanted).count()
     return SyncReport(target.identifier, len(dated), copied, undated)
 
 

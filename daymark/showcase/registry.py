@@ -20,9 +20,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 # SQL of the day columns that the frames below carry.
 ORDER_DAY = "CAST(o_orderdate AS DATE)"
-ORDER_MONTH = "CAST(date_trunc('month', o_orderdate) AS DATE)"
 SHIP_DAY = "CAST(l_shipdate AS DATE)"
-SHIP_MONTH = "CAST(date_trunc('month', l_shipdate) AS DATE)"
 EVENT_DAY = "CAST(ts AS DATE)"
 
 
@@ -52,22 +50,11 @@ def orders_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn(DAY, F.col("o_orderdate").cast("date"))
 
 
-def orders_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders booked under the first day of their month."""
-    df = table(spark, sf_dir, "orders")
-    return df.withColumn(DAY, F.trunc(F.col("o_orderdate").cast("date"), "month"))
-
-
 def lineitem_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
     return df.withColumn(DAY, F.col("l_shipdate").cast("date"))
 
 
-def lineitem_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem")
-    return df.withColumn(DAY, F.trunc(F.col("l_shipdate").cast("date"), "month"))
-
-
 def events_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events")
     return df.withColumn(DAY, F.col("ts").cast("date"))

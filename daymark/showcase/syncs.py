@@ -18,20 +18,20 @@ from ..sinks.tables import replace
 from ..sources.tables import Lake
 from .registry import (
     EVENT_DAY,
-    ORDER_MONTH,
+    ORDER_DAY,
     events_by_day,
-    lineitem_by_month,
-    orders_by_month,
+    lineitem_by_day,
+    orders_by_day,
     query,
     scratch_lake,
 )
 
-# What the target holds before a sync: only some rows of the older months.  The
-# months it holds must stay as they are, however incomplete.
-SEED_SQL = f"o_orderstatus = 'F' AND {ORDER_MONTH} < DATE '1998-01-01'"
+# What the target holds before a sync: only some rows of the older days.  The
+# days it holds must stay as they are, however incomplete.
+SEED_SQL = f"o_orderstatus = 'F' AND {ORDER_DAY} < DATE '1998-01-01'"
 SYNCED_SQL = f"""
-SELECT o.*, {ORDER_MONTH} AS DATE FROM orders o
-WHERE ({SEED_SQL}) OR {ORDER_MONTH} NOT IN (SELECT {ORDER_MONTH} FROM orders WHERE {SEED_SQL})
+SELECT o.*, {ORDER_DAY} AS DATE FROM orders o
+WHERE ({SEED_SQL}) OR {ORDER_DAY} NOT IN (SELECT {ORDER_DAY} FROM orders WHERE {SEED_SQL})
 """
 
 
@@ -42,7 +42,7 @@ def _seed(orders: DataFrame) -> DataFrame:
 
 @query(SYNCED_SQL)
 def sync_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = orders_by_month(spark, sf_dir)
+    orders = orders_by_day(spark, sf_dir)
     target = scratch_lake(spark).table("silver", "orders")
     sync_days(_seed(orders), target)
     sync_days(orders, target)
@@ -51,8 +51,8 @@ def sync_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SYNCED_SQL)
 def sync_incremental_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with day lists too long to inline."""
-    orders = orders_by_month(spark, sf_dir)
+    """The same; the day list is as long as the table has days."""
+    orders = orders_by_day(spark, sf_dir)
     target = scratch_lake(spark).table("silver", "orders")
     sync_days(_seed(orders), target)
     sync_days(orders, target)
@@ -61,7 +61,7 @@ def sync_incremental_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SYNCED_SQL)
 def sync_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = orders_by_month(spark, sf_dir)
+    orders = orders_by_day(spark, sf_dir)
     target = scratch_lake(spark).table("silver", "orders")
     sync_days(_seed(orders), target)
     for _ in range(2):
@@ -69,36 +69,46 @@ def sync_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.read()
 
 
+ASKED = [
+    first + dt.timedelta(days=i)
+    for first, days in ((dt.date(1997, 6, 1), 30), (dt.date(1999, 2, 1), 28))
+    for i in range(days)
+]
+ASKED_SQL = (
+    f"({ORDER_DAY} BETWEEN DATE '1997-06-01' AND DATE '1997-06-30' "
+    f"OR {ORDER_DAY} BETWEEN DATE '1999-02-01' AND DATE '1999-02-28')"
+)
+
+
 @query(
     f"""
-    SELECT o.*, {ORDER_MONTH} AS DATE FROM orders o
-    WHERE ({SEED_SQL}) OR ({ORDER_MONTH} IN (DATE '1997-06-01', DATE '1999-02-01')
-      AND {ORDER_MONTH} NOT IN (SELECT {ORDER_MONTH} FROM orders WHERE {SEED_SQL}))
+    SELECT o.*, {ORDER_DAY} AS DATE FROM orders o
+    WHERE ({SEED_SQL}) OR ({ASKED_SQL} AND {ORDER_DAY} NOT IN (SELECT {ORDER_DAY} FROM orders WHERE {SEED_SQL}))
     """
 )
 def sync_one_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two days asked for, of which the target holds one."""
-    orders = orders_by_month(spark, sf_dir)
+    """The days of two months asked for; the target holds some of the first."""
+    orders = orders_by_day(spark, sf_dir)
     target = scratch_lake(spark).table("silver", "orders")
     sync_days(_seed(orders), target)
-    sync_days(orders, target, only=[dt.date(1997, 6, 1), dt.date(1999, 2, 1)])
+    sync_days(orders, target, only=ASKED)
     return target.read()
 
 
-MART_SEED_SQL = f"o_orderstatus = 'O' AND {ORDER_MONTH} < DATE '1996-01-01'"
+MART_SEED_SQL = f"o_orderstatus = 'O' AND {ORDER_DAY} < DATE '1996-01-01'"
 
 
 @query(
     f"""
     WITH local AS ({SYNCED_SQL})
-    SELECT o.*, {ORDER_MONTH} AS DATE FROM orders o WHERE {MART_SEED_SQL}
+    SELECT o.*, {ORDER_DAY} AS DATE FROM orders o WHERE {MART_SEED_SQL}
     UNION ALL
     SELECT * FROM local
-    WHERE DATE NOT IN (SELECT {ORDER_MONTH} FROM orders WHERE {MART_SEED_SQL})
+    WHERE DATE NOT IN (SELECT {ORDER_DAY} FROM orders WHERE {MART_SEED_SQL})
     """
 )
 def sync_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = orders_by_month(spark, sf_dir)
+    orders = orders_by_day(spark, sf_dir)
     lake = scratch_lake(spark)
     local, mart = lake.table("silver", "orders"), lake.table("gold", "orders")
     early = F.col(DAY) < F.lit(dt.date(1996, 1, 1))
@@ -120,8 +130,8 @@ def multi_table_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three tables over both hops, published; what the newest snapshot says it holds."""
     lake = scratch_lake(spark)
     sources = {
-        "orders": orders_by_month(spark, sf_dir),
-        "lineitem": lineitem_by_month(spark, sf_dir),
+        "orders": orders_by_day(spark, sf_dir),
+        "lineitem": lineitem_by_day(spark, sf_dir),
         "events": events_by_day(spark, sf_dir),
     }
     root = scratch_dir(spark, "snapshots")
@@ -129,10 +139,11 @@ def multi_table_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.newest(spark, root).select("layer", "table", "rows")
 
 
-EVENT_TEXT = "event_id", "user_id", "event_type"
+EVENT_TEXT = "event_id", "ts", "user_id", "event_type", "value", "props"
 EVENT_TEXT_SQL = f"""
-SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type,
-       {EVENT_DAY} AS DATE
+SELECT CAST(event_id AS VARCHAR) AS event_id,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts, CAST(user_id AS VARCHAR) AS user_id,
+       event_type, CAST(value AS VARCHAR) AS value, props, {EVENT_DAY} AS DATE
 FROM events
 """
 
@@ -156,8 +167,9 @@ def csv_ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = events_by_day(spark, sf_dir).where(
         (F.col("event_type") == "click") & (F.col(DAY) < F.lit(dt.date(2024, 1, 16)))
     )
-    held = [F.col(c).cast("string") for c in EVENT_TEXT]
-    sync_days(clicks.select(*held, DAY), target)
+    ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    held = clicks.withColumn("ts", ts).select(*[F.col(c).cast("string") for c in EVENT_TEXT], DAY)
+    sync_days(held, target)
     ingest_new_days(spark, _events_csv(spark, sf_dir), target)
     return target.read()
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +28,6 @@ from ..synth.companies import (
 from ..synth.landing import land
 from .registry import query, table
 
-# Fewer employees per company than the profiles have, and none for some.
-SMALL_TITLE_CASE = replace(TITLE_CASE, employees=(0, 40))
-SMALL_CAMEL_CASE = replace(CAMEL_CASE, employees=(0, 40))
 AS_OF = dt.date(2024, 1, 1)
 
 
@@ -74,40 +70,56 @@ PHRASE_SQL = f"""
 || ' ' || {_pick(f"d0 // {len(VERBS) * len(ADJECTIVES)}", NOUNS)}
 """
 
-# Companies of every customer, with lower-case working names.
-TITLE_COMPANIES = f"""
+
+def _title_companies(name: str, key: str) -> str:
+    """Companies of every row of a table, with lower-case working names."""
+    return f"""
 SELECT {NAME_SQL} AS name, {PHRASE_SQL} AS industry,
-       {_between("d1", SMALL_TITLE_CASE.employees)} AS employees,
+       {_between("d1", TITLE_CASE.employees)} AS employees,
        {_between("d2", TITLE_CASE.revenue)} AS revenue, {_pick("d3", words.CITIES)} AS location
-FROM (SELECT c_custkey AS id, (c_custkey % {NAME_COUNT}) * {NAME_STEP} % {NAME_COUNT} AS place,
-             {_draws("company", ["c_custkey"])} FROM customer)
+FROM (SELECT {key} AS id, ({key} % {NAME_COUNT}) * {NAME_STEP} % {NAME_COUNT} AS place,
+             {_draws("company", [key])} FROM {name})
 """
-CAMEL_COMPANIES = f"""
+
+
+def _camel_companies(name: str, key: str) -> str:
+    return f"""
 SELECT {NAME_SQL} AS name, {_pick("d0", words.INDUSTRIES)} AS industry,
-       {_between("d1", SMALL_CAMEL_CASE.employees, "INTEGER")} AS employees,
+       {_between("d1", CAMEL_CASE.employees, "INTEGER")} AS employees,
        {_between("d2", CAMEL_CASE.revenue)} AS revenue, {_pick("d3", words.CITIES)} AS location
-FROM (SELECT c_custkey AS id, (c_custkey % {NAME_COUNT}) * {NAME_STEP} % {NAME_COUNT} AS place,
-             {_draws("company", ["c_custkey"])} FROM customer)
+FROM (SELECT {key} AS id, ({key} % {NAME_COUNT}) * {NAME_STEP} % {NAME_COUNT} AS place,
+             {_draws("company", [key])} FROM {name})
 """
 
 
-def _companies(spark: SparkSession, sf_dir: str, profile) -> DataFrame:
-    return companies(table(spark, sf_dir, "customer"), profile, key="c_custkey")
+
+# Employees come to thousands (TITLE_CASE) or a hundred thousand (CAMEL_CASE) a company, so
+# theirs are the companies of smaller tables.
+CUSTOMER, SUPPLIER, REGION = (
+    ("customer", "c_custkey"),
+    ("supplier", "s_suppkey"),
+    ("region", "r_regionkey"),
+)
+
+
+def _companies(spark: SparkSession, sf_dir: str, profile, of=CUSTOMER) -> DataFrame:
+    name, key = of
+    return companies(table(spark, sf_dir, name), profile, key=key)
 
 
 @query(
     f"""
     SELECT name AS Name, industry AS Industry, employees AS Employees, revenue AS Revenue,
-           location AS Location FROM ({TITLE_COMPANIES})
+           location AS Location FROM ({_title_companies(*CUSTOMER)})
     """
 )
 def synth_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _companies(spark, sf_dir, SMALL_TITLE_CASE)
+    return _companies(spark, sf_dir, TITLE_CASE)
 
 
-@query(CAMEL_COMPANIES)
+@query(_camel_companies(*CUSTOMER))
 def synth_companies_camel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _companies(spark, sf_dir, SMALL_CAMEL_CASE)
+    return _companies(spark, sf_dir, CAMEL_CASE)
 
 
 def _employees_sql(companies_sql: str) -> str:
@@ -127,11 +139,11 @@ def _employees_sql(companies_sql: str) -> str:
            lower(first) || '.' || lower(last) || '@'
            || lower(replace(replace(replace(name, ' ', ''), '.', ''), ',', '')) || '.com' AS Email,
            job AS Position, {_between("d3", TITLE_CASE.salary)} AS Salary
-    FROM ({_employees_sql(TITLE_COMPANIES)})
+    FROM ({_employees_sql(_title_companies(*SUPPLIER))})
     """
 )
 def synth_employees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return employees(_companies(spark, sf_dir, SMALL_TITLE_CASE), SMALL_TITLE_CASE)
+    return employees(_companies(spark, sf_dir, TITLE_CASE, SUPPLIER), TITLE_CASE)
 
 
 @query(
@@ -139,11 +151,11 @@ def synth_employees(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT name AS "companyName", first AS "firstName", last AS "lastName",
            lower(first || '.' || last || '@' || name) || '.com' AS email,
            job AS position, {_between("d3", CAMEL_CASE.salary, "INTEGER")} AS salary
-    FROM ({_employees_sql(CAMEL_COMPANIES)})
+    FROM ({_employees_sql(_camel_companies(*REGION))})
     """
 )
 def synth_employees_camel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return employees(_companies(spark, sf_dir, SMALL_CAMEL_CASE), SMALL_CAMEL_CASE)
+    return employees(_companies(spark, sf_dir, CAMEL_CASE, REGION), CAMEL_CASE)
 
 
 @query(
@@ -151,14 +163,14 @@ def synth_employees_camel(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT name AS "companyName", first AS "firstName", last AS "lastName",
            lower(first || '.' || last || '@' || name) || '.com' AS email,
            job AS position, {_between("d3", CAMEL_CASE.salary, "INTEGER")} AS salary
-    FROM ({_employees_sql(CAMEL_COMPANIES)})
+    FROM ({_employees_sql(_camel_companies(*REGION))})
     """
 )
 def synth_landed_employees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three entities landed as CSV, and the employees read back."""
-    ids = table(spark, sf_dir, "customer")
+    ids = table(spark, sf_dir, REGION[0])
     root = scratch_dir(spark, "landing")
-    paths = land(ids, root, SMALL_CAMEL_CASE, "csv", key="c_custkey")
+    paths = land(ids, root, CAMEL_CASE, "csv", key=REGION[1])
     df = read_csv(spark, paths["employees"])
     return df.withColumn("salary", F.col("salary").cast("int"))
 
@@ -187,11 +199,11 @@ TOMORROW = AS_OF + dt.timedelta(days=1)
            {_day("e1", TOMORROW, dt.date(2029, 1, 1))} AS End_Date,
            {_between("e2", TITLE_CASE.department_size)} AS Department_Size,
            {_pick("e3", words.FUNCTIONAL_AREAS)} AS Functional_Area
-    FROM ({_departments_sql(TITLE_COMPANIES, TITLE_CASE.departments)})
+    FROM ({_departments_sql(_title_companies(*CUSTOMER), TITLE_CASE.departments)})
     """
 )
 def synth_departments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return departments(_companies(spark, sf_dir, SMALL_TITLE_CASE), SMALL_TITLE_CASE, as_of=AS_OF)
+    return departments(_companies(spark, sf_dir, TITLE_CASE), TITLE_CASE, as_of=AS_OF)
 
 
 @query(
@@ -209,11 +221,11 @@ def synth_departments(spark: SparkSession, sf_dir: str) -> DataFrame:
              {_day("e1", dt.date(2000, 1, 1), dt.date(2023, 1, 1))} AS b,
              {_between("e2", CAMEL_CASE.department_size, "INTEGER")} AS "departmentSize",
              {_pick("e3", words.INDUSTRIES)} AS "functionalArea"
-      FROM ({_departments_sql(CAMEL_COMPANIES, CAMEL_CASE.departments)}))
+      FROM ({_departments_sql(_camel_companies(*CUSTOMER), CAMEL_CASE.departments)}))
     """
 )
 def synth_departments_camel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return departments(_companies(spark, sf_dir, SMALL_CAMEL_CASE), SMALL_CAMEL_CASE)
+    return departments(_companies(spark, sf_dir, CAMEL_CASE), CAMEL_CASE)
 
 
 @query(

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.columns import DAY, quoted
+from ..functions.columns import DAY, hashable, quoted
 from ..operators.days import on_day
 from ..sources.tables import COMMIT_IN_TASKS, TABLE_OPTIONS, Table, option_list, register
 
 
+DAYS_PER_TASK = 50
+ROWS_PER_TASK = 1_000_000
+
+
 def clustered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Bring rows of one partition value together before a partitioned write.
 
@@ -22,6 +28,26 @@ def clustered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", *map(quoted, columns)) if columns else df
 
 
+def dealt(df: DataFrame, day: str, rows: Mapping[dt.date, int]) -> DataFrame:
+    """The same where the rows of each day are known: few days and few rows a task.
+
+    REBALANCE folds partitions by bytes, but each small day costs a file.  So the number of
+    tasks is explicit.  A day of more than ``ROWS_PER_TASK`` rows is spread by a hash of its
+    rows, which a task that runs again computes alike.
+    """
+    tasks = max(-(-len(rows) // DAYS_PER_TASK), -(-sum(rows.values()) // ROWS_PER_TASK), 1)
+    hot = defaultdict(list)  # days by parts; these are powers of two, so the classes are few
+    for value, count in rows.items():
+        if count > ROWS_PER_TASK:
+            hot[1 << (-(-count // ROWS_PER_TASK) - 1).bit_length()].append(value)
+    hashed = [F.col(quoted(f.name)) for f in df.schema if hashable(f.dataType)]
+    parts = F.lit(1)
+    for number, days in sorted(hot.items()):
+        parts = F.when(F.col(quoted(day)).isin(days), number).otherwise(parts)
+    part = F.pmod(F.xxhash64(*hashed), parts) if hot else F.lit(0)
+    return df.repartition(tasks, F.col(quoted(day)), part)
+
+
 def create_like(table: Table, df: DataFrame, partition_by: Sequence[str] = ()) -> Table:
     """Create the table with the frame's columns if it is absent."""
     return register(table, df.schema, partition_by)
@@ -43,9 +69,17 @@ def append_by_day(table: Table, df: DataFrame, day: str = DAY) -> None:
     append(create_like(table, df, [day]), df)
 
 
-def put_days(table: Table, df: DataFrame, day: str = DAY, cluster: bool = True) -> None:
+def put_days(
+    table: Table,
+    df: DataFrame,
+    day: str = DAY,
+    cluster: bool = True,
+    counts: Mapping[dt.date, int] | None = None,
+) -> None:
     """Write whole days: each day in ``df`` replaces that day's partition.
 
+    ``counts``: the rows of each day, where they are known.
+
     The files of a day are staged by the tasks and moved into place, a folder at a
     time, at commit.  A job that is run again after a failure neither doubles a day
     nor leaves half of one.
@@ -57,7 +91,9 @@ def put_days(table: Table, df: DataFrame, day: str = DAY, cluster: bool = True)
         options["partitionOverwriteMode"] = "dynamic"
     elif mode != "dynamic":
         raise ValueError(f"{table.identifier} overwrites in {mode} mode: a write would remove its other days")
-    rows = clustered(df, [day]) if cluster else df
+    rows = df
+    if cluster:
+        rows = dealt(df, day, counts) if counts else clustered(df, [day])
     table.spark.sql(
         f"INSERT OVERWRITE TABLE {table.identifier} WITH ({option_list(options)}) "
         "BY NAME SELECT * FROM {rows}",
@@ -65,14 +101,20 @@ def put_days(table: Table, df: DataFrame, day: str = DAY, cluster: bool = True)
     )
 
 
-def add_days(table: Table, df: DataFrame, day: str = DAY, cluster: bool = True) -> None:
+def add_days(
+    table: Table,
+    df: DataFrame,
+    day: str = DAY,
+    cluster: bool = True,
+    counts: Mapping[dt.date, int] | None = None,
+) -> None:
     """Write days the table does not hold yet.
 
     A table laid out by day takes them as whole partitions.  Any other is appended
     to, which a second try after a failed commit may double.
     """
     if table.is_by_day(day):
-        put_days(table, df, day, cluster)
+        put_days(table, df, day, cluster, counts)
     else:
         append(table, df)
 

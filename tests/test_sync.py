@@ -172,6 +172,27 @@ def test_jobs_do_not_grow_with_days(spark, lake):
     assert many <= few + 2
 
 
+def test_many_days_are_written_by_many_tasks_and_hot_days_split(spark, lake, monkeypatch):
+    """Half of all rows on the first of 200 days."""
+    monkeypatch.setattr("daymark.sinks.tables.ROWS_PER_TASK", 5_000)
+    source = spark.range(40_000).select(
+        "id",
+        F.create_map(F.lit("id"), "id").alias("props"),  # a type that has no hash
+        F.date_add(
+            F.lit(day("2024-01-01")),
+            F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 200).cast("int"),
+        ).alias("DATE"),
+    )
+    target = lake.table("silver", "dealt")
+    assert sync_days(source, target).rows == 40_000
+    assert rows(target.read().select("id", "DATE")) == rows(source.select("id", "DATE"))
+    hot = files_under(f"{target.location}/DATE=2024-01-01", ".parquet")
+    other = files_under(f"{target.location}/DATE=2024-01-02", ".parquet")
+    assert len(hot) >= 3 and len(other) == 1
+    tasks = target.read().select(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).distinct()
+    assert tasks.count() >= 5
+
+
 days_and_nulls = st.lists(
     st.tuples(st.integers(0, 99), st.sampled_from([None, *(f"2024-01-{d:02}" for d in range(1, 6))])),
     max_size=12,
