@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives taken out by a random forest.
 
-A candidate is a run of key-like letters with a digit in it, or what is assigned to a name.
+A candidate is a run of key-like letters with a digit in it or a known prefix before it, what is
+assigned to a name, and the whole value, whatever it is, behind a name that speaks of a secret.
 The forest sees its length, its character transitions, how much of it dictionary words cover,
 whether it lies in a path or address, and the words beside it.  It is trained from labelled
 findings: secrets of common formats, and look-alikes, each set into text of the corpus.
@@ -33,8 +34,16 @@ LIMIT = 0.5
 
 CANDIDATE = re.compile(
     r"""(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{8,}={0,2}"""
+    r"""|(?<![A-Za-z0-9])(?:A[KS]IA|gh[opusr]_|github_pat_|xox[abeprs]-|sk-|[sr]k_(?:live|test)_|AIza)[A-Za-z0-9+/_\-]{8,}={0,2}"""
     r"""|(?:(?<=[A-Za-z_]=)|(?<=[A-Za-z_]=["'])|(?<=[A-Za-z_]:["'])|(?<=[A-Za-z_] = ["'])|(?<=[A-Za-z_]: ["']))[^\s"'<>]{6,}"""
 )
+# A name and what may stand between it and its value, and the value: quoted, or as far as white space.
+NAMED = re.compile(
+    r"""(?<![\w.\-])[\w.\-]++\\*+["'`]?+\]?+[ \t]*+(?:=>|:=|={1,3}|:)[ \t]*+(?:(?i:bearer|basic)[ \t]++)?+"""
+)
+VALUE = re.compile(
+    r"""(["'`])(?P<quoted>(?:\\.|(?!\1)[^\\\n])+)\1|\\(["'`])(?P<escaped>[^\n]+?)\\\3|\\*["'`]?(?P<bare>[^\s"'<>]+)"""
+)
 SECRET_WORDS = ("passw", "passphrase", "pwd", "token", "secret", "key", "auth", "credential", "bearer", "private", "aws")
 PLAIN_WORDS = (
     "commit", "md5", "sha", "checksum", "hash", "uuid", "guid", "phone", "tel", "version", "date", "color",
@@ -144,7 +153,7 @@ def _look_alike(rng: Random, words: list[str]) -> tuple[str, str, str]:
         return "".join(rng.choices(string.digits, k=n))
 
     word, other = rng.choice(words), rng.choice(words)
-    kind = rng.randrange(14)
+    kind = rng.randrange(16)
     if kind == 0:
         return rng.choice(["", "", "card ", "order "]), digits(rng.choice([8, 10, 13, 16, 16])), ""
     if kind == 1:
@@ -173,6 +182,12 @@ def _look_alike(rng: Random, words: list[str]) -> tuple[str, str, str]:
         return "", f"{word}-{other}-{word}{digits(1)}", ""
     if kind == 12:
         return rng.choice(["mail ", ""]), f"{word}{digits(3)}{other}", "@mail.example.com"
+    if kind == 14:  # prose behind a name that speaks of secrets
+        return rng.choice(["token: ", "the key: ", "secret: ", "authors: ", "password: ", "keyword = ", "monkey: "]), rng.choice(
+            [word, word, word[: rng.randrange(1, 5)], digits(rng.randrange(1, 4))]
+        ), ""
+    if kind == 15:
+        return rng.choice(['key: "', "secret = '", 'token="']), " ".join([word, other, *rng.choices(words, k=rng.randrange(6))]), ""
     return rng.choice([f"{word}=", f"{word}: '"]), rng.choice([f"{other}{word}", f"{other}{digits(2)}"]), ""
 
 
@@ -192,6 +207,51 @@ def labelled_findings(texts: list[str], count: int = FINDINGS, seed: int = 7) ->
 # ---- the scan
 
 
+def assigned(text: str) -> list[tuple[int, int]]:
+    """The whole values behind names that speak of secrets, in order and apart from each other.
+
+    Sentence signs and brackets opened elsewhere, at the end of a value without quotes, are none
+    of it.  A value that is such a name with its own value counts as the latter.
+    """
+    found: list[tuple[int, int]] = []
+    whole = -1  # where the last value ends with the signs behind it; if within quotes, -1
+    for m in NAMED.finditer(text):
+        inner = bool(found) and m.start() == found[-1][0]
+        if found and m.start() < found[-1][1] and not inner:
+            continue
+        name = m.group().lower()
+        if not any(w in name for w in SECRET_WORDS):
+            continue
+        if inner and m.end() < whole:
+            low, high = m.end(), found[-1][1]  # without quotes, it ends where the outer one does
+        elif value := VALUE.match(text, m.end()):
+            low, high = value.span(value.lastgroup)
+            whole = high if value.lastgroup == "bare" else -1
+            if whole >= 0:
+                keep = {c for c, o in zip(")]}", "([{") if text.find(o, low, high) >= 0}
+                while high > low and text[high - 1] in ".,;`)]}" and text[high - 1] not in keep:
+                    high -= 1
+        else:
+            continue
+        if high > low:
+            if inner:
+                found.pop()
+            found.append((low, high))
+    return found
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """The places to be judged, in order and apart from each other."""
+    named = assigned(text)
+    result, k = list(named), 0
+    for m in CANDIDATE.finditer(text):
+        while k < len(named) and named[k][1] <= m.start():
+            k += 1
+        if k == len(named) or m.end() <= named[k][0]:
+            result.append(m.span())
+    return sorted(result)
+
+
 @dataclass
 class SecretModel:
     context: Context
@@ -199,7 +259,7 @@ class SecretModel:
 
     def findings(self, texts: list[str]) -> tuple[list[tuple[int, int, int]], np.ndarray]:
         """Candidates as ``text, start, end``, and their scores."""
-        spans = [(i, m.start(), m.end()) for i, t in enumerate(texts) for m in CANDIDATE.finditer(t)]
+        spans = [(i, low, high) for i, t in enumerate(texts) for low, high in candidates(t)]
         rows = [described(texts[i], low, high, self.context) for i, low, high in spans]
         return spans, self.forest.chance(np.array(rows).reshape(-1, FEATURES))
 
