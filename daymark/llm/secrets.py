@@ -14,7 +14,7 @@ import re
 import string
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from random import Random
 
@@ -26,9 +26,12 @@ from pyspark.sql import functions as F
 from .common import chunks, first_texts, texts_of
 from .forest import Forest
 
-SAMPLE = 2_000  # texts that lend words and surroundings to the training, at most
+SAMPLE = 2_000  # texts that lend words to the labelled findings, at most
+WORDS = 50_000  # words they lend, at most
 FINDINGS = 6_000  # labelled findings
-DICTIONARY = 20_000
+SHARE = 10_000  # a dictionary word is in one document of so many, and in two at least
+LONGEST = 14  # letters of a dictionary word
+HELD = 200_000  # words that a task counts at once
 BESIDE = 32  # letters read on each side
 LIMIT = 0.5
 
@@ -44,6 +47,8 @@ NAMED = re.compile(
 VALUE = re.compile(
     r"""(["'`])(?P<quoted>(?:\\.|(?!\1)[^\\\n])+)\1|\\(["'`])(?P<escaped>[^\n]+?)\\\3|\\*["'`]?(?P<bare>[^\s"'<>]+)"""
 )
+WORD = re.compile(r"[^\W\d_]{3,}")
+MADE_OF = re.compile(r"[A-Za-z]{4,12}")  # words that labelled findings are made of
 SECRET_WORDS = ("passw", "passphrase", "pwd", "token", "secret", "key", "auth", "credential", "bearer", "private", "aws")
 PLAIN_WORDS = (
     "commit", "md5", "sha", "checksum", "hash", "uuid", "guid", "phone", "tel", "version", "date", "color",
@@ -52,6 +57,47 @@ PLAIN_WORDS = (
 FEATURES = 18
 
 
+def least_documents(documents: int) -> int:
+    """In how many a word has to be for the dictionary."""
+    return max(2, math.ceil(documents / SHARE))
+
+
+def word_counts(texts: Iterable[str], held: int = HELD) -> Iterator[tuple[dict[str, int], dict[int, int]]]:
+    """Partial counts: in how many texts the words are, and of pairs of letters in all words."""
+    own, times = Counter(), Counter()
+    for text in texts:
+        found = WORD.findall(text.lower())
+        times.update(found)
+        own.update({w for w in found if len(w) <= LONGEST})
+        if len(times) >= held:
+            yield own, _steps(times)
+            own, times = Counter(), Counter()
+    yield own, _steps(times)
+
+
+def _steps(times: dict[str, int]) -> dict[int, int]:
+    letters = np.minimum(np.frombuffer("".join(times).encode("utf-32-le"), np.uint32), 127).astype(np.int64)
+    lengths = np.fromiter(map(len, times), np.int64, len(times))
+    weights = np.repeat(np.fromiter(times.values(), np.int64, len(times)), lengths)
+    weights[np.cumsum(lengths) - 1] = 0  # the last letter of a word has none behind it
+    counts = np.zeros(128 * 128, np.int64)
+    np.add.at(counts, letters[:-1] * 128 + letters[1:], weights[:-1])
+    return {i: int(counts[i]) for i in np.flatnonzero(counts).tolist()}
+
+
+def _context_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = (t for batch in batches for part in chunks([batch], "text") for t in texts_of(part.column("text")))
+    for words, steps in word_counts(texts):
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([*words, *[None] * len(steps)], pa.string()),
+                pa.array([*[None] * len(words), *steps], pa.int32()),
+                pa.array([*words.values(), *steps.values()], pa.int64()),
+            ],
+            ["word", "step", "n"],
+        )
+
+
 @dataclass
 class Context:
     """What is ordinary in the corpus: its words, and the chances of one letter after another."""
@@ -59,21 +105,43 @@ class Context:
     words: frozenset[str]
     steps: np.ndarray
 
+    @classmethod
+    def counted(cls, words: dict[str, int], steps: dict[int, int], documents: int) -> Context:
+        """From the documents that have each word, and how often each pair of letters comes."""
+        least = least_documents(documents)
+        table = np.ones(128 * 128)
+        table[list(steps)] += list(steps.values())
+        table = table.reshape(128, 128)
+        common = frozenset(w for w, n in words.items() if n >= least)
+        return cls(common, np.log(table / table.sum(1, keepdims=True)))
+
     @classmethod
     def of(cls, texts: list[str]) -> Context:
-        counts = Counter(w for t in texts for w in re.findall(r"[^\W\d_]{3,}", t.lower()))
-        common = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:DICTIONARY]]
-        steps = np.ones((128, 128))
-        for word, n in counts.items():
-            for a, b in zip(word, word[1:]):
-                steps[min(ord(a), 127), min(ord(b), 127)] += n
-        return cls(frozenset(common), np.log(steps / steps.sum(1, keepdims=True)))
+        words, steps = Counter(), Counter()
+        for own, pairs in word_counts(texts):
+            words.update(own)
+            steps.update(pairs)
+        return cls.counted(words, steps, len(texts))
+
+    @classmethod
+    def of_all(cls, docs: DataFrame) -> Context:
+        """From every text; the driver gets the dictionary's words and at most 128 * 128 pairs."""
+        documents = docs.count()
+        counts = docs.select("text").mapInArrow(_context_counts, "word string, step int, n long")
+        counts = counts.groupBy("word", "step").agg(F.sum("n").alias("n"))
+        words, steps = {}, {}
+        for r in counts.filter(F.col("word").isNull() | (F.col("n") >= least_documents(documents))).toLocalIterator():
+            if r.word is None:
+                steps[r.step] = r.n
+            else:
+                words[r.word] = r.n
+        return cls.counted(words, steps, documents)
 
     def covered(self, value: str) -> float:
         """The share of letters that dictionary words cover, the longest first from the left."""
         value, at, done = value.lower(), 0, 0
         while at < len(value):
-            size = next((s for s in range(min(14, len(value) - at), 2, -1) if value[at : at + s] in self.words), 0)
+            size = next((s for s in range(min(LONGEST, len(value) - at), 2, -1) if value[at : at + s] in self.words), 0)
             done += size
             at += size or 1
         return done / len(value)
@@ -194,7 +262,7 @@ def _look_alike(rng: Random, words: list[str]) -> tuple[str, str, str]:
 def labelled_findings(texts: list[str], count: int = FINDINGS, seed: int = 7) -> list[tuple[str, int, int, int]]:
     """``text, start, end, label`` of secrets (1) and look-alikes (0) set into pieces of the texts."""
     rng = Random(seed)
-    words = sorted({w for t in texts for w in re.findall(r"[A-Za-z]{4,12}", t)}) or ["alpha", "beta", "gamma"]
+    words = sorted({w for t in texts for w in MADE_OF.findall(t)}) or ["alpha", "beta", "gamma"]
     result = []
     for k in range(count):
         before, value, behind = _secret(rng) if k % 2 else _look_alike(rng, words)
@@ -265,16 +333,30 @@ class SecretModel:
 
 
 def fit(findings: list[tuple[str, int, int, int]], texts: list[str]) -> SecretModel:
-    context = Context.of(texts)
+    return fit_in(findings, Context.of(texts))
+
+
+def fit_in(findings: list[tuple[str, int, int, int]], context: Context) -> SecretModel:
     x = np.array([described(t, low, high, context) for t, low, high, _ in findings])
     return SecretModel(context, Forest.fit(x, np.array([f[3] for f in findings], float)))
 
 
+def _own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, "text"):
+        found = {w for t in texts_of(batch.column("text")) for w in MADE_OF.findall(t)}
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["word"])
+
+
 def fit_on(docs: DataFrame, sample: int = SAMPLE, findings: int = FINDINGS) -> SecretModel:
-    """A model whose words and surroundings come from at most ``sample`` texts, the first by a hash."""
+    """A model that knows the words and pairs of letters of all texts.
+
+    The findings it learns from are made of words from at most ``sample`` texts, the first by a
+    hash; of those words come at most ``WORDS``, also by a hash, and no text, to the driver.
+    """
     rows = first_texts(docs.select(F.coalesce("text", F.lit("")).alias("text")), sample)
-    texts = [r.text for r in rows.orderBy("order").toLocalIterator()]
-    return fit(labelled_findings(texts, findings), texts)
+    words = rows.select("text").mapInArrow(_own_words, "word string").distinct()
+    words = [r.word for r in words.orderBy(F.xxhash64("word"), "word").limit(WORDS).collect()]
+    return fit_in(labelled_findings(words, findings), Context.of_all(docs))
 
 
 RESULT = "doc_id long, start long, end long, value_sha256 string, score double, is_secret boolean"

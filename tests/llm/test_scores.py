@@ -215,3 +215,26 @@ def test_nomination_takes_linear_time():
     for piece in ("key", "key=", 'key="', "x", "a.", "key: {", "key ", "\\"):
         secrets.candidates(piece * (400_000 // len(piece)))
     assert time.perf_counter() - begin < 20
+
+
+def test_context_counts_every_document(spark, frame):
+    common, rare = "alpha beta gamma", "zyqqa zyqqb"
+    texts = [f"{common} number{'abcdefghij'[i % 10]}x {i}" for i in range(3000)]
+    texts[::500] = [f"{common} {rare}"] * 6
+    rows = [*enumerate(texts), (9000, None), (9001, "längstes" * 9), (9002, "once only")]
+    made = secrets.fit_on(frame(rows), sample=5, findings=400).context
+    assert {"zyqqa", "zyqqb", "alpha"} <= made.words and not {"once", "only"} & made.words
+    whole = secrets.Context.of([t or "" for _, t in rows])
+    assert made.words == whole.words and np.allclose(made.steps, whole.steps)
+    parts = list(secrets.word_counts(texts, held=3))
+    assert len(parts) > 100 and sum(p[0]["zyqqa"] for p in parts if "zyqqa" in p[0]) == 6
+    steps = np.ones((128, 128))
+    for _, t in rows:
+        for w in secrets.WORD.findall((t or "").lower()):
+            for a, b in zip(w, w[1:]):
+                steps[min(ord(a), 127), min(ord(b), 127)] += 1
+    assert np.allclose(made.steps, np.log(steps / steps.sum(1, keepdims=True)))
+
+
+def test_dictionary_is_a_share_of_documents():
+    assert [secrets.least_documents(n) for n in (0, 10_000, 20_001, 10_000_000)] == [2, 2, 3, 1000]
