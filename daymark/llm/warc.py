@@ -32,7 +32,7 @@ from .stored import opened, put, shared_dir
 MAGIC = b"WARC/1.1\r\n"
 RANGE = 4 << 20  # bytes of an archive that one task searches
 ARCHIVE = 32 << 20  # bytes after which an archive ends
-HEADER = 1 << 16  # a longer header is none
+AHEAD = 1 << 16  # bytes that a task reads behind its range, and again as long as a header goes on
 DATE = "1970-01-01T00:00:00Z"  # the pages table has no fetch time
 
 
@@ -48,7 +48,7 @@ def record(page: int | None, url: str | None, payload: bytes | None, digest: str
         f"WARC-Type: {'response' if payload is not None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{page}>",
         f"WARC-Date: {DATE}",
-        "WARC-Target-URI: " + re.sub(r"[\r\n]+", " ", url or "about:blank")[: HEADER // 16],
+        "WARC-Target-URI: " + re.sub(r"[\r\n]+", " ", url or "about:blank"),
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -117,11 +117,40 @@ def _in_base32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d{1,15})\r\n")
 
 
-def successor(text: bytes, at: int, begin: int) -> int:
-    """Where the record behind the one at ``text[at:]`` starts; -1 if that is no record."""
-    end = text.find(b"\r\n\r\n", at, at + HEADER)
-    found = _LENGTH.search(text, at, end + 2) if end >= 0 else None
-    return begin + end + 4 + int(found[1]) + 4 if found else -1
+class Headers:
+    """Where records start, ``text`` being what ``file`` holds from ``begin`` on.
+
+    A header ends at the first empty line, however far that is, and more is read until it is
+    found; a record has one, so no more than the rest of a record is.  Places are asked for in
+    ascending order, and what was searched for one is not searched again for the next.
+    """
+
+    def __init__(self, file, begin: int, size: int):
+        self.file, self.begin = file, begin
+        file.seek(begin)
+        self.text = bytearray(file.read(size + AHEAD))
+        self.end = self.length = -1  # the last empty line found, and the last length with what it says
+        self.says = 0
+
+    def _empty_line(self, at: int) -> int:
+        end = self.text.find(b"\r\n\r\n", at)
+        more = AHEAD
+        while end < 0 and (read := self.file.read(more)):
+            done = max(at, len(self.text) - 3)
+            self.text += read
+            end, more = self.text.find(b"\r\n\r\n", done), 2 * more
+        return len(self.text) if end < 0 else end
+
+    def successor(self, at: int) -> int:
+        """Where the record behind the one at ``text[at:]`` starts; -1 if that is no record."""
+        if self.end < at:
+            self.end = self._empty_line(at)
+        if self.end == len(self.text):
+            return -1
+        if self.length < at:
+            found = _LENGTH.search(self.text, at, self.end + 2)
+            self.length, self.says = (found.start(), int(found[1])) if found else (self.end, 0)
+        return -1 if self.length >= self.end else self.begin + self.end + 4 + self.says + 4
 
 
 def _candidates(folder: str, size: int):
@@ -129,12 +158,11 @@ def _candidates(folder: str, size: int):
         for batch in batches:
             for name, begin in zip(*(c.to_pylist() for c in batch.columns)):
                 with opened(folder, name) as file:
-                    file.seek(begin)
-                    text = file.read(size + HEADER)
-                at, found = text.find(MAGIC), []
-                while 0 <= at < size:
-                    found.append((begin + at, successor(text, at, begin)))
-                    at = text.find(MAGIC, at + 1)
+                    headers = Headers(file, begin, size)
+                    at, found = headers.text.find(MAGIC), []
+                    while 0 <= at < size:
+                        found.append((begin + at, headers.successor(at)))
+                        at = headers.text.find(MAGIC, at + 1, size + len(MAGIC))
                 offset, after = np.array(found, np.int64).reshape(-1, 2).T
                 leave = after.copy()  # backwards, so that each successor's way out is known
                 index = {int(x): i for i, x in enumerate(offset)}

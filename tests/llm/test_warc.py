@@ -84,3 +84,29 @@ def test_records_are_warc(pages):
     assert head.startswith(MAGIC) and b"Content-Length: %d" % (len(block) - 4) in head and data.endswith(b"hello\r\n\r\n")
     folder, files = write_archives(pages(ODD))
     assert read_archives(folder, files).count() == len(ODD)
+
+
+LONG = "http://x/?q=" + "ä/" * 100_000
+
+
+@pytest.mark.parametrize("size", [1000, 150_000, 4 << 20])
+def test_long_urls_are_written_whole(pages, size):
+    rows = [(1, LONG + "1", "one"), (2, LONG + "2", "two"), (3, "data:," + "z" * 5000, "one"), (4, "u", FAKE + "in " * 9), *ODD[4:]]
+    rows = [(i if i is None else i + 100 * (k > 3), *r) for k, (i, *r) in enumerate(rows)]
+    folder, files = write_archives(pages(rows), archive=60_000)
+    data = b""
+    for r in files.collect():
+        with open("/" + folder.removeprefix("file:").lstrip("/") + "/" + r["name"], "rb") as file:
+            data += file.read()
+    for url in (LONG + "1", LONG + "2", "data:," + "z" * 5000):
+        assert b"\r\nWARC-Target-URI: " + url.encode() + b"\r\n" in data
+    assert sorted(map(tuple, read_archives(folder, files, size).collect()), key=str) == by_hand(rows)
+
+
+def test_first_lines_without_a_header_take_linear_time(pages):
+    import time
+
+    rows = [(1, "u", "WARC/1.1\r\n" * 300_000), (2, "u", ("WARC/1.1\r\n" * 9 + "Content-Length: 7\r\n") * 30_000)]
+    begin = time.perf_counter()
+    assert sorted(map(tuple, archived(pages(rows)).collect()), key=str) == by_hand(rows)
+    assert time.perf_counter() - begin < 60
