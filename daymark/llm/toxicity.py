@@ -1,9 +1,10 @@
 """Toxicity scores from a lexicon learnt from labelled texts, matched with one letter wrong.
 
 1. Terms come from labelled rows: words, and stems that several words share, far more frequent
-   in toxic texts than in others.
-2. The terms form a trie.  Its intersection with the Levenshtein automata of distance 0 and 1 is
-   made deterministic, and every distinct word of a text runs through that table, all words of
+   in toxic texts than in others.  How often a term has to come does not depend on the number of
+   texts: it may not be chance.
+2. The terms form a trie.  Its intersection with the Levenshtein automata of distance 0 and 1,
+   a swap of neighbours being one error, is made deterministic, and every distinct word of a text runs through that table, all words of
    a chunk side by side.
 3. Around each hit a window of the text is read: quotation marks on both sides, or a word of
    reporting, speak for a quotation, several hits near one another for abuse.
@@ -13,7 +14,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +27,10 @@ from .common import chunks, first_texts, texts_of
 from .logistic import Logistic
 
 SAMPLE = 20_000  # labelled rows of either class that are learnt from, at most
-TERMS = 400  # terms in the lexicon, at most
-SHORTEST = 4  # letters of a term
-FUZZY_WORD, FUZZY_STEM = 5, 7  # letters from which one may be wrong
+LEAST = 3  # toxic texts that have a term
+CHANCE = 0.001  # that a word as common in all texts comes so often in toxic ones, at most
+SHORTEST, LONGEST = 4, 9  # letters of a stem; shorter words are terms as they are
+FUZZY_WORD, FUZZY_STEM = 5, 5  # letters from which one may be wrong
 WINDOW = 48  # letters on each side of a hit that are read
 WORD = re.compile(r"\w+")
 QUOTES = "\"'“”„«»‘’‹›`"
@@ -42,9 +44,12 @@ class Term:
 
 
 class TermAutomaton:
-    """A deterministic automaton that accepts the terms with at most one edit where they allow it."""
+    """A deterministic automaton that accepts the terms with at most one edit where they allow it.
 
-    def __init__(self, terms: list[Term]):
+    With ``swaps``, two neighbouring letters in each other's place are one edit, not two.
+    """
+
+    def __init__(self, terms: list[Term], swaps: bool = False):
         self.terms = terms
         children: list[dict[str, int]] = [{}]
         ends: list[list[int]] = [[]]
@@ -65,43 +70,70 @@ class TermAutomaton:
         for node in range(len(children) - 1, -1, -1):
             open_[node] = any(fuzzy[k] for k in ends[node]) or any(open_[c] for c in children[node].values())
 
-        def closed(states: set[tuple[int, int]]) -> frozenset:
+        # A state is a node and the errors so far, or a node and the letter that has to come to
+        # reach it, after a swap, with one error.
+        def closed(states: set[tuple[int, int | str]]) -> frozenset:
             for node, wrong in list(states):
-                if not wrong:  # a letter left out
+                if wrong == 0:  # a letter left out
                     states.update((c, 1) for c in children[node].values() if open_[c])
-            return frozenset((n, w) for n, w in states if not w or (n, 0) not in states)
+            return frozenset((n, w) for n, w in states if w != 1 or (n, 0) not in states)
+
+        def told_apart(states: frozenset) -> set[str]:
+            """The letters that lead elsewhere than any other letter does."""
+            found = set()
+            for node, wrong in states:
+                if isinstance(wrong, str):
+                    found.add(wrong)
+                    continue
+                found.update(children[node])
+                if swaps and wrong == 0:
+                    found.update(*(children[c] for c in children[node].values() if open_[c]))
+            return found
 
         def accepted(states: frozenset, stems: bool) -> int:
             """1 + twice the term + the errors; 0 for none."""
             found = [
                 (wrong, k)
                 for node, wrong in states
+                if not isinstance(wrong, str)
                 for k in ends[node]
                 if (not wrong or fuzzy[k]) and (terms[k].stem or not stems)
             ]
             return 1 + 2 * min(found)[1] + min(found)[0] if found else 0
 
         start = closed({(0, 0)})
-        number, queue = {frozenset(): 0, start: 1}, [start]
+        number, queue = {frozenset(): 0, start: 1}, deque([start])
         rows, accepts, stems = [np.zeros(len(letters) + 1, np.int32)], [0], [0]
+
+        def reached(states: frozenset, letter: str | None) -> int:
+            after = set()
+            for node, wrong in states:
+                if isinstance(wrong, str):
+                    if letter == wrong:
+                        after.add((node, 1))
+                    continue
+                if letter in children[node]:
+                    after.add((children[node][letter], wrong))
+                if wrong == 0 and open_[node]:
+                    after.add((node, 1))  # one letter too many
+                    for first, c in children[node].items():
+                        if open_[c]:
+                            after.add((c, 1))
+                            if swaps and letter != first and letter in children[c] and open_[children[c][letter]]:
+                                after.add((children[c][letter], first))
+            after = closed(after)
+            if after not in number:
+                number[after] = len(number)
+                queue.append(after)
+            return number[after]
+
         while queue:
-            states = queue.pop(0)
+            states = queue.popleft()
             accepts.append(accepted(states, False))
             stems.append(accepted(states, True))
-            row = np.zeros(len(letters) + 1, np.int32)
-            for letter, code in [(None, 0), *self.codes.items()]:
-                after = set()
-                for node, wrong in states:
-                    if letter in children[node]:
-                        after.add((children[node][letter], wrong))
-                    if not wrong and open_[node]:
-                        after.add((node, 1))  # one letter too many
-                        after.update((c, 1) for c in children[node].values() if open_[c])
-                after = closed(after)
-                if after not in number:
-                    number[after] = len(number)
-                    queue.append(after)
-                row[code] = number[after]
+            row = np.full(len(letters) + 1, reached(states, None), np.int32)
+            for letter in sorted(told_apart(states)):
+                row[self.codes[letter]] = reached(states, letter)
             rows.append(row)
         self.table, self.accepts, self.stems = np.array(rows), np.array(accepts), np.array(stems)
 
@@ -181,44 +213,73 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
         for text, label in zip(texts_of(batch.column("text")), batch.column("label").to_pylist()):
             for word in set(WORD.findall(text.lower())):
-                if len(word) >= SHORTEST:
-                    counts[word][1 - label] += 1
+                counts[word][1 - label] += 1
     words = list(counts)
     columns = [pa.array([counts[w][k] for w in words], pa.int64()) for k in (0, 1)]
     yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *columns], ["word", "toxic", "other"])
 
 
+def unlikely(toxic: int, other: int):
+    """Whether that a term is in ``toxic`` and ``other`` texts so unevenly is no chance.
+
+    By Chernoff's bound for a term that comes in both classes alike.
+    """
+    share, here = toxic / (toxic + other), F.col("toxic") / (F.col("toxic") + F.col("other"))
+
+    def part(count: str, rate, expected: float):
+        return F.when(F.col(count) > 0, F.col(count) * F.log(rate / expected)).otherwise(0.0)
+
+    evidence = part("toxic", here, share) + part("other", 1 - here, 1 - share)
+    return (here > share) & (evidence >= float(-np.log(CHANCE)))
+
+
 def lexicon(sample: DataFrame, toxic: int, other: int) -> list[Term]:
     """Words and stems that toxic texts have and others mostly lack, the most frequent first."""
     counts = sample.mapInArrow(_word_counts, "word string, toxic long, other long")
     counts = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     size = F.length("word")
-    stems = counts.withColumn(
-        "stem", F.explode(F.transform(F.sequence(F.lit(SHORTEST), F.least(size, F.lit(9))), lambda n: F.left("word", n)))
-    )
+    sizes = F.sequence(F.least(size, F.lit(SHORTEST)), F.least(size, F.lit(LONGEST)))
+    prefixes = F.transform(sizes, lambda n: F.left("word", n))
+    # With a space behind it, a word by itself.
+    stems = counts.withColumn("stem", F.explode(F.array_append(prefixes, F.concat("word", F.lit(" ")))))
     stems = stems.groupBy("stem").agg(
         F.sum("toxic").alias("toxic"),
         F.sum("other").alias("other"),
-        F.count(F.when(F.col("toxic") > 0, 1)).alias("words"),
         F.max(F.struct("toxic", "word")).alias("top"),
     )
-    least = max(3, toxic // 500)
     rate = max(1, other) / max(1, toxic)
-    rare = (F.col("toxic") >= least) & (F.col("other") <= F.col("toxic") * (0.03 * rate))
-    rows = stems.filter(rare).orderBy(F.desc("toxic"), "stem").limit(20 * TERMS).collect()
+    rare = (F.col("toxic") >= LEAST) & (F.col("other") <= F.col("toxic") * (0.03 * rate))
+    pure = {r.stem: r for r in stems.filter(rare & unlikely(toxic, other)).toLocalIterator()}
+    words = {r.top.word: r.toxic for s, r in pure.items() if s.endswith(" ")}
+    pure = {s: r for s, r in pure.items() if not s.endswith(" ")}
+    longer = defaultdict(list)
+    for stem in sorted(pure):
+        if len(stem) > SHORTEST:
+            longer[stem[:-1]].append(stem)
     terms: dict[str, tuple[int, Term]] = {}
-    pure = {r.stem: r for r in rows}
-    for stem, r in pure.items():
-        if stem[:-1] in pure:  # a shorter one says as much
-            continue
+    # From the shortest stems on; a longer one says as much.
+    open_ = [s for s in pure if len(s) <= SHORTEST or s[:-1] not in pure]
+    while open_:
+        stem = open_.pop()
+        r = pure[stem]
         if r.top.toxic >= 0.9 * r.toxic:
             terms[r.top.word] = (r.toxic, Term(r.top.word, False))
+            # Less frequent words of the stem stand for themselves.
+            path = [stem]
+            while path:
+                for s in longer[path.pop()]:
+                    (path if r.top.word.startswith(s) else open_).append(s)
             continue
-        while longer := [x for x in pure.values() if x.stem[:-1] == stem and x.toxic >= 0.9 * r.toxic]:
-            stem = longer[0].stem
+        while same := [s for s in longer[stem] if pure[s].toxic >= 0.9 * r.toxic]:
+            open_ += [s for s in longer[stem] if s != same[0]]
+            stem = same[0]
         terms[stem] = (r.toxic, Term(stem, True))
+    stems = {term.text for _, term in terms.values() if term.stem}
+    for word, times in words.items():
+        if word not in terms and not any(word[:n] in stems for n in range(1, len(word) + 1)):
+            terms[word] = (times, Term(word, False))
     ordered = sorted(terms.values(), key=lambda x: (-x[0], x[1].text))
-    return [term for _, term in ordered[:TERMS]]
+    return [term for _, term in ordered]
 
 
 def _feature_rows(automaton: TermAutomaton):
@@ -248,7 +309,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     toxic, other = numbers.get(1, 0), numbers.get(0, 0)
     if not toxic or not other:
         return ToxicityModel(TermAutomaton([]), Logistic.constant(FEATURES, float(toxic > 0)))
-    automaton = TermAutomaton(lexicon(chosen, toxic, other))
+    automaton = TermAutomaton(lexicon(chosen, toxic, other), swaps=True)
     table = chosen.mapInArrow(_feature_rows(automaton), "features array<double>, label int").toPandas()
     x = np.array(table["features"].tolist()).reshape(-1, FEATURES)
     return ToxicityModel(automaton, Logistic.fit(x, table["label"].to_numpy(float)))

@@ -238,3 +238,60 @@ def test_context_counts_every_document(spark, frame):
 
 def test_dictionary_is_a_share_of_documents():
     assert [secrets.least_documents(n) for n in (0, 10_000, 20_001, 10_000_000)] == [2, 2, 3, 1000]
+
+
+# ---- the lexicon
+
+
+def test_lexicon_has_no_rank_and_no_threshold_that_grows(spark):
+    rng = random.Random(4)
+    made = sorted({"".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randrange(3, 12))) for _ in range(620)})[:600]
+    toxic = [f"{made[k % 600]} among usual words {k}" for k in range(6_600)]
+    toxic += [f"scumbag {k}" for k in range(300)] + [f"scum of number {k}" for k in range(12)]
+    rows = [(t, 1) for t in toxic] + [(f"only usual words {k}", 0) for k in range(len(toxic))]
+    found = toxicity.lexicon(spark.createDataFrame(rows, "text string, label int").repartition(4), len(toxic), len(toxic))
+    missed = set(made) - {made[k] for k, hit in enumerate(TermAutomaton(found).match(made).tolist()) if hit and (hit - 1) % 2 == 0}
+    assert not missed
+    assert TermAutomaton(found).match(["scum", "scumbag"]).astype(bool).all()
+    assert not {"usual", "words"} & {t.text for t in found}
+
+
+@pytest.mark.parametrize("size", [500, 20_000])
+def test_what_may_be_chance_does_not_depend_on_size(spark, size):
+    counts = [(k, 0) for k in (6, 9, 10, 30)] + [(30, 30), (5, 40)]
+    rows = spark.createDataFrame(counts, "toxic long, other long")
+    kept = {tuple(r) for r in rows.filter(toxicity.unlikely(size, size)).collect()}
+    assert kept == {(10, 0), (30, 0)}
+    assert {tuple(r) for r in rows.filter(toxicity.unlikely(size, 9 * size)).collect()} >= {(6, 0), (9, 0), (30, 30)}
+
+
+def test_swapped_letters_and_stems_of_five():
+    automaton = TermAutomaton([Term("idiot", False), Term("moron", True), Term("dumb", True)], swaps=True)
+    hits = automaton.match(["iidot", "idoit", "idito", "diiot", "moornic", "mroonic", "morin", "moranic", "dubm", "idoti", "iodti"])
+    assert [(h - 1) % 2 if h else None for h in hits.tolist()] == [1, 1, 1, 1, 1, 1, 1, 1, None, None, None]
+
+
+def swap_distance(word, term):
+    rows = [list(range(len(term) + 1))]
+    for i, a in enumerate(word, 1):
+        new = [i]
+        for j, b in enumerate(term, 1):
+            new.append(min(rows[-1][j] + 1, new[-1] + 1, rows[-1][j - 1] + (a != b)))
+            if i > 1 and j > 1 and a == term[j - 2] and b == word[i - 2]:
+                new[-1] = min(new[-1], rows[-2][j - 2] + 1)
+        rows.append(new)
+    return rows[-1][-1]
+
+
+def test_automaton_equals_edit_distance_with_swaps():
+    rng = random.Random(5)
+    terms = [Term("abba", False), Term("abcab", False), Term("bacca", True), Term("cabbac", True), Term("aabbc", False)]
+    words = sorted({"".join(rng.choices("abcd", k=rng.randrange(1, 9))) for _ in range(20_000)})
+    for word, hit in zip(words, TermAutomaton(terms, swaps=True).match(words).tolist()):
+        errors = [
+            wrong
+            for t in terms
+            for n in (range(len(word) + 1) if t.stem else [len(word)])
+            if (wrong := swap_distance(word[:n], t.text)) <= (len(t.text) >= 5)
+        ]
+        assert (min(errors) if errors else None) == ((hit - 1) % 2 if hit else None), word
