@@ -71,11 +71,15 @@ def exact_groups(
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text no row of a smaller id has."""
-    stay = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("stay"))
-    kept = docs.join(stay.distinct(), docs["doc_id"].eqNullSafe(F.col("stay")), "left_semi")
-    if stay.groupBy("stay").count().filter("count > 1").isEmpty():
+    """The rows of ``docs``, all columns, whose text no row of a smaller id has.
+
+    Rows are told by id and text, as ids may repeat with different texts.
+    """
+    stay = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("stay"), F.col("text_sha256").alias("stay_sha256"))
+    same = F.sha2(normalised(F.col("text")), 256) == F.col("stay_sha256")
+    kept = docs.join(stay.distinct(), same & docs["doc_id"].eqNullSafe(F.col("stay")), "left_semi")
+    if stay.groupBy("stay", "stay_sha256").count().filter("count > 1").isEmpty():
         return kept
-    # Ids that repeat: one row of each id and text.
+    # One row of each id and text.
     again = kept.withColumn("__body", normalised(F.col("text")))
     return again.dropDuplicates(["doc_id", "__body"]).drop("__body")

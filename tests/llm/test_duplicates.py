@@ -175,3 +175,13 @@ def test_sketches_merge_and_contain():
     from daymark.llm.fingerprints import written
 
     assert read(written(a))[0] == a[0] and (read(written(a))[1] == a[1]).all()
+
+
+def test_copies_go_where_ids_repeat_with_different_texts(frame):
+    from daymark.llm.exact import without_copies
+
+    rows = [(3, "B"), (5, "A"), (5, "B"), (None, "C"), (None, "D \n"), (7, "C"), (7, "D "), (7, "E"), (7, "E"), (8, None), (8, "A")]
+    df = without_copies(frame(rows))
+    assert df.schema == frame(rows).schema
+    found = sorted((str(r.doc_id), r.text) for r in df.collect())
+    assert found == sorted([("3", "B"), ("5", "A"), ("None", "C"), ("None", "D \n"), ("7", "E"), ("8", None)], key=lambda r: (r[0], str(r[1])))
