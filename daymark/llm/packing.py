@@ -29,6 +29,7 @@ from .tokens import default_path, encoder, with_end
 
 WINDOW = 2048
 END = 1
+TRIPLES = 1 << 16  # pairs of shorter lengths that are tried for a third one, about
 LEAST_CUT = 16  # a gap of so many tokens is worth cutting a piece
 GROUP = 1000  # texts of one length that are numbered in one go
 GROUPS = 1_000_000  # and about so many groups at most
@@ -48,8 +49,11 @@ def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
         if times == 1:
             ok &= a > rest
         rows.append(np.stack([a, np.full_like(a, times), rest, np.zeros_like(a)], 1)[ok])
-    # Of triples a < b < c those of every eighth a; each length takes part in some.
-    for a in lengths[(lengths % 8 == 0) & (lengths * 3 < window)].tolist():
+    # Triples a < b < c: all, or if there are too many those of every so many-th length a present.
+    shortest = lengths[lengths * 3 < window]
+    tries = np.searchsorted(lengths, (window - shortest + 1) // 2) - np.arange(len(shortest)) - 1
+    step = max(1, -(-int(np.maximum(tries, 0).sum()) // TRIPLES))
+    for a in shortest[::step].tolist():
         b = lengths[(lengths > a) & (2 * lengths < window - a)]
         c = window - a - b
         b, c = b[here[c]], c[here[c]]

@@ -232,3 +232,22 @@ def test_pieces_odd_rows(frame):
     sign = pieces.coded(frame([(1, "a▁b")])).first()
     assert not sign.round_trip
     assert pieces.coded(frame([]).limit(0)).count() == 0
+
+
+def test_sparse_lengths_have_all_triples():
+    rng = np.random.default_rng(6)
+    for count in (3, 40, 300):
+        lengths = np.unique(np.concatenate([[101, 303, 1644], rng.integers(1, 1024, count) * 2 - 1, rng.integers(1, 1024, count) * 2]))
+        lengths = lengths[lengths % 8 != 0]
+        here = set(lengths.tolist())
+        wanted = {(a, b, 2048 - a - b) for a in here for b in here if a < b < 2048 - a - b and 2048 - a - b in here}
+        found = packing.combinations(lengths, 2048)
+        found = {(a, b, c) for a, times, b, c in found.tolist() if c}
+        assert found == wanted and (101, 303, 1644) in found
+
+
+def test_dense_lengths_have_triples_of_a_bounded_number():
+    combos = packing.combinations(np.arange(1, 2048), 2048)
+    triples = combos[combos[:, 3] > 0]
+    assert (triples[:, [0, 2, 3]].sum(1) == 2048).all() and 30_000 < len(triples) <= packing.TRIPLES
+    assert len(np.unique(triples[:, 0])) > 100
