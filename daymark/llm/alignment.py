@@ -28,7 +28,7 @@ from .common import chunks, split_points, texts_of
 from .tokens import default_path
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BLOCK_BYTES = 4 << 20  # of distinct texts that are aligned together
+BLOCK_BYTES = 2 << 20  # of distinct texts that are aligned together
 SPACE = "▁"  # stands for a space in pieces
 HOT_SHARE = 1000  # a text is hot if one row in so many has it; there are no more hot ones than that
 HOT_ROWS = 1000  # and if so many rows have it, which then share one row of measures
@@ -46,11 +46,10 @@ class Tokenizers:
         self.b_bytes = [
             bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)
         ]
-        self.a_bytes = [self.a.bytes_of.get(i, b"") for i in range(max(self.a.bytes_of) + 1)]
-        self.a_length = np.array([len(x) for x in self.a_bytes])
+        self.a_length = self.a.byte_lengths()
         self.b_length = np.array([len(x) for x in self.b_bytes])
         # Ids as text with each sign that may follow: another of the group, the other side, the next group.
-        most = max(len(self.a_bytes), len(self.b_bytes))
+        most = max(len(self.a_length), len(self.b_length))
         self.written = [b"%d%c" % (i, sign) for i in range(most) for sign in b",|;"]
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -59,12 +58,11 @@ class Tokenizers:
         left, right = [], []
         for text, b_ids in zip(texts, self.b.encode(texts, num_threads=1)):
             whole = f" {text}".encode()
-            a_ids = self.a.encode(" " + text) if text else []
-            same = all(
-                b"".join(map(table.__getitem__, ids)) == whole
-                for table, ids in ((self.b_bytes, b_ids), (self.a_bytes, a_ids))
-            )
-            left.append(np.array(a_ids, np.int64) if same else none)
+            a_ids = np.array(self.a.encode(" " + text) if text else [], np.int64)
+            # Byte-level pieces part the bytes and change none.
+            same = int(self.a_length[a_ids].sum()) == len(whole)
+            same = same and b"".join(map(self.b_bytes.__getitem__, b_ids)) == whole
+            left.append(a_ids if same else none)
             right.append(np.array(b_ids, np.int64) if same else none)
         return left, right
 
@@ -86,23 +84,28 @@ class Block:
     def __init__(self, both: Tokenizers, left: list[np.ndarray], right: list[np.ndarray]):
         self.a_at, self.b_at = (split_points(np.array([len(x) for x in side], np.int64)) for side in (left, right))
         empty = [np.zeros(0, np.int64)]
-        self.a, self.b = np.concatenate(left or empty), np.concatenate(right or empty)
-        a_end, b_end = np.cumsum(both.a_length[self.a]), np.cumsum(both.b_length[self.b])
-        cuts = np.union1d(a_end, b_end)
-        i, j = np.searchsorted(a_end, cuts), np.searchsorted(b_end, cuts)
-        shared = (a_end[i] == cuts) & (b_end[j] == cuts) if len(cuts) else np.zeros(0, bool)
-        self.pairs = self.a[i] << 32 | self.b[j]
-        text_end = np.concatenate([[0], a_end])[self.a_at[1:]]
+        a, b = np.concatenate(left or empty), np.concatenate(right or empty)
+        # Marks at every byte behind a token; both tokenizers' texts have the same bytes.
+        ends = [np.cumsum(both.a_length[a]), np.cumsum(both.b_length[b])]
+        marks = np.zeros(1 + (int(ends[0][-1]) if len(a) else 0), np.uint8)
+        marks[ends[0]] = 1
+        marks[ends[1]] |= 2
+        cuts = np.flatnonzero(marks)
+        is_a, is_b = marks[cuts] & 1 > 0, marks[cuts] & 2 > 0
+        shared = is_a & is_b
+        # How many tokens of each, and groups, end at a cut or before it.
+        a_done, b_done, groups_done = np.cumsum(is_a), np.cumsum(is_b), np.cumsum(shared)
+        self.pairs = a[a_done - is_a] << 32 | b[b_done - is_b]
+        text_end = np.concatenate([[0], ends[0]])[self.a_at[1:]]
         self.link_at = np.concatenate([[0], np.searchsorted(cuts, text_end, "right")])
-        group_end = cuts[shared]
-        self.groups = np.diff(np.concatenate([[0], np.searchsorted(group_end, text_end, "right")]))
+        self.groups = np.diff(np.concatenate([[0], groups_done])[self.link_at])
         # All tokens in the order of the groups, the first tokenizer's before the second's.
-        a_group, b_group = np.searchsorted(group_end, a_end), np.searchsorted(group_end, b_end)
-        order = np.empty(len(self.a) + len(self.b), np.int64)
-        a_last, b_last = (group_end[g] == end if len(end) else np.zeros(0, bool) for g, end in ((a_group, a_end), (b_group, b_end)))
-        order[np.arange(len(self.a)) + np.searchsorted(b_group, a_group, "left")] = self.a * 3 + a_last
-        order[np.arange(len(self.b)) + np.searchsorted(a_group, b_group, "right")] = self.b * 3 + 2 * b_last
-        self.order, self.written = order, both.written
+        before = np.concatenate([[0], b_done[shared]])
+        within = a_done[shared]
+        self.order = np.empty(len(a) + len(b), np.int64)
+        self.order[np.arange(len(a)) + before[(groups_done - shared)[is_a]]] = a * 3 + shared[is_a]
+        self.order[np.arange(len(b)) + within[(groups_done - shared)[is_b]]] = b * 3 + 2 * shared[is_b]
+        self.written = both.written
 
     def texts(self) -> Iterator[bytes]:
         """The groups of each text as written: ``a1,a2|b1;a3|b2``; empty without tokens."""
@@ -131,14 +134,15 @@ def _aligned(a_path: str, b_path: str):
         both = tokenizers(a_path, b_path)
         for batch in chunks(batches, "text", BLOCK_BYTES):
             left, right = [], []
-            for part in chunks([batch], "text", 1 << 20):
+            for part in chunks([batch], "text", 1 << 19):
                 for side, ids in zip((left, right), both.encode(texts_of(part.column("text")))):
                     side += ids
             block = Block(both, left, right)
             hashes = [hashlib.sha256(t).hexdigest() if t else "" for t in block.texts()]
             copies = batch.column("copies").to_numpy(False)
             links = np.diff(block.link_at)
-            pairs, codes = np.unique(block.pairs, return_inverse=True)
+            pairs = np.unique(block.pairs)
+            codes = np.searchsorted(pairs, block.pairs)
             weights = np.zeros(len(pairs), np.int64)
             np.add.at(weights, codes, np.repeat(copies, links))
             numbers = [copies, np.diff(block.a_at), np.diff(block.b_at), block.groups, links]

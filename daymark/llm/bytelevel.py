@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 
@@ -20,6 +21,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 LONG_WHITE = re.compile(r"\s{256}")
+MAYBE_LONG = re.compile(r"\s{4}")  # among every 64th letter
 
 
 def byte_letters() -> dict[str, int]:
@@ -34,11 +36,10 @@ class ByteEncoder:
     def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = plain
-        spec = json.loads(self.tokenizer.to_str())
+        self.path, self.plain = path, plain
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         added = {t["content"] for t in spec["added_tokens"]}
         self.special = [] if plain else sorted(added)
         letters = byte_letters()
@@ -46,23 +47,30 @@ class ByteEncoder:
         self.bytes_of = {i: bytes(letters[c] for c in p) for p, i in vocabulary.items()}
         ranks = {data: i for i, data in self.bytes_of.items()}
         self.bytes_of |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        self.size = max(self.bytes_of) + 1
         self.quick = None
         shape = spec["pre_tokenizer"] or {}
         plain_shape = shape.get("type") == "ByteLevel" and shape.get("use_regex") and not shape.get("add_prefix_space")
         if plain_shape and not spec["normalizer"] and not spec["model"].get("ignore_merges"):
             self.quick = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    @property
-    def size(self) -> int:
-        return self.tokenizer.get_vocab_size()
+    @cached_property
+    def tokenizer(self):
+        """The library's own, which few texts need."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = self.plain
+        return made
 
     def encode(self, text: str) -> list[int]:
-        if self.quick is None or any(s in text for s in self.special) or LONG_WHITE.search(text):
+        long_white = MAYBE_LONG.search(text[::64]) and LONG_WHITE.search(text)
+        if self.quick is None or long_white or any(s in text for s in self.special):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.quick.encode_ordinary(text)
 
     def byte_lengths(self) -> np.ndarray:
-        lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
+        lengths = np.zeros(self.size, np.int64)
         for i, data in self.bytes_of.items():
             lengths[i] = len(data)
         return lengths
