@@ -1,8 +1,9 @@
 """Copy a table forward by the days its target does not hold.
 
-Two steps per hop, whatever the number of days: find the missing days, copy them
-all in one job.  A day the target holds is skipped whole, even if the source has
-more rows for it by now.
+One pass over the source: what the target holds is known from its catalog, rows of those days
+are left out of the scan, and how many rows and days were copied is observed while they are
+written.  A day the target holds is skipped whole, even if the source has more rows for it by
+now.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import DAY, with_day
-from ..operators.days import distinct_days, in_days
+from ..functions.columns import DAY, quoted, with_day
+from ..operators.days import distinct_days, in_days, listed
 from ..sinks.tables import add_days, create_like
 from ..sources.tables import Table
 
@@ -67,30 +68,38 @@ def sync_days(
     Rows without a day are never copied, only counted.  A source laid out by day is
     copied without a shuffle.
     """
-    laid_out = isinstance(source, Table) and source.is_by_day(day)
+    if isinstance(source, Table) and source.is_by_day(day):
+        return _copy_days(source, target, only, day)
     rows = with_day(source.read() if isinstance(source, Table) else source, day)
-    fresh = fresh_days(source, target, day)
+    value = F.col(quoted(day))
     if only is not None:
-        asked = in_days(day, sorted(set(only)))
-        rows, fresh = rows.where(asked), fresh.where(asked)
+        rows = rows.where(in_days(day, sorted(set(only))))
+    held = listed(held_days(target, day), day) if target.exists() else []
+    if held:  # rows without a day stay, to be counted as they are written
+        rows = rows.where(value.isNull() | ~in_days(day, held))
+    new = not target.exists()
+    create_like(target, rows, [day])
+    done = add_days(target, rows, day)
+    if new and not done.days:
+        target.drop()
+    return SyncReport(target.identifier, len(done.days), done.rows, done.null_day_rows)
 
+
+def _copy_days(source: Table, target: Table, only: Sequence[dt.date] | None, day: str) -> SyncReport:
+    """The same from a table laid out by day: its catalog says what is missing, nothing is shuffled."""
+    fresh = fresh_days(source, target, day)
+    if only is not None:
+        fresh = fresh.where(in_days(day, sorted(set(only))))
     found = fresh.collect()  # one row a calendar day
-    undated = sum(
-        rows.where(F.col(day).isNull()).count() if r["rows"] is None else r["rows"]
-        for r in found
-        if r[day] is None
-    )
-    dated = [r for r in found if r[day] is not None]
-    if not dated:
+    undated = 0
+    if any(r[day] is None for r in found):
+        undated = with_day(source.read(), day).where(F.col(quoted(day)).isNull()).count()
+    days = [r[day] for r in found if r[day] is not None]
+    if not days:
         return SyncReport(target.identifier, 0, 0, undated)
-
-    create_like(target, rows, [day])
-    wanted = in_days(day, [r[day] for r in dated])
-    counts = {r[day]: r["rows"] for r in dated}
-    known = None not in counts.values()
-    add_days(target, rows.where(wanted), day, not laid_out, counts if known else None)
-    copied = sum(counts.values()) if known else target.read().where(wanted).count()
-    return SyncReport(target.identifier, len(dated), copied, undated)
+    rows = with_day(source.read(), day).where(in_days(day, days))
+    done = add_days(create_like(target, rows, [day]), rows, day, cluster=False)
+    return SyncReport(target.identifier, len(days), done.rows, undated)
 
 
 @dataclass(frozen=True)

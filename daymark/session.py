@@ -109,6 +109,19 @@ def build_session(settings: Settings = Settings()) -> SparkSession:
     return builder.getOrCreate()
 
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def bounded_listing(spark: SparkSession) -> None:
+    """Let no job that lists folders have more tasks than a few times the cores.
+
+    Spark's own bound is one task a folder up to 10,000, which for a table of many days takes
+    longer to schedule than to list.  A value that the user set stays.
+    """
+    if spark.conf.get(LISTING, None) in (None, "10000"):
+        spark.conf.set(LISTING, str(4 * spark.sparkContext.defaultParallelism))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 

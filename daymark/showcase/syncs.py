@@ -209,6 +209,36 @@ def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elsewhere.table("gold", "events").read()
 
 
+@query(
+    f"""
+    SELECT layer, name AS "table", day, count(*) AS rows
+    FROM (SELECT 'gold' AS layer, 'events' AS name, {EVENT_DAY} AS day FROM events
+          UNION ALL SELECT 'gold', 'orders', {ORDER_DAY} FROM orders
+          WHERE {ORDER_DAY} BETWEEN DATE '1997-01-01' AND DATE '1997-03-31')
+    GROUP BY layer, name, day
+    """
+)
+def snapshot_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two publishes of one day, of a table each, and a third of new days of the first; restored."""
+    lake, root = scratch_lake(spark), scratch_dir(spark, "snapshots")
+    events, orders = events_by_day(spark, sf_dir), orders_by_day(spark, sf_dir)
+    first_quarter = F.col(DAY).between(F.lit(dt.date(1997, 1, 1)), F.lit(dt.date(1997, 3, 31)))
+    targets = {name: lake.table("gold", name) for name in ("events", "orders")}
+    sync_days(events.where(F.col(DAY) < F.lit(dt.date(2024, 1, 16))), targets["events"])
+    sync_days(orders.where(first_quarter), targets["orders"])
+    for name in targets:
+        snapshots.publish(lake, [("gold", name)], root, dt.date(2024, 2, 1))
+    sync_days(events, targets["events"])
+    snapshots.publish(lake, [("gold", "events")], root, dt.date(2024, 2, 1))
+    elsewhere = Lake(spark, lake.root, ref="partial", prefix=lake.prefix).create_layers()
+    snapshots.restore(elsewhere, root)
+    days = [
+        elsewhere.table("gold", name).read().select(F.lit("gold").alias("layer"), F.lit(name).alias("table"), F.col(DAY).alias("day"))
+        for name in targets
+    ]
+    return days[0].unionByName(days[1]).groupBy("layer", "table", "day").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(f"SELECT e.*, {EVENT_DAY} AS DATE FROM events e")
 def sync_after_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half the days come by an overwrite of the table, the others by a sync that keeps those."""

@@ -5,17 +5,20 @@ from __future__ import annotations
 import datetime as dt
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.columns import DAY, hashable, quoted
+from ..functions.columns import DAY, hashable, quoted, with_day
 from ..operators.days import on_day
-from ..sources.tables import COMMIT_IN_TASKS, TABLE_OPTIONS, Table, option_list, register
+from ..sources import daylog
+from ..sources.tables import COMMIT_IN_TASKS, TABLE_OPTIONS, Table, register
 
 
 DAYS_PER_TASK = 50
 ROWS_PER_TASK = 1_000_000
+SMALL = 1 << 30  # bytes of a frame that is dealt by day alone: no day can be too much for a task
 
 
 def clustered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -48,6 +51,18 @@ def dealt(df: DataFrame, day: str, rows: Mapping[dt.date, int]) -> DataFrame:
     return df.repartition(tasks, F.col(quoted(day)), part)
 
 
+def dealt_unseen(df: DataFrame, day: str) -> DataFrame:
+    """The same where nothing is known of the days but the size of the frame.
+
+    A small frame may have very many small days, each of which costs a file; REBALANCE would fold
+    them into one task by their bytes.  So they are spread over all cores.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL:
+        return clustered(df, [day])
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, F.col(quoted(day)))
+
+
 def create_like(table: Table, df: DataFrame, partition_by: Sequence[str] = ()) -> Table:
     """Create the table with the frame's columns if it is absent."""
     return register(table, df.schema, partition_by)
@@ -69,36 +84,69 @@ def append_by_day(table: Table, df: DataFrame, day: str = DAY) -> None:
     append(create_like(table, df, [day]), df)
 
 
+@dataclass(frozen=True)
+class Written:
+    """What a write of whole days put there, and the rows without a day that it left out."""
+
+    days: tuple[str, ...]
+    rows: int
+    null_day_rows: int
+
+
+def like(table: Table, df: DataFrame) -> DataFrame:
+    """The frame's columns as the table has them, matched by name; all must be there."""
+    wanted = table.read().schema
+    have = {c.lower(): c for c in df.columns}
+    if len(have) != len(df.columns) or set(have) != {f.name.lower() for f in wanted}:
+        raise ValueError(f"{table.identifier} has columns {wanted.names}, not {df.columns}")
+    return df.select(*[F.col(quoted(have[f.name.lower()])).cast(f.dataType).alias(f.name) for f in wanted])
+
+
 def put_days(
     table: Table,
     df: DataFrame,
     day: str = DAY,
     cluster: bool = True,
     counts: Mapping[dt.date, int] | None = None,
-) -> None:
+) -> Written:
     """Write whole days: each day in ``df`` replaces that day's partition.
 
-    ``counts``: the rows of each day, where they are known.
+    ``counts``: the rows of each day, where they are known.  Rows without a day are counted and
+    left out; they take part in the shuffle as rows of NULL, so that the count is that of
+    finished tasks alone, whatever was run twice.
 
-    The files of a day are staged by the tasks and moved into place, a folder at a
-    time, at commit.  A job that is run again after a failure neither doubles a day
-    nor leaves half of one.
+    The files go to a folder of this run's own, and an entry in the table's log makes the days
+    visible once all are there: the driver moves no file, and a job that is run again after a
+    failure neither doubles a day nor leaves half of one.
     """
     if not table.is_by_day(day):
         raise ValueError(f"{table.identifier} is not partitioned by {day} alone")
-    mode, options = table.overwrite_mode(), dict(COMMIT_IN_TASKS)
-    if mode is None:  # a table made elsewhere; Spark's default would empty it
-        options["partitionOverwriteMode"] = "dynamic"
-    elif mode != "dynamic":
-        raise ValueError(f"{table.identifier} overwrites in {mode} mode: a write would remove its other days")
-    rows = df
+    if table.overwrite_mode() not in (None, "dynamic"):
+        raise ValueError(f"{table.identifier} overwrites in static mode: any overwrite would remove its other days")
+    rows = like(table, df)
+    name = next(c for c in rows.columns if c.lower() == day.lower())
+    dated = F.col(quoted(name)).isNotNull()
     if cluster:
-        rows = dealt(df, day, counts) if counts else clustered(df, [day])
-    table.spark.sql(
-        f"INSERT OVERWRITE TABLE {table.identifier} WITH ({option_list(options)}) "
-        "BY NAME SELECT * FROM {rows}",
-        rows=rows,
-    )
+        rows = rows.select(*[F.when(dated, F.col(quoted(c))).alias(c) for c in rows.columns])
+        rows = dealt(rows, name, counts) if counts else dealt_unseen(rows, name)
+    seen = Observation()
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(quoted(name)).alias("dated"))
+    folder = daylog.run_folder(table.location)
+    options = {k: v for k, v in TABLE_OPTIONS.items() if k != "partitionOverwriteMode"}
+    try:
+        rows.where(dated).write.options(**options, **COMMIT_IN_TASKS).partitionBy(name).parquet(folder)
+        found = daylog.written(table.spark, folder)
+    except Exception:
+        daylog.remove(table.spark, folder)
+        raise
+    if found:
+        daylog.enter(table.spark, table.location, folder, found)
+        places = ((f.split("=", 1)[1], f"{folder}/{f}") for f in found)
+        daylog.name_days(table.spark, table.identifier, name, places)
+    else:
+        daylog.remove(table.spark, folder)
+    counted = seen.get
+    return Written(tuple(f.split("=", 1)[1] for f in found), counted["dated"], counted["rows"] - counted["dated"])
 
 
 def add_days(
@@ -107,16 +155,19 @@ def add_days(
     day: str = DAY,
     cluster: bool = True,
     counts: Mapping[dt.date, int] | None = None,
-) -> None:
+) -> Written:
     """Write days the table does not hold yet.
 
     A table laid out by day takes them as whole partitions.  Any other is appended
     to, which a second try after a failed commit may double.
     """
     if table.is_by_day(day):
-        put_days(table, df, day, cluster, counts)
-    else:
-        append(table, df)
+        return put_days(table, df, day, cluster, counts)
+    rows, seen = with_day(df, day), Observation()
+    kept = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(day).alias("dated"), F.collect_set(day).alias("days"))
+    append(table, kept.where(F.col(day).isNotNull()))
+    counted = seen.get
+    return Written(tuple(sorted(map(str, counted["days"]))), counted["dated"], counted["rows"] - counted["dated"])
 
 
 def replace(

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import quoted
-from ..session import file_system, qualified
+from ..session import bounded_listing, file_system, qualified
+from . import daylog
 
 LAYERS = ("bronze", "silver", "gold")
 
@@ -59,7 +60,7 @@ class Table:
         named again first, so its rows are never taken for absent."""
         if self.spark.catalog.tableExists(self.identifier):
             return True
-        if next(_children(self.spark, self.location), None) is None:
+        if next(_children(self.spark, self.location), None) is None and not daylog.holds(self.spark, self.location):
             return False
         attach(self)
         return True
@@ -67,6 +68,12 @@ class Table:
     def read(self) -> DataFrame:
         return self.spark.table(self.identifier)
 
+    def drop(self) -> None:
+        """Forget a table that was created and never written to, with its layout file."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.identifier}")
+        fs, path = file_system(self.spark, f"{self.location}/{LAYOUT_FILE}")
+        fs.delete(path, False)
+
     def _description(self) -> list[tuple[str, str]]:
         """Answered by the catalog alone, where ``listColumns`` would run Spark jobs."""
         rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.identifier}").collect()
@@ -117,6 +124,7 @@ class Lake:
     def __post_init__(self) -> None:
         # A relative root would mean one thing to a reader and another to the catalog.
         object.__setattr__(self, "root", qualified(self.spark, self.root))
+        bounded_listing(self.spark)
 
     def database(self, layer: str) -> str:
         if layer not in self.layers:
@@ -164,6 +172,9 @@ def register(table: Table, schema: T.StructType, partition_by: Sequence[str] = (
     )
     if partition_by and next(_children(table.spark, table.location), None):
         table.spark.catalog.recoverPartitions(table.identifier)
+    if len(partition_by) == 1 and (days := daylog.logged(table.spark, table.location)):
+        places = ((value, f"{table.location}/{path}") for value, path in days.items())
+        daylog.name_days(table.spark, table.identifier, partition_by[0], places)
     _write_layout(table, schema, partition_by)
     return table
 
@@ -172,15 +183,17 @@ def attach(table: Table) -> Table:
     """Name files that already lie at the table's path, whoever wrote them.
 
     The layout file says what they are.  Without one the columns come from one folder of
-    files and the partition columns from the folder names: dates where the first value is
-    one, else text, as a guess would make numbers of codes like ``007``.
+    files and the partition columns from the folder names: dates where all values are,
+    else text, as a guess would make numbers of codes like ``007``.
     """
     if layout := _read_layout(table):
         return register(table, *layout)
     partitions, path = [], table.location
     while folder := next((n for n in _children(table.spark, path) if "=" in n), None):
-        name, value = map(unquote, folder.split("=", 1))
-        kind = T.DateType() if re.fullmatch(r"\d{4}-\d{2}-\d{2}", value) else T.StringType()
+        name = unquote(folder.split("=", 1)[0])
+        beside = (unquote(n.split("=", 1)[1]) for n in _children(table.spark, path) if "=" in n)
+        dates = all(re.fullmatch(r"\d{4}-\d{2}-\d{2}|__HIVE_DEFAULT_PARTITION__", v) for v in beside)
+        kind = T.DateType() if dates else T.StringType()
         partitions.append(T.StructField(name, kind))
         path = f"{path}/{folder}"
     columns = table.spark.read.parquet(path).schema.fields
@@ -190,32 +203,18 @@ def attach(table: Table) -> Table:
 def _write_layout(table: Table, schema: T.StructType, partition_by: Sequence[str]) -> None:
     text = json.dumps({"schema": json.loads(schema.json()), "partition_by": list(partition_by)})
     fs, path = file_system(table.spark, f"{table.location}/{LAYOUT_FILE}")
-    out = fs.create(path, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
+    fs.delete(path, False)
+    daylog.put_text(table.spark, f"{table.location}/{LAYOUT_FILE}", text)
 
 
 def _read_layout(table: Table) -> tuple[T.StructType, list[str]] | None:
     fs, path = file_system(table.spark, f"{table.location}/{LAYOUT_FILE}")
     if not fs.exists(path):
         return None
-    stream = fs.open(path)
-    try:
-        layout = json.loads(table.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
+    layout = json.loads(daylog.text_of(table.spark, f"{table.location}/{LAYOUT_FILE}"))
     return T.StructType.fromJson(layout["schema"]), layout["partition_by"]
 
 
 def _children(spark: SparkSession, path: str) -> Iterator[str]:
     """Names in a folder, hidden ones aside, listed no further than they are asked for."""
-    fs, jpath = file_system(spark, path)
-    if not fs.exists(jpath):
-        return
-    entries = fs.listStatusIterator(jpath)
-    while entries.hasNext():
-        name = entries.next().getPath().getName()
-        if not name.startswith(("_", ".")):
-            yield name
+    return (name for name in daylog.children(spark, path) if not name.startswith(("_", ".")))

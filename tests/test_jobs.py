@@ -43,7 +43,7 @@ def test_bootstrap_and_publish(spark, job, sf_dir):
     call("bootstrap", f"{sf_dir}/nation.parquet", "bronze", "nation", "--mode", "overwrite")
     assert Lake(spark, root, ref).table("bronze", "nation").read().count() == 25
     call("publish", f"{root}/snap", "2024-01-01", "bronze.nation")
-    assert files_under(f"{root}/snap/data/snapshot_date=2024-01-01/bronze/nation", ".parquet")
+    assert files_under(f"{root}/snap/data/bronze/nation", ".parquet")
 
 
 def test_a_folder_of_csv_files(spark, job):

@@ -183,16 +183,46 @@ def test_many_days_are_written_by_many_tasks_and_hot_days_split(spark, lake, mon
             F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 200).cast("int"),
         ).alias("DATE"),
     )
-    target = lake.table("silver", "dealt")
-    assert sync_days(source, target).rows == 40_000
+    counts = {r["DATE"]: r["count"] for r in source.groupBy("DATE").count().collect()}
+    target = create_like(lake.table("silver", "dealt"), source, ["DATE"])
+    assert put_days(target, source, counts=counts).rows == 40_000
     assert rows(target.read().select("id", "DATE")) == rows(source.select("id", "DATE"))
-    hot = files_under(f"{target.location}/DATE=2024-01-01", ".parquet")
-    other = files_under(f"{target.location}/DATE=2024-01-02", ".parquet")
-    assert len(hot) >= 3 and len(other) == 1
+    assert len(files_of(target, "2024-01-01")) >= 3 and len(files_of(target, "2024-01-02")) == 1
     tasks = target.read().select(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).distinct()
     assert tasks.count() >= 5
 
 
+def files_of(table, date):
+    files = table.read().where(F.col("DATE") == F.lit(day(date))).select("_metadata.file_path").distinct()
+    return [r[0] for r in files.collect()]
+
+
+def test_days_nobody_counted_are_spread_too(spark, lake, monkeypatch):
+    """Half of all rows on the first of 200 days, in a frame that counts as small and as large."""
+    source = spark.range(200_000).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("text"),
+        F.date_add(
+            F.lit(day("2024-01-01")),
+            F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 200).cast("int"),
+        ).alias("DATE"),
+    )
+    small = lake.table("silver", "small")
+    assert sync_days(source, small).rows == 200_000
+    parts = small.read().select(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)).distinct()
+    assert parts.count() >= 8 and len(files_of(small, "2024-01-02")) == 1
+    monkeypatch.setattr("daymark.sinks.tables.SMALL", 0)
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(name, "1m")
+    try:
+        large = lake.table("silver", "large")
+        assert sync_days(source, large).rows == 200_000
+    finally:
+        spark.conf.unset(name)
+    # A small day may lie in a part that was cut for the hot one's sake.
+    assert len(files_of(large, "2024-01-01")) >= 3 and len(files_of(large, "2024-01-02")) <= 2
+    assert rows(large.read()) == rows(source)
+
+
 days_and_nulls = st.lists(
     st.tuples(st.integers(0, 99), st.sampled_from([None, *(f"2024-01-{d:02}" for d in range(1, 6))])),
     max_size=12,
@@ -291,11 +321,12 @@ def test_snapshots_restore_the_newest_complete_one(spark, lake):
     snapshots.publish(lake, both, root, day("2024-02-02"))
     snapshots.publish(lake, both, root, day("2024-02-02"))
     # A publish that broke off before its manifest rows.
-    df.write.parquet(f"{root}/data/snapshot_date=2024-02-03/gold/t")
+    df.write.parquet(f"{root}/data/gold/t/broken")
 
     entries = {(r["layer"], r["table"]): r["rows"] for r in snapshots.newest(spark, root).collect()}
     assert entries == {("gold", "t"): 3, ("silver", "plain"): 4}
-    assert snapshots.manifest(spark, root).count() == 4
+    # A row for each day of t and one for plain, in each of the three publishes.
+    assert snapshots.manifest(spark, root).count() == (2 + 1) + (3 + 1) + (3 + 1)
 
     other = Lake(spark, scratch_dir(spark, "other"), prefix=f"{lake.prefix}o_").create_layers()
     restored = snapshots.restore(other, root)
@@ -308,10 +339,10 @@ def test_snapshots_restore_the_newest_complete_one(spark, lake):
     with pytest.raises(LookupError, match="gold.none"):
         snapshots.read_newest(spark, root, "gold", "none")
 
-    # Publishing the newest day again and failing half-way leaves the one before.
+    # Publishing the newest day again and failing half-way leaves what was published before.
     with pytest.raises(Exception, match="absent"):
         snapshots.publish(lake, [*both, ("gold", "absent")], root, day("2024-02-02"))
-    assert {r["rows"] for r in snapshots.newest(spark, root).collect()} == {2, 4}
+    assert {r["rows"] for r in snapshots.newest(spark, root).collect()} == {3, 4}
 
 
 def test_a_broken_restore_is_done_again(spark, lake):
