@@ -51,7 +51,8 @@ def _tree(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, le
             impurity = (cut * low * (1 - low) + (len(at) - cut) * high * (1 - high)) / len(at)
             k = int(impurity.argmin())
             if impurity[k] < best[0]:
-                best = (float(impurity[k]), int(feature), float((values[cut[k]] + values[cut[k] - 1]) / 2))
+                # The lower value, not the middle: that may round to the upper one and leave a side empty.
+                best = (float(impurity[k]), int(feature), float(values[cut[k] - 1]))
         if best[1] >= 0:
             goes_left = x[at, best[1]] <= best[2]
             rows[me][0], rows[me][1] = best[1], best[2]

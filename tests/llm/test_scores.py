@@ -295,3 +295,20 @@ def test_automaton_equals_edit_distance_with_swaps():
             if (wrong := swap_distance(word[:n], t.text)) <= (len(t.text) >= 5)
         ]
         assert (min(errors) if errors else None) == ((hit - 1) % 2 if hit else None), word
+
+
+def test_no_leaf_of_a_forest_is_empty():
+    """Neighbouring floats have a middle that rounds to one of them; a split there leaves no side empty."""
+    import warnings
+
+    from daymark.llm.forest import Forest
+
+    low = 0.1
+    high = np.nextafter(low, 1)
+    x = np.array([[low], [high], [np.nextafter(high, 1)], [0.5]] * 25)
+    y = np.array([0, 1, 0, 1] * 25)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        forest = Forest.fit(x, y.astype(float))
+    assert all(np.isfinite(share).all() for *_, share in forest.trees)
+    assert np.isfinite(forest.chance(x)).all()
