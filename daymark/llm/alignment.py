@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialised
 from .bytelevel import byte_encoder
-from .common import chunks, split_points, texts_of
+from .common import chunks, fresh_start, split_points, texts_of, worker_cache
 from .tokens import default_path
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -67,13 +67,14 @@ class Tokenizers:
         return left, right
 
 
-_kept: dict[tuple[str, str], Tokenizers] = {}
+_kept: dict[tuple[str, str], Tokenizers] = worker_cache()
 
 
 def tokenizers(a_path: str, b_path: str) -> Tokenizers:
     """The worker's tokenizers, kept from one task to the next."""
     if (a_path, b_path) not in _kept:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        fresh_start()
         _kept[a_path, b_path] = Tokenizers(a_path, b_path)
     return _kept[a_path, b_path]
 

@@ -16,6 +16,8 @@ from functools import cached_property
 
 import numpy as np
 
+from .common import fresh_start, worker_cache
+
 # How a byte-level file parts a text, and the bytes that stand for themselves in it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -76,11 +78,12 @@ class ByteEncoder:
         return lengths
 
 
-_encoders: dict[tuple[str, bool], ByteEncoder] = {}
+_encoders: dict[tuple[str, bool], ByteEncoder] = worker_cache()
 
 
 def byte_encoder(path: str, plain: bool = False) -> ByteEncoder:
     """The worker's encoder of that file, kept from one task to the next."""
     if (path, plain) not in _encoders:
+        fresh_start()
         _encoders[path, plain] = ByteEncoder(path, plain)
     return _encoders[path, plain]

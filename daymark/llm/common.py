@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -41,6 +43,31 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             done += take
 
 
+_caches: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """What a Python worker keeps from one task to the next, until ``fresh_start``."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def fresh_start(keep: dict | None = None) -> None:
+    """Drop what the operators that ran in this worker before have kept, but for ``keep``.
+
+    A worker lives on from stage to stage; without this it would hold the tokenizers, word
+    lists and tables of all operators of a pipeline at once.
+    """
+    held = [c for c in _caches if c and c is not keep]
+    for cache in held:
+        cache.clear()
+    if held:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # glibc keeps freed memory otherwise
+            trim(0)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return pc.fill_null(column, "").to_pylist()
 

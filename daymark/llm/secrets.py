@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, first_texts, texts_of
+from .common import chunks, first_texts, fresh_start, texts_of
 from .forest import Forest
 
 SAMPLE = 2_000  # texts that lend words to the labelled findings, at most
@@ -366,7 +366,8 @@ def _scanned(model: SecretModel, limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
-        for batch in chunks(batches, "text"):
+        fresh_start()
+        for batch in chunks(batches, "text", 1 << 20):
             texts = texts_of(batch.column("text"))
             spans, scores = model.findings(texts)
             owner, start, end = np.array(spans, np.int64).reshape(-1, 3).T
@@ -398,7 +399,8 @@ def redacted(text: str, spans: list[tuple[int, int]]) -> str:
 
 def _redacted(model: SecretModel, limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        fresh_start()
+        for batch in chunks(batches, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
             spans, scores = model.findings([t or "" for t in texts])
             kept: dict[int, list[tuple[int, int]]] = {}

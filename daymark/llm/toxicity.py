@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, first_texts, texts_of
+from ..session import materialised
+from .common import chunks, first_texts, fresh_start, texts_of
 from .logistic import Logistic
 
 SAMPLE = 20_000  # labelled rows of either class that are learnt from, at most
@@ -33,6 +34,7 @@ SHORTEST, LONGEST = 4, 9  # letters of a stem; shorter words are terms as they a
 FUZZY_WORD, FUZZY_STEM = 5, 5  # letters from which one may be wrong
 WINDOW = 48  # letters on each side of a hit that are read
 WORD = re.compile(r"\w+")
+SLICE = 1 << 20  # bytes of text whose words a task holds at once
 QUOTES = "\"'“”„«»‘’‹›`"
 REPORTS = frozenset("said says called calls quote quoted wrote word term insult sagte nannte dit dijo".split())
 
@@ -193,14 +195,18 @@ class ToxicityModel:
     logistic: Logistic
 
     def chunk_features(self, texts: list[str]) -> np.ndarray:
-        found = [set(WORD.findall(t.lower())) for t in texts]
-        words = list(set().union(*found)) if found else []
-        matched = self.automaton.match(words)
-        hits = {words[i]: divmod(int(matched[i]) - 1, 2) for i in np.flatnonzero(matched).tolist()}
+        # The distinct words of the slice; sets for each text would take many times its memory.
+        words: set[str] = set()
+        for text in texts:
+            words.update(WORD.findall(text.lower()))
+        listed = list(words)
+        matched = self.automaton.match(listed)
+        hits = {listed[i]: divmod(int(matched[i]) - 1, 2) for i in np.flatnonzero(matched).tolist()}
         rows = np.zeros((len(texts), FEATURES))
-        for i, own in enumerate(found):
-            if not own.isdisjoint(hits):
-                rows[i] = features(texts[i], hits)
+        if hits:
+            for i, text in enumerate(texts):
+                if not hits.keys().isdisjoint(WORD.findall(text.lower())):
+                    rows[i] = features(text, hits)
         return rows
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -209,8 +215,9 @@ class ToxicityModel:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and in how many toxic and other texts of the task they are."""
+    fresh_start()
     counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", SLICE):
         for text, label in zip(texts_of(batch.column("text")), batch.column("label").to_pylist()):
             for word in set(WORD.findall(text.lower())):
                 counts[word][1 - label] += 1
@@ -285,7 +292,7 @@ def lexicon(sample: DataFrame, toxic: int, other: int) -> list[Term]:
 def _feature_rows(automaton: TermAutomaton):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ToxicityModel(automaton, Logistic.blank(FEATURES))
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SLICE):
             rows = model.chunk_features(texts_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows.tolist(), pa.list_(pa.float64())), batch.column("label")], ["features", "label"]
@@ -301,10 +308,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     is empty.  Without rows of both classes every score is the share of toxic rows, or 0.
     """
     rows = labelled.filter("label IN (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), "label")
+    rows = materialised(rows, "toxicity-labelled")
     parts = [first_texts(rows.filter(F.col("label") == k), sample) for k in (1, 0)]
     chosen = parts[0].unionByName(parts[1]).select("text", F.col("label").cast("int").alias("label"))
     width = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chosen = chosen.repartition(min(width, 64))
+    # Written once: the counts, the lexicon and the features below all read it.
+    chosen = materialised(chosen.repartition(min(width, 64)), "toxicity-rows")
     numbers = {r.label: r["count"] for r in chosen.groupBy("label").count().collect()}
     toxic, other = numbers.get(1, 0), numbers.get(0, 0)
     if not toxic or not other:
@@ -317,7 +326,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
 
 def _scored(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        fresh_start()
+        for batch in chunks(batches, "text", SLICE):
             scores = model.scores(texts_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
@@ -331,7 +341,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def _clean(model: ToxicityModel, limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        fresh_start()
+        for batch in chunks(batches, "text", SLICE):
             yield batch.filter(pa.array(model.scores(texts_of(batch.column("text"))) < limit))
 
     return run
