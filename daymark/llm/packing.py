@@ -251,7 +251,7 @@ def pack(
     histogram[0] = 0
     made = plan(histogram, window)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartition(width, "rest", "bucket").sortWithinPartitions("rest", "bucket", "doc_id", "n")
+    ordered = tokens.repartition(width, "rest", "bucket").sortWithinPartitions("rest", "bucket", "doc_id", "n", "ids")
     return ordered.mapInArrow(_pieces(made, groups, window), PIECE)
 
 

@@ -19,14 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import chunks, crc_of, ragged, split_points, texts_of
-from .tokens import WordEncoder, default_path
+from .common import chunks, crc_of, fresh_start, ragged, split_points, texts_of, worker_cache
+from .tokens import default_path
 
 SPACE = "▁"
 WORD = re.compile(r"\n| *[^ \n]+| +")
 _BASE = 0x9E3779B97F4A7C15
+WORDS = 400_000
 
 
 class Pieces:
@@ -105,13 +107,48 @@ class Pieces:
         return [data[low:high].removeprefix(b" ") for low, high in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-class PieceEncoder(WordEncoder):
-    """Encodes texts by a piece file, each distinct word once."""
+class PieceEncoder:
+    """Encodes texts by a piece file, each distinct word once; up to ``WORDS`` of them are kept."""
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         self._forget()
 
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.lengths = np.zeros(1 << 14, np.int64)
+
+    def _store(self, words: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        have, known = self.used, len(self.place)
+        while len(self.ids) < have + len(flat):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.starts) < known + len(words):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.ids[have : have + len(flat)] = flat
+        self.starts[known : known + len(words)] = have + split_points(lengths)[:-1]
+        self.lengths[known : known + len(words)] = lengths
+        self.place.update(zip(words, range(known, known + len(words))))
+        self.used = have + len(flat)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's start (one more entry than texts); null is empty."""
+        if len(self.place) > WORDS:
+            self._forget()
+        split = self.words_of(pc.fill_null(column, ""))
+        words = [w for s in split for w in s]
+        new = set(words).difference(self.place)
+        if new:
+            self._learn(new)
+        codes = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        lengths = self.lengths[codes]
+        ids = self.ids[ragged(self.starts[codes], lengths)] if len(codes) else np.zeros(0, np.uint32)
+        at = split_points(lengths)[split_points(np.array([len(s) for s in split], np.int64))]
+        return ids, at
+
     def words_of(self, column: pa.Array) -> list[list]:
         return [WORD.findall(" " + t.replace(SPACE, " ")) if t else [] for t in column.to_pylist()]
 
@@ -128,11 +165,12 @@ class PieceEncoder(WordEncoder):
                 self._store(words[low : low + step], flat, counts)
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, PieceEncoder] = worker_cache()
 
 
 def encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
+        fresh_start()
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
 

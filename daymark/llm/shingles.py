@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import split_points
+from .common import split_points, worker_cache
 
 WORDS = 5
 _SPACE = np.zeros(256, bool)
@@ -21,7 +21,9 @@ _LOWER[65:91] += 32
 _LOWER += 1
 _LOWER[_SPACE] = 0
 _BASE = 0x9E3779B97F4A7C15
-_made = [np.ones(1, np.uint64)] * 2
+STEP = 1 << 18  # the tables grow by so many entries
+OTHER_BASE = 0xD1342543DE82EF95  # for a second, independent hash
+_made: dict[int, list[np.ndarray]] = worker_cache()
 _PLACES = np.array(
     [0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3],
     np.uint64,
@@ -35,19 +37,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables(size: int) -> list[np.ndarray]:
+def _tables(size: int, base: int = _BASE) -> list[np.ndarray]:
     """Powers of an odd base modulo 2**64 and of its inverse, for so many bytes and one."""
-    if len(_made[0]) <= size:
-        length = 1 << size.bit_length()
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            factors = np.full(length, base, np.uint64)
+    if base not in _made or len(_made[base][0]) <= size:
+        length = (size // STEP + 1) * STEP
+        _made[base] = []
+        for factor in (base, pow(base, -1, 1 << 64)):
+            factors = np.full(length, factor, np.uint64)
             factors[0] = 1
-            _made[i] = np.cumprod(factors)
-    return _made
+            _made[base].append(np.cumprod(factors))
+    return _made[base]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, and where each text's words start (one more entry than texts)."""
+def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, where every word starts and ends, and where each text's words start."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -66,10 +69,21 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     # A word ends at the first white byte or text start behind its own start.
     ends = np.flatnonzero(last)
     ends = ends[np.searchsorted(ends, starts, "right")] if len(starts) else starts
-    powers, inverse = _tables(len(raw))
+    return raw, starts, ends, np.searchsorted(starts, bounds)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """The hash of each span of bytes, A-Z taken as lower case."""
+    powers, inverse = _tables(len(raw), base)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_LOWER[raw] * powers[: len(raw)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts]), np.searchsorted(starts, bounds)
+    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, and where each text's words start (one more entry than texts)."""
+    raw, starts, ends, at = word_spans(column)
+    return span_hashes(raw, starts, ends), at
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:

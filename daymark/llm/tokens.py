@@ -1,8 +1,9 @@
 """Token ids of many texts by the ``tokenizers`` library, each distinct word encoded once.
 
 The word-level vocabulary drops white space and never merges across it, so the ids of a text
-are those of its words, one after the other.  A task keeps the ids of the words it has met,
-up to ``WORDS`` of them, and then starts afresh.
+are those of its words, one after the other.  A task keeps the ids of words it has met, under
+two independent 64-bit hashes of each, in sorted arrays.  There are two generations of them:
+when the newer one is full it becomes the older, and words that are met again move on.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ import os
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-from .common import ragged, split_points
+from .common import fresh_start, ragged, split_points, texts_of, worker_cache
+from .shingles import OTHER_BASE, span_hashes, word_spans
 
-WORDS = 400_000
-SIGNS = ",.;:!?%$&*#|"  # never one token with the letters before them
+WORDS = 1_000_000  # of both generations; about 50 bytes each
+SIGNS = b",.;:!?%$&*#|"  # never one token with the letters before them
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -25,6 +26,44 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+class _Generation:
+    """Words by their hashes, and the ids of each."""
+
+    def __init__(self) -> None:
+        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.place = np.zeros(0, np.int64)  # of a word in the order of coming
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Where each word is, -1 for none.  Two words with one first hash are both taken for unknown."""
+        if not len(self.first):
+            return np.full(len(first), -1)
+        at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        return np.where((self.first[at] == first) & (self.second[at] == second), self.place[at], -1)
+
+    def ids_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = self.lengths[places]
+        return self.ids[ragged(self.starts[places], lengths)] if len(places) else np.zeros(0, np.uint32), lengths
+
+    def add(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        have, known, many = self.used, len(self.first), len(first)
+        while len(self.ids) < have + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.starts) < known + many:
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.ids[have : have + len(ids)] = ids
+        self.starts[known : known + many] = have + split_points(lengths)[:-1]
+        self.lengths[known : known + many] = lengths
+        self.used = have + len(ids)
+        order = np.argsort(first, kind="stable")
+        at = np.searchsorted(self.first, first[order])
+        self.first = np.insert(self.first, at, first[order])
+        self.second = np.insert(self.second, at, second[order])
+        self.place = np.insert(self.place, at, known + order)
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer file whose pieces stay within words parted by white space."""
 
@@ -33,78 +72,82 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
-
-    def _store(self, words: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
-        have, known = self.used, len(self.place)
-        while len(self.ids) < have + len(flat):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.starts) < known + len(words):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.ids[have : have + len(flat)] = flat
-        self.starts[known : known + len(words)] = have + split_points(lengths)[:-1]
-        self.lengths[known : known + len(words)] = lengths
-        self.place.update(zip(words, range(known, known + len(words))))
-        self.used = have + len(flat)
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Encode words; letters with signs behind them are put together from the two parts."""
-        whole, cut = [], []
-        for word in new:
-            text = word.decode()
-            stem = text.rstrip(SIGNS)
-            if len(stem) < len(text) and stem.isalpha():
-                stem = stem.encode()
-                cut.append((word, stem, word[len(stem) :]))
-            else:
-                whole.append(word)
-        parts = {p for _, *both in cut for p in both}
-        whole += parts.difference(self.place).difference(whole)
-        if whole:
-            coded = self.tokenizer.encode([w.decode() for w in whole], is_pretokenized=True, add_special_tokens=False)
-            lengths = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(whole))
-            self._store(whole, np.array(coded.ids, np.uint32), lengths)
-        # A stem may by now be known as a word of its own, and so may what was cut.
-        cut = [c for c in cut if c[0] not in self.place]
-        pairs = np.fromiter((self.place[p] for _, *both in cut for p in both), np.int64, 2 * len(cut))
-        lengths = self.lengths[pairs]
-        flat = self.ids[ragged(self.starts[pairs], lengths)] if len(pairs) else pairs
-        self._store([c[0] for c in cut], flat, lengths.reshape(-1, 2).sum(1))
-
-    def words_of(self, column: pa.Array) -> list[list]:
-        # Lower case is the vocabulary's own first step; here it makes fewer distinct words.
-        return [t.lower().split() for t in column.cast(pa.binary()).to_pylist()]
+        self.now, self.before = _Generation(), _Generation()
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        flat = np.fromiter((i for ids in found for i in ids), np.uint32)
+        return flat, np.fromiter(map(len, found), np.int64, len(found))
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words; letters with signs behind them are put together from the two."""
+        pieces: dict[bytes, int] = {}
+        parts = np.zeros((len(words), 2), np.int64)  # -1 for no second part
+        for k, word in enumerate(words):
+            stem = word.rstrip(SIGNS)
+            cut = len(stem) < len(word) and stem.decode().isalpha()
+            parts[k, 0] = pieces.setdefault(stem if cut else word, len(pieces))
+            parts[k, 1] = pieces.setdefault(word[len(stem) :], len(pieces)) if cut else -1
+        raw, starts, ends, _ = word_spans(pa.array(list(pieces), pa.binary()).cast(pa.string()))
+        hashes = [span_hashes(raw, starts, ends, *base) for base in ((), (OTHER_BASE,))]
+        held = self.now.find(*hashes)
+        new = np.flatnonzero(held < 0)
+        listed = list(pieces)
+        if len(new):
+            flat, lengths = self._plain([listed[k].decode() for k in new.tolist()])
+            self._keep(hashes[0][new], hashes[1][new], flat, lengths)
+        held = self.now.find(*hashes)
+        if (held < 0).any():  # two of them share a hash
+            return self._plain([word.decode() for word in words])
+        flat, lengths = self.now.ids_of(held)
+        at = split_points(lengths)
+        flat_parts = parts[parts >= 0]
+        lengths = np.where(parts >= 0, lengths[parts], 0)
+        return flat[ragged(at[flat_parts], np.diff(at)[flat_parts])], lengths.sum(1)
+
+    def _keep(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Add what is not there yet; a word and a part of another may be the same."""
+        fresh = np.flatnonzero(self.now.find(first, second) < 0)
+        at = split_points(lengths)
+        self.now.add(first[fresh], second[fresh], ids[ragged(at[fresh], lengths[fresh])], lengths[fresh])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's start (one more entry than texts); null is empty."""
-        if len(self.place) > WORDS:
-            self._forget()
-        split = self.words_of(pc.fill_null(column, ""))
-        words = [w for s in split for w in s]
-        new = set(words).difference(self.place)
-        if new:
-            self._learn(new)
-        codes = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[codes]
-        ids = self.ids[ragged(self.starts[codes], lengths)] if len(codes) else np.zeros(0, np.uint32)
-        at = split_points(lengths)[split_points(np.array([len(s) for s in split], np.int64))]
-        return ids, at
-
-
-_encoders: dict[str, WordEncoder] = {}
+        if len(self.now.first) > WORDS // 2:
+            self.now, self.before = _Generation(), self.now
+        raw, starts, ends, at = word_spans(column)
+        first, second = span_hashes(raw, starts, ends), span_hashes(raw, starts, ends, OTHER_BASE)
+        kinds, example, which = np.unique(first, return_index=True, return_inverse=True)
+        seconds = second[example]
+        new = np.flatnonzero(self.now.find(kinds, seconds) < 0)
+        old = self.before.find(kinds[new], seconds[new])
+        moved, learnt = new[old >= 0], new[old < 0]
+        if len(moved):
+            self._keep(kinds[moved], seconds[moved], *self.before.ids_of(old[old >= 0]))
+        if len(learnt):
+            data = raw.tobytes()
+            spans = zip(starts[example[learnt]].tolist(), ends[example[learnt]].tolist())
+            # Lower case is the vocabulary's own first step; here it makes fewer distinct words.
+            words = [data[low:high].lower() for low, high in spans]
+            self._keep(kinds[learnt], seconds[learnt], *self._encoded(words))
+        places = self.now.find(kinds, seconds)
+        if (places < 0).any() or (seconds[which] != second).any():
+            # Two words share a hash: the texts are encoded as they are.
+            flat, lengths = self._plain(texts_of(column))
+            return flat, split_points(lengths)
+        codes = places[which]
+        lengths = self.now.lengths[codes]
+        ids = self.now.ids[ragged(self.now.starts[codes], lengths)] if len(codes) else np.zeros(0, np.uint32)
+        return ids, split_points(lengths)[at]
+
+
+_encoders: dict[str, WordEncoder] = worker_cache()
 
 
 def encoder(path: str) -> WordEncoder:
     """The task's encoder of that file, kept from one task to the next."""
     if path not in _encoders:
+        fresh_start()
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 

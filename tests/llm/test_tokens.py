@@ -251,3 +251,44 @@ def test_dense_lengths_have_triples_of_a_bounded_number():
     triples = combos[combos[:, 3] > 0]
     assert (triples[:, [0, 2, 3]].sum(1) == 2048).all() and 30_000 < len(triples) <= packing.TRIPLES
     assert len(np.unique(triples[:, 0])) > 100
+
+
+def texts_and_ids(tokenizer, texts):
+    import pyarrow as pa
+
+    column = pa.array(texts, pa.string())
+    return column, [e.ids for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def encoded(encoder, column):
+    ids, at = encoder.encode(column)
+    return [ids[low:high].tolist() for low, high in zip(at[:-1], at[1:])]
+
+
+def test_word_encoder_over_generations(tokenizer, monkeypatch):
+    """Words that come back after two changes of generation, and signs behind known stems."""
+    from daymark.llm import tokens
+
+    monkeypatch.setattr(tokens, "WORDS", 20)
+    encoder = tokens.WordEncoder(default_path())
+    for k in range(12):
+        texts = [f"word{k} word{k}, Word{k - 1}!? it's é{k}. same", None, "same, SAME 12.5%", f"new{k * 7}\x0bx\ty"]
+        column, expected = texts_and_ids(tokenizer, texts)
+        assert encoded(encoder, column) == expected
+        assert len(encoder.now.first) <= 10 + 4 * 20
+
+
+def test_word_encoder_where_hashes_meet(tokenizer, monkeypatch):
+    """With a first hash that words of one length share the texts are still encoded rightly."""
+    from daymark.llm import tokens
+
+    real = tokens.span_hashes
+
+    def by_length(raw, starts, ends, *base):
+        return real(raw, starts, ends, *base) if base else (ends - starts).astype(np.uint64)
+
+    monkeypatch.setattr(tokens, "span_hashes", by_length)
+    encoder = tokens.WordEncoder(default_path())
+    for texts in (["one three", ""], ["two, two one", "ten, six."], ["six, ten", "three"]):
+        column, expected = texts_and_ids(tokenizer, texts)
+        assert encoded(encoder, column) == expected
