@@ -55,12 +55,12 @@ def ingest_new_days(spark: SparkSession, path: str, target: Table, day: str = DA
     The day column may be spelled in any case; text that is no date counts as a
     missing day and is reported, not loaded.
     """
-    return sync_days(read_csv(spark, path), target, day=day)
+    return sync_days(read_csv(spark, path, line_breaks=True), target, day=day)
 
 
 def ingest_all(spark: SparkSession, path: str, target: Table, day: str = DAY) -> None:
     """Load all of a CSV file, whatever the target holds.  Loading twice doubles."""
-    append_by_day(target, with_day(read_csv(spark, path), day), day)
+    append_by_day(target, with_day(read_csv(spark, path, line_breaks=True), day), day)
 
 
 def ingest_folder(

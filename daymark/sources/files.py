@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import quoted
+from .csvrecords import broken_records
 
 # The file suffixes that mark a path rather than a table name.
 SUFFIXES = (".csv", ".json", ".parquet")
@@ -52,10 +53,18 @@ def read_csv(
     """CSV with a header row.  Every column is a string unless a schema is given;
     neither form makes an inference pass over the data.
 
-    ``line_breaks`` says that quoted fields may hold some; a file is then read by one task.
+    ``line_breaks`` says that quoted fields may hold some.  That costs a look for quotes, and
+    where there are any a second reading; files stay split over tasks (see ``csvrecords``).
     """
-    reader = spark.read.options(**CSV_OPTIONS, multiLine=str(line_breaks).lower())
-    return (reader.schema(schema) if schema else reader).csv(path)
+    reader = spark.read.options(**CSV_OPTIONS)
+    records = broken_records(spark, path) if line_breaks else None
+    if records is None:
+        return (reader.schema(schema) if schema else reader).csv(path)
+    # Spark looks at the first record only.
+    schema = schema or reader.option("multiLine", True).csv(path).schema
+    fields = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema)
+    row = F.from_csv("record", F.lit(fields), CSV_OPTIONS | {"multiLine": "true"})
+    return records.select(row.alias("row")).select("row.*")
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -68,11 +77,13 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def read_any(spark: SparkSession, source: str, schema: T.StructType | None = None) -> DataFrame:
+def read_any(
+    spark: SparkSession, source: str, schema: T.StructType | None = None, line_breaks: bool = True
+) -> DataFrame:
     """A file by its suffix, anything else as a table name."""
     match suffix_of(source):
         case ".csv":
-            return read_csv(spark, source, schema)
+            return read_csv(spark, source, schema, line_breaks)
         case ".json":
             return read_json(spark, source, schema)
         case ".parquet":
