@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from .plans import ingest, snapshots
 from .plans.run import run
 from .plans.slices import export_day
-from .session import Settings, build_session
+from .session import ObjectStore, Settings, build_session
 from .sources.tables import LAYERS, Lake
 from .synth.companies import CAMEL_CASE, TITLE_CASE
 from .synth.landing import land
@@ -24,6 +24,14 @@ def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="daymark")
     parser.add_argument("--root", required=True, help="folder of the lake")
     parser.add_argument("--ref", default="main", help="branch of the lake")
+    parser.add_argument("--conf", action="append", default=[], metavar="KEY=VALUE", help="a Spark setting, catalogs included")
+    parser.add_argument(
+        "--store",
+        action="append",
+        default=[],
+        metavar="BUCKET=PREFIX",
+        help="a bucket, its credentials being read from PREFIX_ACCESS_KEY_ID and so on",
+    )
     jobs = parser.add_subparsers(dest="job", required=True)
 
     def job(name: str, text: str, *tables: str) -> argparse.ArgumentParser:
@@ -71,9 +79,22 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
+def _pairs(texts: Sequence[str], option: str) -> list[tuple[str, str]]:
+    pairs = [tuple(text.split("=", 1)) for text in texts]
+    if wrong := [p[0] for p in pairs if len(p) < 2 or not p[0]]:
+        raise SystemExit(f"{option} takes two parts around a '=': {', '.join(map(repr, wrong))}")
+    return pairs
+
+
+def _settings(args: argparse.Namespace) -> Settings:
+    """What the command line says of the session; the last of equal keys holds."""
+    stores = tuple(ObjectStore.from_env(*pair) for pair in _pairs(args.store, "--store"))
+    return Settings(f"daymark-{args.job}", object_stores=stores, extra=dict(_pairs(args.conf, "--conf")))
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
     args = _parser().parse_args(argv)
-    spark = spark or build_session(Settings(f"daymark-{args.job}"))
+    spark = spark or build_session(_settings(args))
     lake = Lake(spark, args.root.rstrip("/"), args.ref).create_layers()
 
     if args.job == "bootstrap":

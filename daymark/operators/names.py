@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialised
 
 
+def _without_dashes(text: Column) -> Column:
+    """The text in a form without ``-``; different texts have different ones."""
+    return F.replace(F.replace(text, F.lit("~"), F.lit("~0")), F.lit("-"), F.lit("~1"))
+
+
 def unique_names(df: DataFrame, name: str, key: str, out: str = "unique_name") -> DataFrame:
     """The first holder of a name (lowest key) keeps it, others get ``-key`` appended.
 
@@ -17,12 +22,13 @@ def unique_names(df: DataFrame, name: str, key: str, out: str = "unique_name") -
     their stored size lets Spark broadcast them, and ``df`` is not shuffled.
 
     A made name that some row has from the start gets ``-key`` once more, until no row has
-    it.  Made names end in their own key, so they never meet one another.
+    it.  In an appended key ``~`` stands as ``~0`` and ``-`` as ``~1``: so what follows the last
+    ``-`` of a made name is its own key, whatever the keys are, and made names never meet.
     """
     holders = materialised(df.groupBy(name).agg(F.min(key).alias(key)), "first-holders")
     first = holders.select(key).withColumn("_first", F.lit(True))
     given = holders.select(F.col(name).alias("_made"))
-    ending = F.concat(F.lit("-"), F.col(key).cast("string"))
+    ending = F.concat(F.lit("-"), _without_dashes(F.col(key).cast("string")))
     others = df.join(first, key, "left_anti").select(key, F.concat(F.col(name), ending).alias("_made"))
     # Per key how often it is appended; most have no row here.
     again, taken = None, others.join(given, "_made", "left_semi")

@@ -37,7 +37,8 @@ def bootstrap(
 ) -> Table:
     """Load a whole file or table into ``target``.
 
-    ``append`` adds the rows again on every run; ``overwrite`` replaces them.
+    ``append`` adds the rows again on every run; ``overwrite`` replaces them.  A table that
+    exists keeps its layout: asking for another one with ``append`` is an error.
     ``cluster`` is as for ``append`` of ``sinks.tables``.
     """
     df = read_any(spark, source, schema)
@@ -45,6 +46,10 @@ def bootstrap(
         return replace(target, df, partition_by, cluster)
     if mode != "append":
         raise ValueError(f"mode {mode!r} is neither append nor overwrite")
+    if partition_by and target.exists():
+        held = target.partition_columns()
+        if [c.lower() for c in held] != [c.lower() for c in partition_by]:
+            raise ValueError(f"{target.identifier} is partitioned by {held}, not {list(partition_by)}")
     append(create_like(target, df, partition_by), df, cluster)
     return target
 

@@ -9,7 +9,7 @@ from ..plans.ingest import bootstrap, stage
 from ..session import file_system, scratch_dir
 from ..sinks.files import write_csv, write_entity_csv, write_parquet
 from ..sinks.tables import create_as
-from ..sources.files import latest_file, query_in_place, read_csv, read_json, read_parquet
+from ..sources.files import latest_dated_file, latest_file, query_in_place, read_csv, read_json, read_parquet
 from ..sources.sql import query as sql_query
 from ..sources.tables import Lake, attach
 from .registry import query, scratch_lake, table
@@ -160,6 +160,28 @@ def latest_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_parquet(spark, newest.rsplit("/", 1)[0])
 
 
+@query("SELECT s_suppkey, s_name, s_acctbal + 2 AS s_acctbal FROM supplier")
+def latest_dated_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where exports are named by day: the newest day counts, whatever was touched last."""
+    root = scratch_dir(spark, "artifacts")
+    suppliers = table(spark, sf_dir, "supplier")
+    for i, day in ((2, "2024/10/02"), (1, "2024/9/30"), (0, "2023/12/31")):
+        balance = (F.col("s_acctbal") + i).alias("s_acctbal")
+        write_parquet(suppliers.select("s_suppkey", "s_name", balance), f"{root}/{day}/supplier")
+    newest = latest_dated_file(spark, root, "*.parquet").first()["path"]
+    return read_parquet(spark, newest.rsplit("/", 1)[0])
+
+
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents"
+)
+def load_by_suffix_csv_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lake = scratch_lake(spark)
+    path = f"{lake.root}/landing/documents.csv"
+    write_csv(table(spark, sf_dir, "documents"), path)
+    return stage(lake, path)
+
+
 @query("SELECT * FROM customer")
 def bootstrap_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch_lake(spark).table("bronze", "customer")

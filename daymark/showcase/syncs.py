@@ -24,6 +24,7 @@ from .registry import (
     orders_by_day,
     query,
     scratch_lake,
+    table,
 )
 
 # What the target holds before a sync: only some rows of the older days.  The
@@ -174,6 +175,24 @@ def csv_ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.read()
 
 
+@query(
+    """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, source,
+           DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS DATE
+    FROM documents
+    """
+)
+def csv_ingest_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks and quotes, loaded as new days; the second load adds nothing."""
+    day = F.expr("date_add(DATE'2024-01-01', int(doc_id % 30))").alias("date")
+    path = scratch_dir(spark, "documents-csv")
+    write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "source", day), path)
+    target = scratch_lake(spark).table("bronze", "documents")
+    for _ in range(2):
+        ingest_new_days(spark, path, target)
+    return target.read()
+
+
 @query(f"{EVENT_TEXT_SQL} UNION ALL {EVENT_TEXT_SQL}")
 def csv_ingest_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch_lake(spark).table("bronze", "events")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import DAY
 from ..session import scratch_dir
-from ..sinks.files import publish_dir, write_by_owner, write_parquet
+from ..sinks.files import publish_dir, read_owners, write_by_owner, write_owner_ranges, write_parquet
 from ..sinks.tables import (
     append,
     append_by_day,
@@ -106,6 +106,21 @@ def files_by_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(customers.schema).parquet(path).select(*customers.columns)
 
 
+@query("SELECT * FROM orders")
+def files_by_many_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    path = write_owner_ranges(orders, scratch_dir(spark, "owners"), "o_custkey", "20240101-000000")
+    return spark.read.parquet(path)
+
+
+@query("SELECT * FROM orders WHERE o_custkey = (SELECT max(o_custkey) FROM orders)")
+def one_of_many_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    path = write_owner_ranges(orders, scratch_dir(spark, "owners"), "o_custkey", "20240101-000000", 1 << 20)
+    last = orders.agg(F.max("o_custkey")).first()[0]
+    return read_owners(spark, path, "o_custkey", [last])
+
+
 @query("SELECT * FROM part")
 def table_exists_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load a table only where it is absent: the second round must add nothing."""

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import quoted
+from ..session import file_system
 from .csvrecords import broken_records
 
 # The file suffixes that mark a path rather than a table name.
 SUFFIXES = (".csv", ".json", ".parquet")
 
+# Folder names that are days or times: groups of digits with the usual signs between.
+DATED = re.compile(r"\d{1,14}(?:[-_.:T ]\d{1,9}){0,6}Z?")
+
 # A header row, and timestamps to the microsecond: the default keeps milliseconds.  Quotes
 # are doubled, padding stays, and NULL has a mark of its own beside empty text.
 CSV_OPTIONS = {
@@ -115,3 +120,35 @@ def latest_file(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame
         .orderBy(F.col("modified").desc(), F.col("path").desc())
         .limit(1)
     )
+
+
+def _age(name: str) -> tuple[int, ...] | None:
+    """The numbers of a folder named after a day or time, ``key=`` before it or not; else None."""
+    text = name.rsplit("=", 1)[-1]
+    return tuple(map(int, re.findall(r"\d+", text))) if DATED.fullmatch(text) else None
+
+
+def _folders(spark: SparkSession, path: str) -> Iterator[tuple[str, str]]:
+    """Name and path of each folder in a folder; nothing deeper is listed."""
+    fs, jpath = file_system(spark, path)
+    found = fs.listStatusIterator(jpath)
+    while found.hasNext():
+        status = found.next()
+        if status.isDirectory():
+            yield status.getPath().getName(), status.getPath().toString()
+
+
+def latest_dated_file(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """As ``latest_file``, where exports lie in folders named after their day or time.
+
+    Such folders may be nested (``2024/01/10``, ``year=2024/month=1``) and have any key before
+    ``=``.  The newest is entered first, an older one only if no file matches there: what old
+    exports hold is never listed.  Folders without a date below them are looked through whole,
+    by Spark.  Files beside dated folders count only if none of these has a match.
+    """
+    dated = [(age, path) for name, path in _folders(spark, root) if (age := _age(name)) is not None]
+    for _, path in sorted(dated, reverse=True):
+        found = latest_dated_file(spark, path, pattern)
+        if not found.isEmpty():
+            return found
+    return latest_file(spark, root, pattern)

@@ -134,3 +134,14 @@ def test_few_names_do_not_shuffle_the_rows(spark):
     df = spark.range(10_000).select("id", (F.col("id") % 3).cast("string").alias("name"))
     text = plan(unique_names(df, "name", "id"), "simple")
     assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
+def test_any_keys_make_different_names(spark):
+    keys = ["-5", "5", "b-1", "1", "~1", "~0", "~", "-", "--", "~-", "-~", "", "1-", "-1-1", "1-1"]
+    rows = [(key, name) for key in keys for name in ("a", "a-", "b", "a-~15")]
+    texts = spark.createDataFrame([(f"{k}{n}{i}", n) for i, (k, n) in enumerate(rows)], "id string, name string")
+    made = [r["unique_name"] for r in unique_names(texts, "name", "id").collect()]
+    assert len(set(made)) == len(rows)
+    numbers = spark.createDataFrame([(-9, "a"), (-5, "a"), (5, "a-"), (1, "a-"), (7, "a")], "id int, name string")
+    made = {r["id"]: r["unique_name"] for r in unique_names(numbers, "name", "id").collect()}
+    assert made == {-9: "a", -5: "a-~15", 1: "a-", 5: "a--5", 7: "a-7"}

@@ -67,3 +67,17 @@ def test_materialised_has_a_known_size(spark):
     df = materialised(spark.range(100).toDF("a").groupBy("a").count(), "t")
     stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     assert stats < 100_000 and df.count() == 100
+
+
+def test_settings_from_the_command_line(monkeypatch):
+    from daymark.__main__ import _parser, _settings
+
+    for part in ("ACCESS_KEY_ID", "SECRET_ACCESS_KEY", "REGION"):
+        monkeypatch.setenv(f"RAW_{part}", part.lower())
+    given = ["--root", "x", "--conf", "spark.sql.catalog.lake=a.B", "--conf", "k=v=w", "--store", "landing=RAW", "restore", "s"]
+    conf = _settings(_parser().parse_args(given)).conf()
+    assert conf["spark.sql.catalog.lake"] == "a.B" and conf["k"] == "v=w"
+    assert conf["spark.hadoop.fs.s3a.bucket.landing.access.key"] == "access_key_id"
+    for wrong in ("--conf", "--store"):
+        with pytest.raises(SystemExit, match="two parts"):
+            _settings(_parser().parse_args(["--root", "x", wrong, "alone", "restore", "s"]))

@@ -11,6 +11,7 @@ from daymark.sinks.files import write_csv
 from daymark.sinks.tables import append, create_as, create_like
 from daymark.sources.files import (
     base_name,
+    latest_dated_file,
     latest_file,
     read_any,
     read_csv,
@@ -148,3 +149,47 @@ def test_bootstrap_modes(spark, lake, sf_dir):
     assert bootstrap(spark, source, target, ["n_regionkey"], mode="overwrite").read().count() == 25
     with pytest.raises(ValueError, match="neither"):
         bootstrap(spark, source, target, mode="merge")
+
+
+def test_bootstrap_does_not_ignore_another_layout(spark, lake, sf_dir):
+    target = lake.table("bronze", "nation")
+    source = f"{sf_dir}/nation.parquet"
+    bootstrap(spark, source, target, ["n_regionkey"], cluster=False)
+    with pytest.raises(ValueError, match="is partitioned by"):
+        bootstrap(spark, source, target, ["n_name"])
+    assert target.read().count() == 25
+    assert bootstrap(spark, source, target, ["N_REGIONKEY"], cluster=False).read().count() == 50
+    assert bootstrap(spark, source, target, cluster=False).read().count() == 75
+
+
+def test_old_exports_are_not_listed(spark, monkeypatch):
+    from daymark.sources import files
+
+    root = scratch_dir(spark, "artifacts")
+
+    def put(folder, name):
+        os.makedirs(os.path.join(root, folder), exist_ok=True)
+        with open(os.path.join(root, folder, name), "w") as out:
+            out.write(name)  # Spark leaves out empty files
+
+    listed = []
+    real = files._folders
+    monkeypatch.setattr(files, "_folders", lambda s, p: (listed.append(p), real(s, p))[1])
+    for year in range(2018, 2024):
+        for month in range(1, 13):
+            put(f"year={year}/month={month}/part", "a.gz")
+    put("year=2023/month=12", "later.txt")
+
+    def newest(pattern="*.gz"):
+        listed.clear()
+        return [r["path"].split("artifacts-")[-1].split("/", 1)[-1] for r in latest_dated_file(spark, root, pattern).collect()]
+
+    assert newest() == ["year=2023/month=12/part/a.gz"]
+    assert len(listed) == 3  # root, newest year, newest month
+    put("year=2024/month=2", "none.txt")
+    put("other", "z.gz")
+    assert newest() == ["year=2023/month=12/part/a.gz"] and len(listed) == 5
+    assert newest("later.*") == ["year=2023/month=12/later.txt"]
+    assert newest("*.zip") == []
+    assert files._age("load=20240101-120000") < files._age("20240102-000000")
+    assert files._age("day=9") < files._age("day=10") and files._age("part") is None

@@ -169,3 +169,25 @@ def test_a_hot_day_is_split_over_tasks(spark, lake):
     other = files_under(f"{target.location}/DATE=2024-01-02", ".parquet")
     assert len(hot) >= 4 and len(other) == 1
     assert target.read().count() == 200_000
+
+
+def test_owner_ranges_open_only_their_files(spark):
+    from daymark.sinks.files import INDEX, read_owners, write_owner_ranges
+
+    # One owner holds a third of all rows, some rows have none.
+    owner = F.expr("CASE WHEN id % 3 = 0 THEN 77 WHEN id % 50 = 1 THEN NULL ELSE id % 5000 END")
+    df = spark.range(30_000).select("id", owner.alias("own er"), F.lit("x").alias("t"))
+    path = write_owner_ranges(df, scratch_dir(spark, "owners"), "own er", "20240101-000000", 16_000)
+    assert path.endswith("/load=20240101-000000")
+    index = spark.read.parquet(f"{path}/{INDEX}")
+    sizes = [r["rows"] for r in index.collect()]
+    assert len(sizes) > 20 and max(sizes) < 3 * 30_000 / len(sizes)
+    assert spark.read.parquet(path).count() == 30_000
+    for asked in ([4001], [77], [None], [1, None, 4999], [999_999], []):
+        found = read_owners(spark, path, "own er", asked)
+        known = [a for a in asked if a is not None]
+        wanted = df.where(F.col("`own er`").isin(known) | (F.lit(None in asked) & F.col("`own er`").isNull()))
+        assert sorted(r["id"] for r in found.collect()) == sorted(r["id"] for r in wanted.collect())
+    assert len(read_owners(spark, path, "own er", [4001]).inputFiles()) <= 2
+    empty = write_owner_ranges(df.limit(0), scratch_dir(spark, "owners"), "own er", "1")
+    assert read_owners(spark, empty, "own er", [1]).collect() == []
