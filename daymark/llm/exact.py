@@ -27,32 +27,28 @@ def exact_groups(
 
     Rows meet by ``digest``; each is then compared, byte by byte, with the text of the group's
     first row.  Where a digest is shared by different texts, its rows are grouped anew by the
-    text itself.  Only the joins see whole groups, and Spark can split those.
+    text itself.  Only digests that several rows share are looked up, and a group's first row is
+    found by digest and id, so no step but the last join brings a group together; that one has
+    two stored sides, which Spark can split or, where the shared ones are few, need not shuffle.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("body"))
     texts = texts.select("doc_id", "body", digest(F.col("body")).alias("digest"))
     first = F.min(F.struct(F.col("doc_id"))).alias("first")  # a struct, for nulls to sort first
     groups = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("size"), first)
-    groups = materialised(groups, "exact-groups")
-    several = groups.filter("size > 1")
-    lead = (
-        texts.join(several, "digest")
-        .filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-        .select("digest", F.col("body").alias("lead"))
-        .dropDuplicates(["digest"])
-    )
-    found = (
-        texts.join(groups, "digest")
-        .join(lead, "digest", "left")
-        .select(
-            "doc_id",
-            F.col("first.doc_id").alias("keep_id"),
-            F.col("size").alias("group_size"),
-            F.sha2("body", 256).alias("text_sha256"),
-            "digest",
-            (F.col("size") > 1).alias("compared"),
-            (F.col("body") == F.col("lead")).alias("same"),
-        )
+    several = materialised(groups.filter("size > 1"), "exact-groups")
+    firsts = several.select(F.col("digest").alias("of"), F.col("first.doc_id").alias("first_id"))
+    same_row = (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    lead = texts.join(firsts, same_row).select("digest", F.col("body").alias("lead")).dropDuplicates(["digest"])
+    known = materialised(several.join(lead, "digest"), "exact-leads")
+    compared = F.col("size").isNotNull()
+    found = texts.join(known, "digest", "left").select(
+        "doc_id",
+        F.when(compared, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"),
+        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        F.sha2("body", 256).alias("text_sha256"),
+        "digest",
+        compared.alias("compared"),
+        (F.col("body") == F.col("lead")).alias("same"),
     )
     found = materialised(found, "exact-rows")
     mixed = found.filter("compared AND NOT coalesce(same, false)").select("digest").distinct()
