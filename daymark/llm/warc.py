@@ -17,12 +17,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialised
@@ -63,10 +63,11 @@ def record(page: int | None, url: str | None, payload: bytes | None, digest: str
 
 def _written(folder: str, archive: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, part, held = TaskContext.get().partitionId(), 0, bytearray()
+        # Named after the attempt: a second one may get its rows in another order.
+        task, part, held = TaskContext.get().taskAttemptId(), 0, bytearray()
 
         def closed():
-            name = f"{task:06d}-{part:06d}.warc"
+            name = f"{task:08d}-{part:06d}.warc"
             put(folder, name, bytes(held))
             return pa.RecordBatch.from_pylist([{"name": name, "bytes": len(held)}])
 
@@ -82,22 +83,30 @@ def _written(folder: str, archive: int):
     return run
 
 
-def write_archives(pages: DataFrame, least: int = 0, archive: int = ARCHIVE) -> tuple[str, DataFrame]:
+def write_archives(
+    pages: DataFrame, least: int = 0, archive: int = ARCHIVE, digest: Callable[[Column], Column] = F.sha1
+) -> tuple[str, DataFrame]:
     """The folder of the archives, and ``name, bytes`` of each.
 
     Of pages with equal payloads of at least ``least`` bytes the one with the smallest id (null
     first) is written as a response; the others are revisits of it, without payload.  Null html
     counts as empty.  Rows that repeat the first one's id are all responses.
+
+    Payloads are equal if their SHA-256, digest and size are: files that share a SHA-1 are
+    public, and a page must not be lost behind a revisit of another.  What counts as an archive
+    are the names returned; what a failed task left in the folder is never read.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload"))
-    first = rows.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("pages"), F.min(F.struct("page_id")).alias("first"))
+    rows = rows.withColumn("digest", F.unhex(digest(F.col("payload")))).withColumn("size", F.octet_length("payload"))
+    rows = rows.withColumn("content", F.unhex(F.sha2("payload", 256)))
+    same = ["content", "digest", "size"]
+    first = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("pages"), F.min(F.struct("page_id")).alias("first"))
     # Only payloads that come more than once; where those are few, Spark need not move the others.
     first = materialised(first.filter("pages > 1").drop("pages"), "warc-copies")
     known = F.col("first").isNotNull()
     revisit = known & ~F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("size") >= least)
-    made = rows.join(first, ["digest", "size"], "left").select(
+    made = rows.join(first, same, "left").select(
         "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", F.col("first.page_id").alias("first")
     )
     folder = shared_dir(pages.sparkSession, "warc")

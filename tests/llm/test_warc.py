@@ -110,3 +110,41 @@ def test_first_lines_without_a_header_take_linear_time(pages):
     begin = time.perf_counter()
     assert sorted(map(tuple, archived(pages(rows)).collect()), key=str) == by_hand(rows)
     assert time.perf_counter() - begin < 60
+
+
+def test_payloads_that_share_digest_and_size_are_both_written(spark, pages):
+    import pathlib
+
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a", "one text"), (2, "b", "two text"), (3, "c", "one text")]
+    folder, files = write_archives(pages(rows), digest=lambda payload: F.lit("00" * 20))
+    names = [r["name"] for r in files.collect()]
+    body = b"".join(pathlib.Path(folder.removeprefix("file:"), n).read_bytes() for n in names)
+    assert body.count(b"WARC-Type: response") == 2 and body.count(b"WARC-Type: revisit") == 1
+    assert body.count(b"one text") == 1 and body.count(b"two text") == 1
+
+
+def test_a_second_attempt_replaces_no_file(spark, pages):
+    """Tasks run again give other names; the archives a first attempt reported stay whole."""
+    from pyspark.sql import functions as F
+
+    from daymark.llm.warc import _in_base32, _written
+    from daymark.llm.stored import shared_dir
+
+    folder = shared_dir(spark, "warc-again")
+    one = pages([(i, "u", f"text {i}") for i in range(50)]).select(
+        "page_id", "url", F.col("html").cast("binary").alias("payload"), F.unhex(F.sha1("html")).alias("digest"),
+        F.octet_length("html").alias("size"), F.lit(None).cast("long").alias("first"),
+    )
+    kinds = "page_id long, url string, payload binary, digest string, size long, first long"
+
+    def attempt(df):
+        return df.mapInArrow(_in_base32, kinds).mapInArrow(_written(folder, 4000), "name string, bytes long").collect()
+
+    first = attempt(one)
+    again = attempt(one.sortWithinPartitions(F.desc("page_id")))
+    assert not {r["name"] for r in first} & {r["name"] for r in again}
+    for made in (first, again):
+        found = read_archives(folder, spark.createDataFrame(made, "name string, bytes long"))
+        assert sorted(r["page_id"] for r in found.collect()) == list(range(50))
