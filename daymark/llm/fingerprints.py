@@ -1,9 +1,10 @@
 """Document fingerprints: every shingle hash below a fixed fraction of the hash space.
 
-A sketch keeps each distinct 5-word shingle hash below ``2**64 / scale``.  Two sketches compare
-at the larger of their scales, so texts of very unequal length give unbiased estimates of
-containment, and the sketch of a union is the union of sketches.  The scale is 8; texts of few
-shingles keep a larger fixed fraction (see ``STEPS``), else nothing would be left of them.
+A sketch keeps each distinct 5-word shingle hash below ``2**64 / SCALE``, whatever the text.  So
+that something is left of short texts it also keeps the ``LEAST`` smallest hashes of any text;
+those of a union are among those of its parts.  The sketch of a union is therefore exactly what
+``merged`` makes of the sketches.  Two sketches compare up to where both know all hashes, so
+texts of very unequal length give unbiased estimates of containment.
 """
 
 from __future__ import annotations
@@ -19,60 +20,60 @@ from pyspark.sql import DataFrame
 from .common import NULL_ID, bounds_of, chunks, places, texts_of
 from .shingles import shingle_sets
 
-# Up to so many shingles, one of so many hashes is kept; beyond, one of SCALE.
-STEPS = ((64, 1), (128, 2), (256, 4))
 SCALE = 8
+LEAST = 64
+BELOW = np.uint64((1 << 64) // SCALE)
 
 
-def scale_of(shingles: int) -> int:
-    return next((scale for most, scale in STEPS if shingles <= most), SCALE)
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """What is kept of ascending distinct hashes."""
+    return hashes[: max(int(np.searchsorted(hashes, BELOW)), LEAST)]
 
 
-def kept_hashes(hashes: np.ndarray, scale: int) -> np.ndarray:
-    """Those below the threshold; ``hashes`` ascend."""
-    if scale == 1:
-        return hashes
-    return hashes[: np.searchsorted(hashes, np.uint64((1 << 64) // scale))]
-
-
-def sketches(texts: list[str]) -> list[tuple[int, np.ndarray]]:
+def sketches(texts: list[str]) -> list[np.ndarray]:
     hashes, at = shingle_sets(pa.array(texts, pa.string()))
-    result = []
-    for low, high in zip(at[:-1], at[1:]):
-        scale = scale_of(high - low)
-        result.append((scale, kept_hashes(hashes[low:high], scale)))
-    return result
+    return [sketch_of(hashes[low:high]) for low, high in zip(at[:-1], at[1:])]
 
 
-def written(sketch: tuple[int, np.ndarray]) -> str:
+def written(sketch: np.ndarray) -> str:
     """The sketch as text: its scale, and its hashes as little-endian numbers in base64."""
-    scale, hashes = sketch
-    return f"{scale}:" + base64.b64encode(hashes.astype("<u8").tobytes()).decode()
+    return f"{SCALE}:" + base64.b64encode(sketch.astype("<u8").tobytes()).decode()
 
 
-def read(text: str) -> tuple[int, np.ndarray]:
+def read(text: str) -> np.ndarray:
     scale, _, body = text.partition(":")
-    return int(scale), np.frombuffer(base64.b64decode(body), "<u8")
+    if int(scale) != SCALE:
+        raise ValueError(f"a sketch of scale {scale}, not {SCALE}")
+    return np.frombuffer(base64.b64decode(body), "<u8")
 
 
-def merged(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of both texts' shingles taken together."""
-    scale = max(a[0], b[0])
-    return scale, np.union1d(kept_hashes(a[1], scale), kept_hashes(b[1], scale))
+    return sketch_of(np.union1d(a, b))
+
+
+def reach(sketch: np.ndarray) -> np.uint64:
+    """The greatest hash up to which the sketch lacks none of its text's."""
+    if len(sketch) < LEAST:
+        return np.uint64((1 << 64) - 1)  # all of a short text is kept
+    return max(sketch[-1], BELOW - np.uint64(1))
 
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[float, float]:
+def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float | None]:
     """Estimates of the Jaccard similarity, and of the part of ``a``'s shingles that ``b`` holds.
 
-    Two sketches without any hash are alike (1.0) if their scales agree; else nothing is known
-    to be shared and both estimates are 0.
+    Texts without shingles are alike (1.0), and such a one is held by no other (0.0).  The second
+    is None, for unknown, if ``a`` has shingles but none where both sketches know all.
     """
-    scale = max(a[0], b[0])
-    x, y = kept_hashes(a[1], scale), kept_hashes(b[1], scale)
-    if not len(x) and not len(y):
-        return (1.0, 1.0) if a[0] == b[0] else (0.0, 0.0)
+    most = min(reach(a), reach(b))
+    x, y = (s[: np.searchsorted(s, most, "right")] for s in (a, b))
+    if not len(a) and not len(b):
+        return 1.0, 1.0
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both), both / len(x) if len(x) else 0.0
+    jaccard = both / (len(x) + len(y) - both)
+    if not len(x):
+        return jaccard, None if len(a) else 0.0
+    return jaccard, both / len(x)
 
 
 def edited(text: str, following: str) -> str:

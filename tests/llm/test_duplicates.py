@@ -171,10 +171,43 @@ def test_sketches_merge_and_contain():
     a, b, both = sketches([" ".join(small), " ".join(large), " ".join(large + small)])
     assert abs(likeness(a, both)[1] - 1) < 0.01 and likeness(a, b)[1] < 0.01
     joined = merged(a, b)
-    assert set(joined[1]) <= set(both[1]) and len(joined[1]) >= len(both[1]) - 4
+    assert joined.tolist() == both.tolist()
     from daymark.llm.fingerprints import written
 
-    assert read(written(a))[0] == a[0] and (read(written(a))[1] == a[1]).all()
+    assert read(written(a)).tolist() == a.tolist()
+
+
+def test_merging_is_exact_at_every_size():
+    from daymark.llm.fingerprints import LEAST, SCALE, sketch_of
+
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 10, LEAST - 1, LEAST, LEAST + 1, 56, 130, 250, LEAST * SCALE, 3000]
+    for m in sizes:
+        for n in sizes:
+            a, b = (np.unique(rng.integers(0, 2**64, k, np.uint64, endpoint=False)) for k in (m, n))
+            b = np.unique(np.concatenate([b, a[::2]]))
+            made = merged(sketch_of(a), sketch_of(b))
+            assert made.tolist() == sketch_of(np.union1d(a, b)).tolist(), (m, n)
+
+
+def test_containment_of_short_texts_in_long_ones_is_near_or_unknown():
+    from daymark.llm.fingerprints import sketch_of
+
+    rng = np.random.default_rng(4)
+    for size in (5, 10, 20, 50, 200):
+        known, whole, half = 0, [], []
+        for _ in range(400):
+            a = np.unique(rng.integers(0, 2**64, size, np.uint64, endpoint=False))
+            rest = rng.integers(0, 2**64, 3000, np.uint64, endpoint=False)
+            inside = likeness(sketch_of(a), sketch_of(np.union1d(a, rest)))[1]
+            part = likeness(sketch_of(a), sketch_of(np.union1d(rng.permutation(a)[: size // 2], rest)))[1]
+            known += inside is not None
+            whole += [] if inside is None else [inside]
+            half += [] if part is None else [part]
+        assert set(whole) == {1.0}  # never told to be absent
+        # Unknown as often as no hash of it falls below the fraction.
+        assert abs(known / 400 - (1 - (7 / 8) ** size)) < 0.09
+        assert abs(np.mean(half) - (size // 2) / size) < 0.07
 
 
 def test_copies_go_where_ids_repeat_with_different_texts(frame):
@@ -185,3 +218,14 @@ def test_copies_go_where_ids_repeat_with_different_texts(frame):
     assert df.schema == frame(rows).schema
     found = sorted((str(r.doc_id), r.text) for r in df.collect())
     assert found == sorted([("3", "B"), ("5", "A"), ("None", "C"), ("None", "D \n"), ("7", "E"), ("8", None)], key=lambda r: (r[0], str(r[1])))
+
+
+def test_shared_digests_ids_and_nulls_are_told_apart(frame):
+    """A digest that all rows share, ids that repeat, and null ids."""
+    rows = [(2, "a"), (1, "a"), (1, "b"), (1, "b"), (None, "c"), (None, "d"), (4, "d"), (5, None), (6, " "), (7, "e")]
+    expected = sorted(map(tuple, exact_groups(frame(rows)).collect()), key=str)
+    for weak in (lambda body: F.lit("same"), lambda body: F.length(body).cast("string")):
+        assert sorted(map(tuple, exact_groups(frame(rows), digest=weak).collect()), key=str) == expected
+    keep = {(r[0], r[4][:8]): r[1:4] for r in expected}
+    a, d, e = (hashlib.sha256(t).hexdigest()[:8] for t in (b"a", b"d", b"e"))
+    assert keep[(2, a)] == (1, 2, False) and keep[(4, d)] == (None, 2, False) and keep[(7, e)] == (7, 1, True)
