@@ -11,6 +11,9 @@ from ..session import materialised
 from .common import WHITE
 
 
+SENT = 400_000  # shared digests of some 100 bytes each
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
 
@@ -27,29 +30,38 @@ def exact_groups(
 
     Rows meet by ``digest``; each is then compared, byte by byte, with the text of the group's
     first row.  Where a digest is shared by different texts, its rows are grouped anew by the
-    text itself.  Only digests that several rows share are looked up, and a group's first row is
-    found by digest and id, so no step but the last join brings a group together; that one has
-    two stored sides, which Spark can split or, where the shared ones are few, need not shuffle.
+    text itself.  Only rows whose digest others share are compared, and only their texts are
+    kept for it; up to ``SENT`` such digests go to every executor, so that no text is shuffled
+    to find them.  Joins by digest have stored sides, which Spark can split.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("body"))
     texts = texts.select("doc_id", "body", digest(F.col("body")).alias("digest"))
     first = F.min(F.struct(F.col("doc_id"))).alias("first")  # a struct, for nulls to sort first
     groups = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("size"), first)
     several = materialised(groups.filter("size > 1"), "exact-groups")
-    firsts = several.select(F.col("digest").alias("of"), F.col("first.doc_id").alias("first_id"))
-    same_row = (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    lead = texts.join(firsts, same_row).select("digest", F.col("body").alias("lead")).dropDuplicates(["digest"])
-    known = materialised(several.join(lead, "digest"), "exact-leads")
-    compared = F.col("size").isNotNull()
-    found = texts.join(known, "digest", "left").select(
+    marked = texts.join(F.broadcast(several) if several.count() <= SENT else several, "digest", "left")
+    shared = F.col("size").isNotNull()
+    marked = marked.select(
+        "doc_id", "digest", "size", "first", F.sha2("body", 256).alias("text_sha256"), F.when(shared, F.col("body")).alias("body")
+    )
+    marked = materialised(marked, "exact-marked")
+    copies = marked.filter(shared)
+    lead = copies.filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select("digest", F.col("body").alias("lead"))
+    lead = materialised(lead.dropDuplicates(["digest"]), "exact-leads")
+    found = copies.join(lead, "digest").select(
         "doc_id",
-        F.when(compared, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        F.sha2("body", 256).alias("text_sha256"),
+        F.col("first.doc_id").alias("keep_id"),
+        F.col("size").alias("group_size"),
+        "text_sha256",
         "digest",
-        compared.alias("compared"),
+        F.lit(True).alias("compared"),
         (F.col("body") == F.col("lead")).alias("same"),
     )
+    alone = marked.filter(~shared).select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256", "digest",
+        F.lit(False).alias("compared"), F.lit(True).alias("same"),
+    )
+    found = found.unionAll(alone)
     found = materialised(found, "exact-rows")
     mixed = found.filter("compared AND NOT coalesce(same, false)").select("digest").distinct()
     if not mixed.isEmpty():

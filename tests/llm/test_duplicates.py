@@ -229,3 +229,12 @@ def test_shared_digests_ids_and_nulls_are_told_apart(frame):
     keep = {(r[0], r[4][:8]): r[1:4] for r in expected}
     a, d, e = (hashlib.sha256(t).hexdigest()[:8] for t in (b"a", b"d", b"e"))
     assert keep[(2, a)] == (1, 2, False) and keep[(4, d)] == (None, 2, False) and keep[(7, e)] == (7, 1, True)
+
+
+def test_many_shared_digests_are_not_sent_around(frame, monkeypatch):
+    from daymark.llm import exact
+
+    rows = [(i, f"text {i % 40}") for i in range(100)] + ODD
+    expected = sorted(map(tuple, exact_groups(frame(rows)).collect()), key=str)
+    monkeypatch.setattr(exact, "SENT", 0)
+    assert sorted(map(tuple, exact_groups(frame(rows)).collect()), key=str) == expected
