@@ -30,7 +30,6 @@ SAMPLE = 2_000  # texts that lend words to the labelled findings, at most
 WORDS = 50_000  # words they lend, at most
 FINDINGS = 6_000  # labelled findings
 SHARE = 10_000  # a dictionary word is in one document of so many, and in two at least
-LONGEST = 14  # letters of a dictionary word
 HELD = 200_000  # words that a task counts at once
 BESIDE = 32  # letters read on each side
 LIMIT = 0.5
@@ -54,6 +53,10 @@ PLAIN_WORDS = (
     "commit", "md5", "sha", "checksum", "hash", "uuid", "guid", "phone", "tel", "version", "date", "color",
     "colour", "order", "invoice", "isbn", "example", "build", "rev", "digest", "etag", "card", "call", "id",
 )
+SECRET_NAMES = (
+    "password", "passwd", "pwd", "passphrase", "token", "secret", "api key", "auth token", "access key",
+    "client secret", "private key", "credential",
+)
 FEATURES = 18
 
 
@@ -68,7 +71,7 @@ def word_counts(texts: Iterable[str], held: int = HELD) -> Iterator[tuple[dict[s
     for text in texts:
         found = WORD.findall(text.lower())
         times.update(found)
-        own.update({w for w in found if len(w) <= LONGEST})
+        own.update(set(found))
         if len(times) >= held:
             yield own, _steps(times)
             own, times = Counter(), Counter()
@@ -105,6 +108,9 @@ class Context:
     words: frozenset[str]
     steps: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.lengths = sorted({len(w) for w in self.words}, reverse=True)
+
     @classmethod
     def counted(cls, words: dict[str, int], steps: dict[int, int], documents: int) -> Context:
         """From the documents that have each word, and how often each pair of letters comes."""
@@ -141,7 +147,8 @@ class Context:
         """The share of letters that dictionary words cover, the longest first from the left."""
         value, at, done = value.lower(), 0, 0
         while at < len(value):
-            size = next((s for s in range(min(LONGEST, len(value) - at), 2, -1) if value[at : at + s] in self.words), 0)
+            rest = len(value) - at
+            size = next((s for s in self.lengths if s <= rest and value[at : at + s] in self.words), 0)
             done += size
             at += size or 1
         return done / len(value)
@@ -185,32 +192,50 @@ def described(text: str, low: int, high: int, context: Context) -> list[float]:
 # ---- labelled findings
 
 
-def _secret(rng: Random) -> tuple[str, str, str]:
-    """What stands before, the value, and what stands behind."""
-    upper, alnum = string.ascii_uppercase + "234567", string.ascii_letters + string.digits
+def _some(rng: Random, letters: str, low: int, high: int | None = None) -> str:
+    return "".join(rng.choices(letters, k=rng.randrange(low, (high or low) + 1)))
 
-    def some(letters: str, n: int) -> str:
-        return "".join(rng.choices(letters, k=n))
 
+def _named(rng: Random, core: str, words: list[str]) -> tuple[str, str]:
+    """What stands before a value and what behind: a name in any style, and quotes or none."""
+    parts = [*rng.choices(words, k=rng.randrange(2)), *core.split(), *rng.choices(words, k=rng.random() < 0.2)]
+    parts = [p.lower() for p in parts]
     name = rng.choice(
-        ["password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "auth_token", "access_key", "client_secret"]
+        ["_".join(parts), "-".join(parts), ".".join(parts), "".join(parts), "_".join(parts).upper()]
+        + [parts[0] + "".join(p.capitalize() for p in parts[1:])]
     )
-    assign = rng.choice(["{}=", "{} = \"", "{}: ", "{}='", "{}:\"", "{} = "]).format(name)
-    close = {'"': '"', "'": "'"}.get(assign[-1], "")
-    kind = rng.randrange(7)
-    if kind == 0:
-        return rng.choice(["", "", "aws_access_key_id = "]), "AKIA" + some(upper, 16), ""
-    if kind == 1:
-        return assign, some("0123456789abcdef", rng.choice([16, 18, 18, 20, 24, 32, 40, 40, 64])), close
+    quote, around = rng.choice(["", "", '"', "'"]), rng.choice(["", "", "", '"', "'"])
+    sign = rng.choice(["=", " = ", ": ", ":", " : ", " => ", ":="])
+    return f"{around}{name}{around}{sign}{quote}", quote
+
+
+def _secret(rng: Random, words: list[str]) -> tuple[str, str, str]:
+    """What stands before, the value, and what stands behind."""
+    alnum = string.ascii_letters + string.digits
+    before, behind = _named(rng, rng.choice(SECRET_NAMES), words)
+    kind = rng.randrange(4)
+    if kind == 0:  # formats that their prefix gives away, with a name or without
+        value = rng.choice(
+            [
+                rng.choice(["AKIA", "ASIA"]) + _some(rng, string.ascii_uppercase + "234567", 16),
+                f"gh{rng.choice('opusr')}_{_some(rng, alnum, 30, 60)}",
+                f"github_pat_{_some(rng, alnum + '_', 40, 90)}",
+                f"xox{rng.choice('abeprs')}-{_some(rng, string.digits, 8, 14)}-{_some(rng, alnum, 16, 36)}",
+                f"{rng.choice('sr')}k_{rng.choice(['live', 'test'])}_{_some(rng, alnum, 16, 60)}",
+                f"sk-{_some(rng, alnum, 20, 60)}",
+                f"AIza{_some(rng, alnum + '_-', 30, 40)}",
+            ]
+        )
+        return rng.choice([(before, value, behind), ("", value, "")])
+    if kind == 1:  # keys
+        letters = rng.choice(["0123456789abcdef", "0123456789ABCDEF", string.ascii_uppercase + "234567"])
+        return before, _some(rng, letters, 12, 80), behind
     if kind == 2:
-        return rng.choice(["", assign.rstrip("\"'")]), rng.choice(["ghp_", "gho_"]) + some(alnum, 36), ""
-    if kind == 3:
-        return rng.choice(["", assign.rstrip("\"'")]), "xoxb-" + some(string.digits, 12) + "-" + some(alnum, 24), ""
-    if kind == 4:
-        return assign, some(alnum + "+/", 40), close
-    if kind == 5:
-        return rng.choice(["", assign.rstrip("\"'")]), rng.choice(["sk_live_", "sk-", "AIza"]) + some(alnum, rng.choice([24, 35, 48])), ""
-    return assign, some(alnum + "!#%&*", rng.randrange(12, 24)), close
+        letters = rng.choice([alnum, alnum + "+/", alnum + "_-", string.ascii_lowercase + string.digits])
+        return before, _some(rng, letters, 12, 80), behind
+    if rng.random() < 0.7:  # passwords
+        return before, _some(rng, alnum + "!#%&*", 8, 30), behind
+    return before, rng.choice(words) + _some(rng, "!#%&*_", 1) + rng.choice(words) + _some(rng, string.digits, 2, 4), behind
 
 
 def _look_alike(rng: Random, words: list[str]) -> tuple[str, str, str]:
@@ -227,7 +252,8 @@ def _look_alike(rng: Random, words: list[str]) -> tuple[str, str, str]:
     if kind == 1:
         return rng.choice(["+1 (555) ", "tel: ", ""]), f"{digits(3)}-{digits(4)}", ""
     if kind == 2:
-        return rng.choice(["commit ", "rev ", "sha1: ", "md5: ", "checksum ", "hash: "]), hexa(rng.choice([32, 40, 64])), ""
+        before, behind = _named(rng, rng.choice(PLAIN_WORDS), words) if rng.random() < 0.5 else (rng.choice(PLAIN_WORDS) + " ", "")
+        return before, hexa(rng.randrange(8, 81)), behind
     if kind == 3:
         return rng.choice(["id=", "uuid: ", "guid ", ""]), str(uuid.UUID(int=rng.getrandbits(128))), ""
     if kind == 4:
@@ -237,9 +263,10 @@ def _look_alike(rng: Random, words: list[str]) -> tuple[str, str, str]:
     if kind == 6:
         return "https://www.example.com/", f"{word}/{other}-{digits(4)}", ""
     if kind == 7:
-        return rng.choice(["password=", "token = \"", "secret: ", "api_key="]), rng.choice(
+        before, behind = _named(rng, rng.choice(SECRET_NAMES), words)
+        return before, rng.choice(
             ["changeme123", "your_token_here1", "xxxxxxxxxxxx1", "test1234test", "0000000000000000", "example-key-1"]
-        ), ""
+        ), behind
     if kind == 8:
         return rng.choice(["class=\"", "name=", "title='", "href='"]), f"{word}_{other}{rng.choice(['', digits(2)])}", ""
     if kind == 9:
@@ -265,7 +292,7 @@ def labelled_findings(texts: list[str], count: int = FINDINGS, seed: int = 7) ->
     words = sorted({w for t in texts for w in MADE_OF.findall(t)}) or ["alpha", "beta", "gamma"]
     result = []
     for k in range(count):
-        before, value, behind = _secret(rng) if k % 2 else _look_alike(rng, words)
+        before, value, behind = _secret(rng, words) if k % 2 else _look_alike(rng, words)
         left, right = (" ".join(rng.choices(words, k=4)) for _ in range(2))
         head = f"{left} {before}"
         result.append((f"{head}{value}{behind} {right}", len(head), len(head) + len(value), k % 2))
@@ -290,6 +317,8 @@ def assigned(text: str) -> list[tuple[int, int]]:
         name = m.group().lower()
         if not any(w in name for w in SECRET_WORDS):
             continue
+        if inner and whole < 0 and m.end() >= found[-1][1]:
+            continue  # within quotes, the sign ends the value
         if inner and m.end() < whole:
             low, high = m.end(), found[-1][1]  # without quotes, it ends where the outer one does
         elif value := VALUE.match(text, m.end()):

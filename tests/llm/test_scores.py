@@ -312,3 +312,71 @@ def test_no_leaf_of_a_forest_is_empty():
         forest = Forest.fit(x, y.astype(float))
     assert all(np.isfinite(share).all() for *_, share in forest.trees)
     assert np.isfinite(forest.chance(x)).all()
+
+def test_nomination_ends_with_the_quotes():
+    text = 'password="Zabckey==" and then "quoted"'
+    assert "Zabckey==" in [text[low:high] for low, high in secrets.candidates(text)]
+
+
+def unseen_secret(rng):
+    """Secrets in forms that the made findings do not have."""
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def some(n, of=letters):
+        return "".join(rng.choices(of, k=n))
+
+    dotted = ".".join(["eyJ" + some(30), "eyJ" + some(60), some(43)])
+    return rng.choice(
+        [
+            ("Authorization: Bearer ", dotted, "\n"),
+            ("https://store/items?access_token=", some(50), " is open"),
+            ("Server=db1;Pwd=", some(16, letters + "$^~"), " as given"),
+            ("_authToken=npm_", "", ""),
+            ("export VAULT_TOKEN=hvs.", "", ""),
+            ("AccountKey=", some(86, letters + "+/") + "==", " end"),
+            ('<add name="x" secretKey="', some(44), '"/>'),
+            ("--private-token=glpat-", "", ""),
+        ]
+    ), some
+
+
+def test_forest_on_forms_that_no_made_finding_has():
+    rng = random.Random(8)
+    model = secrets.fit(secrets.labelled_findings(["plain words of some usual texts between others"]), ["plain words of some usual texts"] * 3)
+    caught = 0
+    for _ in range(1000):
+        (before, value, behind), some = unseen_secret(rng)
+        if not value:  # an own prefix belongs to the value
+            before, prefix = before.rsplit("=", 1)
+            before, value = before + "=", prefix + some(36)
+        text = f"usual words then {before}{value}{behind} and others"
+        spans, scores = model.findings([text])
+        low = text.index(value)
+        caught += any(a <= low and b >= low + len(value) and s >= secrets.LIMIT for (_, a, b), s in zip(spans, scores))
+    assert caught >= 900
+
+
+def test_words_of_any_length_are_covered():
+    long = "donaudampfschifffahrtsgesellschaft"
+    context = secrets.Context.of([f"die {long}"] * 3)
+    assert long in context.words and context.covered(long.upper()) == 1 and context.covered("die" + long + "12") == 37 / 39
+
+
+def test_scan_equals_judging_each_text_alone(spark, frame):
+    """The whole query path against one text at a time: places, digests and scores."""
+    from hashlib import sha256
+
+    rng = random.Random(9)
+    made = [t for t, *_ in secrets.labelled_findings(["plain words of usual texts"], 300, seed=5)]
+    texts = [" ".join(rng.choices(made, k=rng.randrange(4))) for _ in range(120)]
+    rows = [*enumerate(texts), (500, None), (501, ""), (502, texts[0] * 2), (502, texts[0] * 2)]
+    docs = frame(rows)
+    model = secrets.fit_on(docs, findings=400)
+    expected = []
+    for i, t in rows:
+        for low, high in secrets.candidates(t or ""):
+            score = float(model.forest.chance(np.array([secrets.described(t, low, high, model.context)]))[0])
+            digest = sha256(t[low:high].encode()).hexdigest()
+            expected.append((i, low, high, digest, score, score >= secrets.LIMIT))
+    found = [tuple(r) for r in secrets.scan(docs.repartition(5), model).collect()]
+    assert len(expected) > 100 and sorted(found) == sorted(expected)
