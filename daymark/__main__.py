@@ -13,7 +13,7 @@ from .plans import ingest, snapshots
 from .plans.run import run
 from .plans.slices import export_day
 from .session import ObjectStore, Settings, build_session
-from .sources.tables import LAYERS, Lake
+from .sources.tables import LAYERS, CatalogTable, Lake, Table
 from .synth.companies import CAMEL_CASE, TITLE_CASE
 from .synth.landing import land
 
@@ -34,17 +34,24 @@ def _parser() -> argparse.ArgumentParser:
     )
     jobs = parser.add_subparsers(dest="job", required=True)
 
+    def target(sub: argparse.ArgumentParser) -> None:
+        sub.add_argument("layer", nargs="?")
+        sub.add_argument("table", nargs="?")
+        sub.add_argument("--into", metavar="CATALOG.NAMESPACE.TABLE", help="a table of a named catalog, instead of layer and table")
+
     def job(name: str, text: str, *tables: str) -> argparse.ArgumentParser:
         sub = jobs.add_parser(name, help=text)
         for argument in tables:
             sub.add_argument(argument)
         return sub
 
-    sub = job("bootstrap", "load a whole file or table", "source", "layer", "table")
+    sub = job("bootstrap", "load a whole file or table", "source")
+    target(sub)
     sub.add_argument("--partition-by", nargs="*", default=[])
     sub.add_argument("--mode", choices=["append", "overwrite"], default="append")
 
-    sub = job("ingest", "load a CSV file, by default only days not held", "source", "layer", "table")
+    sub = job("ingest", "load a CSV file, by default only days not held", "source")
+    target(sub)
     sub.add_argument("--all-days", action="store_true")
 
     sub = job("ingest-folder", "load the new days of {folder}/{name}.csv files", "folder", "layer")
@@ -92,17 +99,22 @@ def _settings(args: argparse.Namespace) -> Settings:
     return Settings(f"daymark-{args.job}", object_stores=stores, extra=dict(_pairs(args.conf, "--conf")))
 
 
+def _target(args: argparse.Namespace, lake: Lake) -> Table | CatalogTable:
+    if bool(args.into) == bool(args.table):
+        raise SystemExit("give a layer and a table, or --into")
+    return CatalogTable.named(lake.spark, args.into) if args.into else lake.table(args.layer, args.table)
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = spark or build_session(_settings(args))
     lake = Lake(spark, args.root.rstrip("/"), args.ref).create_layers()
 
     if args.job == "bootstrap":
-        target = lake.table(args.layer, args.table)
-        ingest.bootstrap(spark, args.source, target, args.partition_by, args.mode)
+        ingest.bootstrap(spark, args.source, _target(args, lake), args.partition_by, args.mode)
     elif args.job == "ingest":
         load = ingest.ingest_all if args.all_days else ingest.ingest_new_days
-        print(load(spark, args.source, lake.table(args.layer, args.table)))
+        print(load(spark, args.source, _target(args, lake)))
     elif args.job == "ingest-folder":
         for name, report in ingest.ingest_folder(lake, args.folder, args.names, args.layer).items():
             print(name, report)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import DAY, quoted, with_day
 from ..operators.days import distinct_days, in_days, listed
 from ..sinks.tables import add_days, create_like
-from ..sources.tables import Table
+from ..sources.tables import Named, Table
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ def source_days(source: DataFrame | Table, day: str = DAY) -> DataFrame:
     A table laid out by day is answered by the catalog, without row counts; anything
     else by a scan of the day column that reduces before its shuffle.
     """
-    if isinstance(source, Table):
+    if isinstance(source, Named):
         listed = source.listed_days(day)
         if listed is not None:
             return listed.withColumn("rows", F.lit(None).cast("long"))
@@ -68,9 +68,9 @@ def sync_days(
     Rows without a day are never copied, only counted.  A source laid out by day is
     copied without a shuffle.
     """
-    if isinstance(source, Table) and source.is_by_day(day):
+    if isinstance(source, Named) and source.is_by_day(day):
         return _copy_days(source, target, only, day)
-    rows = with_day(source.read() if isinstance(source, Table) else source, day)
+    rows = with_day(source.read() if isinstance(source, Named) else source, day)
     value = F.col(quoted(day))
     if only is not None:
         rows = rows.where(in_days(day, sorted(set(only))))

@@ -15,7 +15,7 @@ from ..plans.sync import sync_days, sync_two_hops
 from ..session import scratch_dir
 from ..sinks.files import write_csv
 from ..sinks.tables import replace
-from ..sources.tables import Lake
+from ..sources.tables import SESSION_CATALOG, CatalogTable, Lake
 from .registry import (
     EVENT_DAY,
     ORDER_DAY,
@@ -279,3 +279,15 @@ def sync_into_plain_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     sync_days(events.where(F.col(DAY) < F.lit(dt.date(2024, 1, 16))), target)
     sync_days(events, target)
     return target.read()
+
+
+@query(f"SELECT e.*, {EVENT_DAY} AS DATE FROM events e")
+def sync_named_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Into a table by its three-part name: the days asked for first, then all that it lacks."""
+    events = events_by_day(spark, sf_dir)
+    database = scratch_lake(spark).database("gold")
+    target = CatalogTable.named(spark, f"{SESSION_CATALOG}.{database}.events")
+    first = events.agg(F.min(DAY)).first()[0]
+    sync_days(events, target, only=[first] if first else [])
+    sync_days(events, target)
+    return target.read()

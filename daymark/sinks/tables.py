@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import DAY, hashable, quoted, with_day
 from ..operators.days import on_day
 from ..sources import daylog
-from ..sources.tables import COMMIT_IN_TASKS, TABLE_OPTIONS, Table, register
+from ..sources.tables import COMMIT_IN_TASKS, TABLE_OPTIONS, CatalogTable, Table, register
 
 
 DAYS_PER_TASK = 50
@@ -65,6 +65,8 @@ def dealt_unseen(df: DataFrame, day: str) -> DataFrame:
 
 def create_like(table: Table, df: DataFrame, partition_by: Sequence[str] = ()) -> Table:
     """Create the table with the frame's columns if it is absent."""
+    if isinstance(table, CatalogTable):
+        return table.create(df.schema, partition_by)
     return register(table, df.schema, partition_by)
 
 
@@ -118,6 +120,9 @@ def put_days(
     The files go to a folder of this run's own, and an entry in the table's log makes the days
     visible once all are there: the driver moves no file, and a job that is run again after a
     failure neither doubles a day nor leaves half of one.
+
+    A table of a named catalog takes the days in one overwrite of the partitions written, which
+    the catalog commits.
     """
     if not table.is_by_day(day):
         raise ValueError(f"{table.identifier} is not partitioned by {day} alone")
@@ -130,6 +135,12 @@ def put_days(
         rows = rows.select(*[F.when(dated, F.col(quoted(c))).alias(c) for c in rows.columns])
         rows = dealt(rows, name, counts) if counts else dealt_unseen(rows, name)
     seen = Observation()
+    if isinstance(table, CatalogTable):
+        days = F.collect_set(F.col(quoted(name)).cast("string"))  # a string a calendar day
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(quoted(name)).alias("dated"), days.alias("days"))
+        _overwrite_partitions(table, rows.where(dated))
+        counted = seen.get
+        return Written(tuple(sorted(counted["days"])), counted["dated"], counted["rows"] - counted["dated"])
     rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(quoted(name)).alias("dated"))
     folder = daylog.run_folder(table.location)
     options = {k: v for k, v in TABLE_OPTIONS.items() if k != "partitionOverwriteMode"}
@@ -149,6 +160,13 @@ def put_days(
     return Written(tuple(f.split("=", 1)[1] for f in found), counted["dated"], counted["rows"] - counted["dated"])
 
 
+def _overwrite_partitions(table: CatalogTable, rows: DataFrame) -> None:
+    if table.in_session_catalog():  # dynamic, as stored with the table
+        table.spark.sql(f"INSERT OVERWRITE {table.identifier} BY NAME SELECT * FROM {{rows}}", rows=rows)
+    else:
+        rows.writeTo(table.identifier).overwritePartitions()
+
+
 def add_days(
     table: Table,
     df: DataFrame,
@@ -179,6 +197,9 @@ def replace(
     stored with it is the dynamic overwrite mode, not the static one of this write.
     """
     rows = clustered(df, partition_by) if cluster else df
+    if isinstance(table, CatalogTable):
+        _replace_in_catalog(table, rows, partition_by)
+        return table
     writer = rows.write.mode("overwrite").options(**TABLE_OPTIONS)
     if partition_by:
         # The whole table goes, not just the partitions written now.
@@ -190,6 +211,19 @@ def replace(
     return table
 
 
+def _replace_in_catalog(table: CatalogTable, rows: DataFrame, partition_by: Sequence[str]) -> None:
+    if table.in_session_catalog():
+        writer = rows.write.mode("overwrite").format(table.provider or "parquet").options(**TABLE_OPTIONS)
+        (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table.identifier)
+        return
+    writer = rows.writeTo(table.identifier)
+    if table.provider:
+        writer = writer.using(table.provider)
+    if partition_by:
+        writer = writer.partitionedBy(*[F.col(quoted(c)) for c in partition_by])
+    writer.createOrReplace()
+
+
 def create_as(
     table: Table, df: DataFrame, partition_by: Sequence[str] = (), cluster: bool = True
 ) -> Table:

@@ -44,36 +44,15 @@ TABLE_OPTIONS = {
 COMMIT_IN_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 
-@dataclass(frozen=True)
-class Table:
-    spark: SparkSession = field(repr=False, compare=False)
-    database: str
-    name: str
-    location: str
+class Named:
+    """What the catalog alone can say of a table, wherever it lies."""
 
-    @property
-    def identifier(self) -> str:
-        return f"{quoted(self.database)}.{quoted(self.name)}"
-
-    def exists(self) -> bool:
-        """Is there such a table?  One that an earlier session left at the path is
-        named again first, so its rows are never taken for absent."""
-        if self.spark.catalog.tableExists(self.identifier):
-            return True
-        if next(_children(self.spark, self.location), None) is None and not daylog.holds(self.spark, self.location):
-            return False
-        attach(self)
-        return True
+    spark: SparkSession
+    identifier: str
 
     def read(self) -> DataFrame:
         return self.spark.table(self.identifier)
 
-    def drop(self) -> None:
-        """Forget a table that was created and never written to, with its layout file."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.identifier}")
-        fs, path = file_system(self.spark, f"{self.location}/{LAYOUT_FILE}")
-        fs.delete(path, False)
-
     def _description(self) -> list[tuple[str, str]]:
         """Answered by the catalog alone, where ``listColumns`` would run Spark jobs."""
         rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.identifier}").collect()
@@ -108,6 +87,87 @@ class Table:
         return partitions.select(value.alias(day)).distinct()
 
 
+@dataclass(frozen=True)
+class Table(Named):
+    spark: SparkSession = field(repr=False, compare=False)
+    database: str
+    name: str
+    location: str
+
+    @property
+    def identifier(self) -> str:
+        return f"{quoted(self.database)}.{quoted(self.name)}"
+
+    def exists(self) -> bool:
+        """Is there such a table?  One that an earlier session left at the path is
+        named again first, so its rows are never taken for absent."""
+        if self.spark.catalog.tableExists(self.identifier):
+            return True
+        if next(_children(self.spark, self.location), None) is None and not daylog.holds(self.spark, self.location):
+            return False
+        attach(self)
+        return True
+
+    def drop(self) -> None:
+        """Forget a table that was created and never written to, with its layout file."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.identifier}")
+        fs, path = file_system(self.spark, f"{self.location}/{LAYOUT_FILE}")
+        fs.delete(path, False)
+
+
+SESSION_CATALOG = "spark_catalog"
+
+
+@dataclass(frozen=True)
+class CatalogTable(Named):
+    """A table by its name in a catalog, ``catalog.namespace.table``, which decides where it lies.
+
+    ``Settings.catalogs`` says what the catalogs are.  ``provider`` is the format of a table that
+    is created; None leaves it to the catalog (Parquet in Spark's own).
+    """
+
+    spark: SparkSession = field(repr=False, compare=False)
+    catalog: str
+    namespace: tuple[str, ...]
+    name: str
+    provider: str | None = None
+
+    @classmethod
+    def named(cls, spark: SparkSession, name: str, provider: str | None = None) -> CatalogTable:
+        parts = name.split(".")
+        if len(parts) < 3 or not all(parts):
+            raise ValueError(f"{name!r} is not catalog.namespace.table")
+        return cls(spark, parts[0], tuple(parts[1:-1]), parts[-1], provider)
+
+    @property
+    def identifier(self) -> str:
+        return ".".join(map(quoted, [self.catalog, *self.namespace, self.name]))
+
+    def in_session_catalog(self) -> bool:
+        """Whether Spark's own catalog holds it, whose file tables take no DataFrameWriterV2."""
+        set_by_user = self.spark.conf.get(f"spark.sql.catalog.{SESSION_CATALOG}", "builtin")
+        return self.catalog == SESSION_CATALOG and set_by_user == "builtin"
+
+    def exists(self) -> bool:
+        return self.spark.catalog.tableExists(self.identifier)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.identifier}")
+
+    def create(self, schema: T.StructType, partition_by: Sequence[str] = ()) -> CatalogTable:
+        """CREATE TABLE IF NOT EXISTS, its namespace too; an existing one is left as it is."""
+        self.spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {'.'.join(map(quoted, [self.catalog, *self.namespace]))}")
+        columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema)
+        provider, options = self.provider, ""
+        if self.in_session_catalog():
+            provider = provider or "parquet"
+            options = f" OPTIONS ({option_list(TABLE_OPTIONS)})"
+        using = f" USING {provider}" if provider else ""
+        partitions = f" PARTITIONED BY ({', '.join(map(quoted, partition_by))})" if partition_by else ""
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.identifier} ({columns}){using}{options}{partitions}")
+        return self
+
+
 @dataclass(frozen=True)
 class Lake:
     """Layer namespaces under ``root`` for one branch ``ref``.

@@ -191,3 +191,26 @@ def test_owner_ranges_open_only_their_files(spark):
     assert len(read_owners(spark, path, "own er", [4001]).inputFiles()) <= 2
     empty = write_owner_ranges(df.limit(0), scratch_dir(spark, "owners"), "own er", "1")
     assert read_owners(spark, empty, "own er", [1]).collect() == []
+
+
+def test_row_groups_are_bounded_by_the_option(spark, lake, monkeypatch):
+    """The same option at a smaller size: every group but the last is near it, none far beyond."""
+    from daymark.sinks import files
+    from daymark.sources import tables
+
+    assert int(tables.TABLE_OPTIONS["parquet.block.size"]) == ROW_GROUP_BYTES == 128 * 1024 * 1024
+    size = 4 << 20
+    monkeypatch.setattr(files, "ROW_GROUP_BYTES", size)
+    monkeypatch.setitem(tables.TABLE_OPTIONS, "parquet.block.size", str(size))
+    df = spark.range(0, 1_200_000, 1, 1).select("id", F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(1)).alias("g"))
+    exported = f"{scratch_dir(spark, 'groups')}/t"
+    write_parquet(df, exported)
+    target = create_like(lake.table("silver", "groups"), df)
+    append(target, df, cluster=False)
+    for path in (exported, target.location):
+        for file in files_under(path, ".parquet"):
+            footer = pq.ParquetFile(file).metadata
+            sizes = [footer.row_group(i).total_byte_size for i in range(footer.num_row_groups)]
+            assert len(sizes) > 3 and max(sizes) < 1.5 * size and min(sizes[:-1]) > 0.5 * size
+            codecs = {footer.row_group(i).column(0).compression for i in range(footer.num_row_groups)}
+            assert codecs == {"SNAPPY"}
