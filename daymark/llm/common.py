@@ -122,4 +122,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, use: Column, s
         marks.filter(F.col("label") == k).orderBy(F.xxhash64("marked"), "marked").limit(sample) for k in (0, 1)
     ]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    return docs.join(chosen, docs["doc_id"] == F.col("marked")).select(docs["text"], "label")
+    # Other columns of the documents may have any names.
+    return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("marked")).select("text", "label")

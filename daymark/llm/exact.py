@@ -84,8 +84,9 @@ def without_copies(docs: DataFrame) -> DataFrame:
     Rows are told by id and text, as ids may repeat with different texts.
     """
     stay = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("stay"), F.col("text_sha256").alias("stay_sha256"))
-    same = F.sha2(normalised(F.col("text")), 256) == F.col("stay_sha256")
-    kept = docs.join(stay.distinct(), same & docs["doc_id"].eqNullSafe(F.col("stay")), "left_semi")
+    once = stay.distinct()
+    same = F.sha2(normalised(docs["text"]), 256) == once["stay_sha256"]
+    kept = docs.join(once, same & docs["doc_id"].eqNullSafe(once["stay"]), "left_semi")
     if stay.groupBy("stay", "stay_sha256").count().filter("count > 1").isEmpty():
         return kept
     # One row of each id and text.

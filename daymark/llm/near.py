@@ -435,6 +435,9 @@ def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its component."""
-    stay = near_components(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("stay"))
-    return docs.join(stay.distinct(), docs["doc_id"].eqNullSafe(F.col("stay")), "left_semi")
+    """The rows of ``docs``, all columns, whose id is the smallest of its component.
+
+    Rows of one id stay together.
+    """
+    stay = near_components(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("stay")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay"]), "left_semi")
