@@ -28,14 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialised
-from .common import NULL_ID, chunks, ragged
-from .shingles import shingle_sets
+from .common import NULL_ID, Job, chunks, ragged, trimmed
+from .shingles import kept, shingle_sets
 
 COMMON = 16_000_000  # at most so many shingles count as common; their list, 12 bytes each, goes to every task
 OFTEN = 8  # a shingle in fewer texts is not common
 GROUPS = 256  # coordinates of a count vector
 LEAF = 16  # points in a leaf of the R-tree, and boxes in a node
 BLOCK = 2048  # members of a list that meet in one task
+SLICE = 1 << 19  # bytes of text, or of sets, a task works on at once
+TALLY = 4 << 20  # shingles tallied at once
+PAIRS = 4096  # pairs of points held against each other at once
+
+
+def lean(job: Job) -> Job:
+    """A job of this module, begun without what other operators kept in its worker."""
+    return trimmed(job, kept)
 
 
 def needed(a, b):
@@ -49,12 +57,12 @@ def needed(a, b):
 def _tallies(ranges: int):
     """Per task and range of the hash space: the high halves of the shingle hashes and their counts."""
 
-    def pack(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        items, place = np.unique(np.concatenate(parts), return_inverse=True)
-        return items, np.bincount(place, np.concatenate(counts)).astype(np.uint32)
-
-    def rows(parts, counts):
-        items, n = pack(parts, counts)
+    def rows(parts: list[np.ndarray]) -> pa.RecordBatch:
+        items = np.concatenate(parts)
+        parts.clear()
+        items.sort()
+        first = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]])).astype(np.uint32)
+        items, n = items[first], np.diff(first, append=np.uint32(len(items)))
         at = np.searchsorted(items, (np.arange(1, ranges) << 32) // ranges)
         columns = zip(range(ranges), np.split(items, at), np.split(n, at))
         some = [(r, i.astype("<u4").tobytes(), c.astype("<u4").tobytes()) for r, i, c in columns if len(i)]
@@ -65,18 +73,18 @@ def _tallies(ranges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for batch in chunks(batches, "text", 1 << 20):
+        for batch in chunks(batches, "text", SLICE):
             hashes, _ = shingle_sets(batch.column("text"))
             if len(hashes):
                 parts.append((hashes >> np.uint64(32)).astype(np.uint32))
                 size += len(hashes)
-            if size > 4 << 20:
-                yield rows(parts, [np.ones(len(p)) for p in parts])
-                parts, size = [], 0
+            if size > TALLY:
+                yield rows(parts)
+                size = 0
         if parts:
-            yield rows(parts, [np.ones(len(p)) for p in parts])
+            yield rows(parts)
 
-    return run
+    return lean(run)
 
 
 def _summed(least: int):
@@ -99,7 +107,7 @@ def _summed(least: int):
             )
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([total], pa.int64())], ["item", "count"])
 
-    return run
+    return lean(run)
 
 
 def _added(items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +141,7 @@ SIGNATURE = "doc_id long, n long, digest binary, weight double, prefix binary, p
 
 def _signatures(items: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 1 << 20):
+        for batch in chunks(batches, "text", SLICE):
             hashes, at = shingle_sets(batch.column("text"))
             high = (hashes >> np.uint64(32)).astype(np.uint32)
             rank = np.zeros(len(hashes), np.int64)
@@ -161,9 +169,10 @@ def _signatures(items: np.ndarray, counts: np.ndarray):
                 ["doc_id", "n", "digest", "weight", "prefix", "point"],
             )
 
-    return run
+    return lean(run)
 
 
+@lean
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [np.frombuffer(x, "<i8") for x in batch.column("prefix").to_pylist()]
@@ -174,6 +183,7 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *taken], ["key", "weight", "node"])
 
 
+@lean
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by key, the heaviest of each first: give each other row its key's first."""
     key, pivot = None, None
@@ -194,8 +204,13 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- the R-tree
 
 
-def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum(a, b).sum(-1, dtype=np.int64)
+def overlap_bound(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The bound for each pair of a row ``i`` of ``a`` and a row ``j`` of ``b``, ``PAIRS`` at a time."""
+    bound = np.zeros(len(i), np.int64)
+    for low in range(0, len(i), PAIRS):
+        part = slice(low, low + PAIRS)
+        bound[part] = np.minimum(a[i[part]], b[j[part]]).sum(-1, dtype=np.int64)
+    return bound
 
 
 def tree_pairs(points: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -226,7 +241,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.
                 # Sizes first: the smaller of linked sets has at least 4/5 of the larger.
                 ok = (4 * least[box[part]] <= 5 * n) & (5 * most[box[part]] >= 4 * n)
                 part, n = part[ok], n[ok]
-                bound = overlap_bound(points[asked[query[part]]], top[box[part]])
+                bound = overlap_bound(points, asked[query[part]], top, box[part])
                 passed.append(part[bound >= needed(n, np.maximum(least[box[part]], -(-4 * n // 5)))])
             keep = np.concatenate(passed)
             query, box = query[keep], box[keep]
@@ -236,14 +251,23 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.
         i, j = asked[query], order[box]
         unlike = (others[i] != others[j]) & (i != j)
         i, j = np.minimum(i, j)[unlike], np.maximum(i, j)[unlike]
-        ok = overlap_bound(points[i], points[j]) >= needed(sizes[i], sizes[j])
+        ok = overlap_bound(points, i, points, j) >= needed(sizes[i], sizes[j])
         found.append(np.stack([i[ok], j[ok]], 1))
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
+def _points(column: pa.Array) -> np.ndarray:
+    """The count vectors of a column without nulls, as they lie in its buffer."""
+    if not len(column):
+        return np.zeros((0, GROUPS), np.uint32)
+    column = column.cast(pa.large_binary())
+    begin = np.frombuffer(column.buffers()[1], np.int64)[column.offset]
+    return np.frombuffer(column.buffers()[2], "<u4", len(column) * GROUPS, int(begin)).reshape(-1, GROUPS)
+
+
 def _joined(rows: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
     """The pairs within each run of rows between two cuts; runs of one leaf are done together."""
-    points = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)
+    points = _points(rows.column("point"))
     node, component, n = (rows.column(k).to_numpy(False) for k in ("node", "component", "n"))
     lengths = np.diff(cuts)
     small = np.repeat(lengths <= LEAF, lengths)
@@ -252,11 +276,8 @@ def _joined(rows: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
     i, j = ragged(begin, before), np.repeat(np.arange(len(n)), before)
     fits = (component[i] != component[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
     i, j = i[fits], j[fits]
-    found = []
-    for part in np.array_split(np.arange(len(i)), len(i) // 65536 + 1):
-        bound = overlap_bound(points[i[part]], points[j[part]])
-        part = part[bound >= needed(n[i[part]], n[j[part]])]
-        found.append(np.stack([i[part], j[part]], 1))
+    ok = overlap_bound(points, i, points, j) >= needed(n[i], n[j])
+    found = [np.stack([i[ok], j[ok]], 1)]
     for low, high in zip(cuts[:-1][lengths > LEAF], cuts[1:][lengths > LEAF]):
         found.append(low + tree_pairs(points[low:high], n[low:high], component[low:high]))
     pairs = np.concatenate(found)
@@ -264,6 +285,7 @@ def _joined(rows: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
+@lean
 def _tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by list and pair of blocks; a list's block pair is joined as a whole."""
     held = None
@@ -285,8 +307,9 @@ def _tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- verification and components
 
 
+@lean
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in chunks(batches, "set_a", SLICE):
         sets = [[np.frombuffer(x, "<u8") for x in batch.column(k).to_pylist()] for k in ("set_a", "set_b")]
         linked = []
         for x, y in zip(*sets):
@@ -310,8 +333,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialised(links, "near-links")
 
 
+@lean
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text", 1 << 20):
+    for batch in chunks(batches, "text", SLICE):
         hashes, at = shingle_sets(batch.column("text"))
         sets = [hashes[low:high].astype("<u8").tobytes() for low, high in zip(at[:-1], at[1:])]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
@@ -423,14 +447,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+@lean
 def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        points = [
-            np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, GROUPS)
-            for k in ("point_a", "point_b")
-        ]
+        rows = np.arange(batch.num_rows)
         need = needed(*(batch.column(k).to_numpy(False) for k in ("n_a", "n_b")))
-        keep = pa.array(overlap_bound(*points) >= need)
+        bound = overlap_bound(_points(batch.column("point_a")), rows, _points(batch.column("point_b")), rows)
+        keep = pa.array(bound >= need)
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in ("a", "b")], ["a", "b"])
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialised
-from .common import chunks, crc_of, ragged
+from .common import chunks, crc_of, ragged, trimmed
 from .tokens import default_path, encoder, with_end
 
 WINDOW = 2048
@@ -213,7 +213,7 @@ def _pieces(made: Plan, groups: dict, window: int):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return run
+    return trimmed(run)  # no encoder is needed from here on
 
 
 def pack(
@@ -256,7 +256,7 @@ def pack(
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in chunks(batches, "ids", 1 << 20):
         cells = zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist())
         crc = pa.array([crc_of(ids_in(cell, n)) for cell, n in cells], pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns[:6], crc], [*batch.schema.names[:6], "ids_crc32"])

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
-from daymark.llm import near
+from daymark.llm import common, near
 from daymark.llm.exact import exact_groups, without_copies
 from daymark.llm.fingerprints import edited, fingerprints, likeness, merged, read, sketches
 from daymark.llm.near import near_components, tree_pairs, without_near_copies
@@ -116,6 +118,59 @@ def test_texts_under_one_id_stand_together(frame):
     assert found == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def peak_of(job, batch):
+    """The most bytes that a task's job held at once, and its rows."""
+    tracemalloc.start()
+    rows = [r for b in job(iter([batch])) for r in b.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most, rows
+
+
+def test_pairs_of_points_take_bounded_memory():
+    rng = np.random.default_rng(4)
+    points = rng.poisson(1, (6000, near.GROUPS)).astype("<u4")
+    n, node = points.sum(1).astype(np.int64), np.arange(6000)
+    cells = pa.array([p.tobytes() for p in points], pa.binary())
+    lists = pa.RecordBatch.from_pydict(
+        {"key": node // 12, "i": node * 0, "j": node * 0, "node": node, "component": node, "n": n, "point": cells}
+    )
+    most, found = peak_of(near._tree_join, lists)
+    a, b = np.triu_indices(12, 1)
+    a, b = ((np.arange(0, 6000, 12)[:, None] + x).ravel() for x in (a, b))
+    fits = np.minimum(points[a], points[b]).sum(1) >= near.needed(n[a], n[b])
+    assert sorted((r["a"], r["b"]) for r in found) == sorted(zip(a[fits].tolist(), b[fits].tolist()))
+    assert most < 30_000_000
+
+    star = {"a": node, "b": node[::-1], "n_a": n, "point_a": cells, "n_b": n[::-1], "point_b": cells.take(pa.array(node[::-1]))}
+    most, found = peak_of(near._within_bound, pa.RecordBatch.from_pydict(star).slice(17))
+    fits = np.minimum(points, points[::-1]).sum(1) >= near.needed(n, n[::-1])
+    assert [r["a"] for r in found] == node[17:][fits[17:]].tolist()
+    assert most < 18_000_000
+
+
+def test_tallies_count_every_shingle(monkeypatch):
+    monkeypatch.setattr(near, "TALLY", 1 << 20, raising=False)
+    texts = [" ".join(f"w{(i * 7919 + k * k) % 50_021}" for k in range(1000)) for i in range(1300)]
+    most, found = peak_of(near._tallies(8), pa.RecordBatch.from_pydict({"text": texts}))
+    counts = {}
+    for r in found:
+        for item, n in zip(np.frombuffer(r["items"], "<u4").tolist(), np.frombuffer(r["counts"], "<u4").tolist()):
+            assert item * 8 >> 32 == r["part"]
+            counts[item] = counts.get(item, 0) + n
+    hashes = (near.shingle_sets(pa.array(texts))[0] >> np.uint64(32)).astype(np.uint32)
+    assert counts == dict(zip(*(x.tolist() for x in np.unique(hashes, return_counts=True))))
+
+
+def test_near_tasks_drop_what_other_operators_kept(monkeypatch):
+    other = common.worker_cache()
+    other["tokenizer"] = near.kept[1] = [1]
+    empty = pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())})
+    assert list(near._tallies(8)(iter([empty]))) == []
+    assert not other and near.kept.pop(1) == [1]
+    common._caches.remove(other)
+
+
 def test_tree_finds_what_the_bound_allows():
     rng = np.random.default_rng(3)
     base = rng.poisson(3, (40, near.GROUPS))
