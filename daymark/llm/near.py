@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialised
 from .common import NULL_ID, Job, chunks, ragged, trimmed
-from .shingles import kept, shingle_sets
+from .shingles import shingle_sets
 
 COMMON = 16_000_000  # at most so many shingles count as common; their list, 12 bytes each, goes to every task
 OFTEN = 8  # a shingle in fewer texts is not common
@@ -43,7 +43,7 @@ PAIRS = 4096  # pairs of points held against each other at once
 
 def lean(job: Job) -> Job:
     """A job of this module, begun without what other operators kept in its worker."""
-    return trimmed(job, kept)
+    return trimmed(job, "shingles")
 
 
 def needed(a, b):

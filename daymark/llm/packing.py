@@ -160,7 +160,7 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> Plan:
 def _tokenised(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        for batch in chunks(batches, "text", 1 << 20):
+        for batch in chunks(batches, "text", 1 << 19):
             ids, at = with_end(*words.encode(batch.column("text")), end)
             kind = np.dtype("<u2") if words.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else np.dtype("<u4")
             data, width = ids.astype(kind).tobytes(), kind.itemsize
@@ -169,7 +169,7 @@ def _tokenised(path: str, end: int):
                 [batch.column("doc_id"), pa.array(np.diff(at)), pa.array(cells, pa.binary())], ["doc_id", "n", "ids"]
             )
 
-    return run
+    return trimmed(run, "words", "shingles")
 
 
 def ids_in(cell: bytes, n: int) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialised
-from .common import chunks, first_texts, fresh_start, texts_of
+from .common import chunks, first_texts, texts_of, trimmed
 from .logistic import Logistic
 
 SAMPLE = 20_000  # labelled rows of either class that are learnt from, at most
@@ -213,9 +213,9 @@ class ToxicityModel:
         return self.logistic.chance(self.chunk_features(texts))
 
 
+@trimmed
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and in how many toxic and other texts of the task they are."""
-    fresh_start()
     counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for batch in chunks(batches, "text", SLICE):
         for text, label in zip(texts_of(batch.column("text")), batch.column("label").to_pylist()):
@@ -298,7 +298,7 @@ def _feature_rows(automaton: TermAutomaton):
                 [pa.array(rows.tolist(), pa.list_(pa.float64())), batch.column("label")], ["features", "label"]
             )
 
-    return run
+    return trimmed(run)
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
@@ -326,12 +326,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
 
 def _scored(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh_start()
         for batch in chunks(batches, "text", SLICE):
             scores = model.scores(texts_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -341,11 +340,10 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def _clean(model: ToxicityModel, limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh_start()
         for batch in chunks(batches, "text", SLICE):
             yield batch.filter(pa.array(model.scores(texts_of(batch.column("text"))) < limit))
 
-    return run
+    return trimmed(run)
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, limit: float = 0.7) -> DataFrame:

@@ -163,12 +163,14 @@ def test_tallies_count_every_shingle(monkeypatch):
 
 
 def test_near_tasks_drop_what_other_operators_kept(monkeypatch):
-    other = common.worker_cache()
-    other["tokenizer"] = near.kept[1] = [1]
-    empty = pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())})
-    assert list(near._tallies(8)(iter([empty]))) == []
-    assert not other and near.kept.pop(1) == [1]
-    common._caches.remove(other)
+    from pyspark import cloudpickle  # as jobs travel to their workers
+
+    monkeypatch.setattr(common, "_caches", [*common._caches])
+    for job in (near._tallies(8), near._prefix_rows):
+        other, own = common.worker_cache(), common.worker_cache("shingles")
+        other["tokenizer"] = own[1] = [1]
+        assert list(cloudpickle.loads(cloudpickle.dumps(job))(iter([]))) == []
+        assert not other and own == {1: [1]}
 
 
 def test_tree_finds_what_the_bound_allows():
