@@ -172,6 +172,16 @@ def test_coder_learns_and_notices_damage():
             coder.read_file(bytes(broken))
 
 
+def test_coder_format_stays_and_counts_add_up():
+    k = np.arange(60_000)
+    ids = np.where(k % 5 < 3, k * k % 97, k * 7919 % 49_408)
+    for block, crc_ in ((64, 1191900906), (2048, 3490568456)):
+        assert zlib.crc32(b"".join(coder.encode_blocks(ids, block))) == crc_
+    model = coder._Model(50, 34)
+    model.count[:] = np.random.default_rng(2).integers(1, 500, model.count.shape)
+    assert (model.ends(20) == np.cumsum(model.count[:, :20], 0)).all()
+
+
 # ---- pieces
 
 
