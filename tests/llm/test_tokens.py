@@ -182,6 +182,73 @@ def test_coder_format_stays_and_counts_add_up():
     assert (model.ends(20) == np.cumsum(model.count[:, :20], 0)).all()
 
 
+def test_coder_reaches_order_0_and_reads_the_first_form():
+    rng = np.random.default_rng(5)
+    ids = np.minimum(rng.zipf(1.3, 1_000_000), 5000) * 3
+    counts = np.unique(ids, return_counts=True)[1]
+    entropy = -(counts * np.log2(counts / len(ids))).sum() / 8
+    image = coder.write_file(np.array([1]), np.array([len(ids)]), ids)
+    assert len(image) < 1.1 * entropy  # 1.38 in the first form
+    few = ids[:5000]
+    blocks = coder.encode_blocks(few, 512)
+    table = [(len(b), zlib.crc32(few[k * 512 : k * 512 + 512].astype("<u4").tobytes())) for k, b in enumerate(blocks)]
+    tables = zlib.compress(np.array([7, 5000], "<i8").tobytes() + np.array(table, "<u4").tobytes())
+    head = coder._HEAD.pack(coder.FIRST_MAGIC, 512, 1, 5000, int(few.max()), len(tables))
+    image = head + zlib.crc32(head + tables).to_bytes(4, "little") + tables + b"".join(blocks)
+    docs, lengths, back = coder.read_file(image)
+    assert (docs.tolist(), lengths.tolist()) == ([7], [5000]) and (back == few).all()
+
+
+def test_coder_takes_less_time_than_the_first_form():
+    import time
+
+    ids = np.minimum(np.random.default_rng(6).zipf(1.3, 1_000_000), 40_000)
+    times = []
+    for run in (
+        lambda: coder.read_file(coder.write_file(np.array([1]), np.array([len(ids)]), ids))[2],
+        lambda: coder.decode_blocks(coder.encode_blocks(ids), np.minimum(2048, len(ids) - np.arange(489) * 2048), 40_000),
+    ):
+        begun = time.process_time()
+        assert (run() == ids).all()
+        times.append(time.process_time() - begun)
+    assert times[0] < 0.6 * times[1]
+
+
+@pytest.mark.parametrize("block", [1, 5, 300, None])
+def test_coder_rare_ids_and_skewed_ones(block, monkeypatch):
+    from daymark.llm import mixing
+
+    rng = np.random.default_rng(8)
+    skewed = np.where(rng.random(3000) < 0.999, 17, rng.integers(0, 60_000, 3000))
+    runs = np.repeat(rng.integers(0, 9, 30), 100)
+    cases = [skewed, runs, rng.integers(0, 5000, 3000), rng.integers(0, 2**31, 3000), np.array([2**31 - 1, 0] * 40)]
+    for symbols, lookup in ((60_000, 1 << 22), (50, 1 << 22), (50, 10), (1, 10)):
+        monkeypatch.setattr(mixing, "SYMBOLS", symbols)
+        monkeypatch.setattr(mixing, "LOOKUP", lookup)
+        for ids in cases:
+            shares = mixing.symbols_of(ids)[1]
+            assert shares.sum() == 1 << mixing.bits_of(len(shares) - 1) and shares.min() > 0
+            image = coder.write_file(np.array([4]), np.array([len(ids)]), ids, block)
+            assert (coder.read_file(image)[2] == ids).all()
+
+
+def test_coder_notices_damage_anywhere():
+    rng = np.random.default_rng(9)
+    ids = rng.integers(0, 70_000, 90_000)
+    image = coder.write_file(np.array([1]), np.array([len(ids)]), ids)
+    for at in [*range(0, 40), *rng.integers(40, len(image), 6).tolist()]:
+        broken = bytearray(image)
+        broken[at] ^= 1 << int(rng.integers(8))
+        try:
+            back = coder.read_file(bytes(broken))[2]
+        except Exception:
+            continue
+        assert at >= 40 and (back == ids).all()  # the last bits of a block may not matter
+    for size in (3, 30, 100, len(image) // 2, len(image) - 1):
+        with pytest.raises(Exception):
+            coder.read_file(image[:size])
+
+
 # ---- pieces
 
 
@@ -302,3 +369,51 @@ def test_word_encoder_where_hashes_meet(tokenizer, monkeypatch):
     for texts in (["one three", ""], ["two, two one", "ten, six."], ["six, ten", "three"]):
         column, expected = texts_and_ids(tokenizer, texts)
         assert encoded(encoder, column) == expected
+
+
+AWKWARD = [
+    "İstanbul İİ i̇ ǅ ß ẞ ΑΣ ΣΑΣ, क़ क़ا é é ﬁ ½ ² ⅷ a²,",
+    "word., word.,;:!? word.,;:!?%$ word.,;:!?%$& word.,;:!?%$&*#|| ,;:. ...... ............",
+    "x" * 63 + " " + "X" * 64 + " " + "x" * 65 + " " + "Yx" * 600 + ", " + "é" * 32 + " " + "É" * 33,
+    "don't DON'T it's'll 've a's, s't <|endoftext|> <|startoftext|>, </w> a</w>, w>",
+    "日本語 日本語。 한국어, ไทย हिन्दी العربية\u200d a\u00adb A\u0301b \U0001f600 \U00010400x \u2028y\xa0z\x85w",
+]
+
+
+def test_word_encoder_on_awkward_words(tokenizer, monkeypatch):
+    from daymark.llm import tokens
+
+    rng = np.random.default_rng(3)
+    signs = list("abzAZ09.,;'#é É İ日ß\u0301\u0345 \t\n<|>Σς")
+    texts = AWKWARD + ["".join(rng.choice(signs, 40)) for _ in range(400)]
+    column, expected = texts_and_ids(tokenizer, texts)
+    for slots in (20, 3):
+        monkeypatch.setattr(tokens, "SLOTS", slots)
+        encoder = tokens.WordEncoder(default_path())
+        assert encoder.joins
+        for _ in range(2):
+            assert encoded(encoder, column) == expected
+            assert encoded(encoder, column.slice(3, 50)) == expected[3:53]
+    encoder = tokens.WordEncoder(default_path())
+    encoder.joins = False
+    assert encoded(encoder, column) == expected
+
+
+def test_words_of_letters_are_encoded_in_rows():
+    from daymark.llm import tokens
+
+    encoder = tokens.WordEncoder(default_path())
+    library, given = encoder.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    words = ["".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(5000)]
+    _, expected = texts_and_ids(library, [" ".join(words) + ". " + ", ".join(words)])
+    import pyarrow as pa
+
+    assert encoded(encoder, pa.array([" ".join(words) + ". " + ", ".join(words)])) == expected
+    assert sum(given) < len(words) / 20
